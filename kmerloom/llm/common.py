@@ -58,3 +58,30 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lengths)), lengths)
     starts = np.cumsum(lengths) - lengths
     return owner, np.arange(len(owner)) - starts[owner]
+
+
+def text_chunks(batches, text: str, most: int = 8 << 20):
+    """Record batches cut so that each piece has about ``most`` bytes of text (one row at least)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+        edges = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def space_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words between ASCII spaces and line feeds: code of each word in order, words per text, distinct words."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), counts, coded.dictionary
+
+
+def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over consecutive segments of ``counts`` elements (empty segments: 0)."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, url_filter
+from . import packing, secrets, url_filter
 from .common import table
 
 URL_RULES = (
@@ -23,10 +23,25 @@ URL_RULES = (
 )
 
 
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def hex_sha256(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+    crc = F.crc32("token_ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs)
@@ -75,6 +90,7 @@ FROM found
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
         "op6_secret_scan": op6_secret_scan,
         "op10_url_filter": op10_url_filter,
     }
