@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, url_filter
+from . import packing, secrets, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -46,15 +46,43 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs)
     base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
-    counts = [F.size(F.filter("secret_spans", lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *(count(r.kind) for r in secrets.BASE_RULES),
         hex_sha256(secrets.joined_spans(base)).alias("base_sha256"),
         secrets.joined_spans(F.col("secret_spans")).alias("spans"),
     )
 
 
+def fold(column: str, parts: int) -> Column:
+    """crc32 of a number's text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+TOXIC_AT = 0.7
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Trained on the rows outside the held-out third."""
+    return toxicity.train(docs, labels.where(fold("doc_id", 3) != 1))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"),
+        "toxic_passages",
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -92,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op6_secret_scan": op6_secret_scan,
+        "op7_toxicity": op7_toxicity,
         "op10_url_filter": op10_url_filter,
     }
 
