@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import space_words, text_chunks, texts_of
+from .common import space_words, text_chunks, texts_of, written
 
 STRIP = ".,;:!?\"'()[]{}|*_-«»¿¡…<>/\\"
 
@@ -88,43 +88,46 @@ def _p_value(score: float, n: int, location: float) -> float:
     return -math.expm1(-math.exp(min(50.0, math.log(max(n, 1)) + location - score)))
 
 
-def _evidence(segments, n: int, location: float) -> float:
-    """Summed excess of segments over what the longest clean text of that length would show."""
+def _evidence(scores, n: int, location: float) -> float:
+    """Log of 1 plus the summed excess of segments over what clean text of that length would show at best."""
     floor = math.log(max(n, 1)) + location
-    return sum(s - floor for _, _, s in segments if s > floor)
+    return math.log1p(sum(s - floor for s in scores if s > floor))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, toxic, n) of columns text and toxic; each task sums its own part first."""
+    """(word, toxic, clean, toxic_docs, clean_docs) of columns text and toxic; each task sums its own part first."""
 
     def tasks(batches):
         for batch in text_chunks(batches, "text", 32 << 20):
             codes, counts, words = _coded(texts_of(batch.column("text")))
             label = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), counts).astype(np.int64)
-            n = np.bincount(codes.astype(np.int64) * 2 + label, minlength=2 * len(words))
-            pairs = np.flatnonzero(n)
-            summed: dict[tuple[str, int], int] = {}
-            for p in pairs.tolist():
-                if words[p // 2]:
-                    key = (words[p // 2], p % 2)
-                    summed[key] = summed.get(key, 0) + int(n[p])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in summed], pa.string()), pa.array([t for _, t in summed], pa.int32()), pa.array(list(summed.values()), pa.int64())],
-                names=["word", "toxic", "n"],
-            )
-
-    return docs.select("text", "toxic").mapInArrow(tasks, "word string, toxic int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
-    )
+            plain = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            code = np.array([plain[w] for w in words] or [0])[codes]
+            doc = np.repeat(np.arange(len(counts)), counts)
+            once = np.unique(doc * len(plain) + code)
+            tokens = np.bincount(code * 2 + label, minlength=2 * len(plain)).reshape(-1, 2)
+            in_docs = np.bincount(once % len(plain) * 2 + batch.column("toxic").to_numpy(zero_copy_only=False)[once // len(plain)], minlength=2 * len(plain)).reshape(-1, 2)
+            columns = [pa.array(plain, pa.string()), *(pa.array(x[:, t], pa.int64()) for x in (tokens, in_docs) for t in (1, 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean", "toxic_docs", "clean_docs"])
+
+    sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs", "clean_docs")]
+    found = docs.select("text", "toxic").mapInArrow(tasks, "word string, toxic long, clean long, toxic_docs long, clean_docs long")
+    return found.where("word <> ''").groupBy("word").agg(*sums)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds with a Dirichlet prior in proportion to all counts, and their standard errors."""
+    weight = prior * (toxic + clean)
+    t, c, more = toxic + weight, clean + weight, prior * (n_toxic + n_clean)
+    odds = np.log(t / (n_toxic + more - t)) - np.log(c / (n_clean + more - c))
+    return odds, np.sqrt(1 / t + 1 / c)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, prior: float, errors: float) -> np.ndarray:
-    """Log-odds with a Dirichlet prior in proportion to all counts, less ``errors`` standard errors."""
-    weight = prior * (toxic + clean) / max(1, n_toxic + n_clean)
-    t, c = toxic + weight, clean + weight
-    odds = np.log(t / (n_toxic + prior - t)) - np.log(c / (n_clean + prior - c))
-    return odds - errors * np.sqrt(1 / t + 1 / c)
+def upper_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Chernoff bound of the chance that of ``n`` draws with chance ``p`` at least ``k`` succeed (1 where k <= np)."""
+    q = np.minimum(k / n, 1 - 1e-12)
+    rate = q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))
+    return np.where(q > p, np.exp(-n * rate), 1.0)
 
 
 def train(
@@ -132,8 +135,8 @@ def train(
     labels: DataFrame,
     *,
     sample: int = 20_000,
-    prior: float = 2_000.0,
-    errors: float = 2.0,
+    prior: float = 0.05,
+    level: float = 0.05,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> ToxicityModel:
@@ -141,8 +144,10 @@ def train(
 
     At most ``sample`` labelled rows are used, those with the smallest hash of their id, which bounds
     the join side that is broadcast and the words that reach the driver. A quarter of them calibrates,
-    the rest counts. Null labels and texts are left out; without labels of both kinds every score is 0.5 or the
-    share of toxic ones.
+    the rest counts. Null labels and texts are left out; without toxic labels
+    every score is that of no evidence. ``prior`` is the Dirichlet prior's weight as a part of all counts. A word is
+    evidence if so many of its documents would be toxic by chance with a probability under
+    ``level`` over the number of words tested; repeats inside one text count once there.
     """
     spread = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").orderBy(spread).limit(sample)
@@ -152,13 +157,16 @@ def train(
         .withColumn("part", F.pmod(spread, F.lit(4)))
     )
     words = count_words(rows.where("part <> 0"))
-    n_toxic, n_clean = (int(x or 0) for x in words.agg(F.sum("toxic"), F.sum("clean")).first())
-    table = words.where("toxic > 1").toPandas()
+    words = written(words, "toxic-words")
+    n_toxic, n_clean, d_toxic, d_clean = (int(x or 0) for x in words.agg(*[F.sum(c) for c in ("toxic", "clean", "toxic_docs", "clean_docs")]).first())
+    table = words.where("toxic_docs > 2").toPandas()
     if len(table):
-        odds = log_odds(table["toxic"].to_numpy(float), table["clean"].to_numpy(float), n_toxic, n_clean, prior, errors)
-        good = odds > 0.5
-        weight = prior * (table["toxic"] + table["clean"]) / max(1, n_toxic + n_clean)
-        share = ((table["clean"] + weight) / (n_clean + prior)).to_numpy()[good]
+        in_toxic, in_all = table["toxic_docs"].to_numpy(float), (table["toxic_docs"] + table["clean_docs"]).to_numpy(float)
+        chance = upper_tail(in_toxic, in_all, min(0.999, max(1e-9, d_toxic / max(1, d_toxic + d_clean))))
+        odds, error = log_odds(table["toxic"].to_numpy(float), table["clean"].to_numpy(float), n_toxic, n_clean, prior)
+        odds -= error
+        good = (chance < level / len(table)) & (odds > 0.5)
+        share = ((table["clean"] + prior * (table["toxic"] + table["clean"])) / (n_clean + prior * (n_toxic + n_clean))).to_numpy()[good]
         positive = dict(zip(table["word"][good], odds[good].tolist(), strict=True))
         background = math.log(max(1e-6, 1 - float((share * np.exp(odds[good])).sum())) / (1 - float(share.sum()))) if good.any() else -0.01
     else:
@@ -168,21 +176,20 @@ def train(
     def tasks(batches):
         for batch in text_chunks(batches, "text"):
             n, found = _passages(texts_of(batch.column("text")), model)
-            best = [max((s for *_, s in segments), default=0.0) for segments in found]
-            sums = [_evidence(segments, int(k), 0.0) for k, segments in zip(n, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n), pa.array(best, pa.float64()), pa.array(sums, pa.float64())], names=["toxic", "n", "best", "sums"])
+            scores = pa.array([[s for *_, s in segments] for segments in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n), scores], names=["toxic", "n", "scores"])
 
-    seen = rows.where("part = 0").select("text", "toxic").mapInArrow(tasks, "toxic int, n long, best double, sums double").toPandas()
+    seen = rows.where("part = 0").select("text", "toxic").mapInArrow(tasks, "toxic int, n long, scores array<double>").toPandas()
     return _calibrate(model, seen)
 
 
 def _calibrate(model: ToxicityModel, seen: pd.DataFrame) -> ToxicityModel:
     """Gumbel location from clean documents' best segments, then a logistic curve of the evidence."""
-    clean = seen[(seen.toxic == 0) & (seen.best > 0)]
-    excess = (clean.best - np.log(np.maximum(clean.n, 1))).to_numpy()
+    best = np.array([max(s, default=0.0) for s in seen.scores])
+    clean = ((seen.toxic == 0) & (best > 0)).to_numpy()
+    excess = best[clean] - np.log(np.maximum(seen.n[clean], 1)).to_numpy()
     location = float(np.clip(np.median(excess) + math.log(math.log(2)), -8.0, 0.0)) if len(excess) else -4.0
-    floor = np.log(np.maximum(seen.n, 1)) + location
-    x = np.log1p(np.maximum(0.0, seen.best - floor).to_numpy())
+    x = np.array([_evidence(s, n, location) for s, n in zip(seen.scores, seen.n, strict=True)])
     y = seen.toxic.to_numpy(float)
     w = np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
     a = np.column_stack([np.ones(len(x)), x])
@@ -208,9 +215,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, text: s
     def tasks(batches):
         for batch in text_chunks(batches, text):
             n, found = _passages(texts_of(batch.column(text)), model)
-            floor = np.log(np.maximum(n, 1)) + model.location
-            best = np.array([max((s for *_, s in segments), default=-1e9) for segments in found])
-            x = np.log1p(np.maximum(0.0, best - floor))
+            x = np.array([_evidence((s for *_, s in segments), int(k), model.location) for k, segments in zip(n, found, strict=True)])
             p = 1 / (1 + np.exp(-(model.intercept + model.slope * x)))
             shown = [
                 [{"start": a, "end": b, "score": s, "p_value": v} for a, b, s in segments if (v := _p_value(s, int(k), model.location)) <= alpha]
