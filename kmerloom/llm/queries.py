@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, toxicity, url_filter
+from . import decontaminate, language, packing, secrets, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -42,6 +42,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def fold(column: str, parts: int) -> Column:
+    """crc32 of a number's text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = language.train(docs.where(~held_out), tokenizer_path(PIECES))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs)
@@ -58,11 +75,6 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fold(column: str, parts: int) -> Column:
-    """crc32 of a number's text, modulo ``parts``."""
-    return F.crc32(F.col(column).cast("string")) % parts
-
-
 TOXIC_AT = 0.7
 
 
@@ -131,6 +143,7 @@ FROM found
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op3_language": op3_language,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
         "op9_decontamination": op9_decontamination,
