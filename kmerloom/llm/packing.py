@@ -11,6 +11,7 @@ laid end to end and cut at the capacity, the rest at powers of two.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,43 +20,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import space_words, sums_by, text_chunks, texts_of
+from .wordhash import byte_buffer
 
 
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose pieces never cross white space.
 
-    Distinct words are encoded once and their ids gathered; the memory of words is emptied when
+    Distinct words are encoded once and their ids gathered (the file lower-cases and splits signs
+    from letters, so words are told apart only after ``fold``); the memory of words is emptied when
     it holds ``most`` of them, which costs time only.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes = np.zeros(1 << 16, np.int32)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = [e.ids for e in self.encoder.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            n, total = len(self.known), int(sizes.sum())
+            while n + len(part) > len(self.sizes):
+                self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
+            while self.used + total > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            self.sizes[n : n + len(part)] = sizes
+            self.starts[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.used += total
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end_id`` after each text, and ids per text with it."""
-        codes, counts, words = space_words(texts)
+        codes, counts, words = space_words(fold(texts))
         words = words.to_pylist()
         if len(self.known) > self.most:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        found = [self.known[w] for w in words] + [(end_id,)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        codes = np.insert(codes.astype(np.int64), np.cumsum(counts), len(found) - 1)
-        each = sizes[codes]
-        place = np.cumsum(each) - each
-        index = np.repeat(starts[codes] - place, each) + np.arange(int(each.sum()))
-        return flat[index], sums_by(each, counts + 1)
+            self.forget()
+        self._learn([w for w in words if w not in self.known])
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
+        each = self.sizes[rows].astype(np.int64)
+        starts = self.starts[rows]
+        doc_tokens = sums_by(each, counts) + 1
+        place = np.cumsum(each) - each + np.repeat(np.arange(len(counts)), counts)
+        out = np.full(int(doc_tokens.sum()), end_id, np.uint32)
+        step = np.repeat(starts, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        out[np.repeat(place - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))] = self.flat[step]
+        return out, doc_tokens
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer that this worker process keeps from task to task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[10] = 32
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
+
+
+def fold(texts: pa.Array) -> pa.Array:
+    """Texts of equal ids with fewer distinct words: A-Z lower-cased, line feeds as spaces, and a space
+    between an ASCII letter and a full stop or comma, where the tokenizer splits anyway."""
+    raw, offsets = byte_buffer(texts)
+    raw = _FOLD[raw]
+    stop = (raw == 46) | (raw == 44)
+    stop[1:] &= _LETTER[raw[:-1]]
+    stop[:1] = False
+    stop[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    at = np.flatnonzero(stop)
+    offsets = offsets + np.searchsorted(at, offsets)
+    raw = np.insert(raw, at, 32)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
 
 
 def cut(doc_tokens: np.ndarray, capacity: int, smallest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +196,7 @@ def pack(
         raise ValueError("capacity and smallest are powers of two, smallest the lesser")
 
     def tasks(batches):
-        encoder, first, left = WordTokenizer(tokenizer), TaskContext.get().partitionId() << 40, None
+        encoder, first, left = worker_tokenizer(tokenizer), TaskContext.get().partitionId() << 40, None
         names = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
         for batch in text_chunks(batches, "text"):
             ids, doc_tokens = encoder.ids(texts_of(batch.column("text")), end_id)
