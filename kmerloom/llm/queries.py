@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, secrets, toxicity, url_filter
+from . import decontaminate, flac, language, packing, secrets, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -59,6 +59,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = flac.decode(flac.encode(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "media"))
+    return read.select(
+        "doc_id",
+        F.col("n_bytes").cast("bigint").alias("n_bytes"),
+        F.octet_length("pcm").cast("bigint").alias("payload_bytes"),
+        hex_sha256(F.col("pcm")).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pcm, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        hex_sha256(F.col("media")).alias("media_sha256"),
+        F.col("features").alias("feature"),
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs)
@@ -144,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op3_language": op3_language,
+        "op4_media": op4_media,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
         "op9_decontamination": op9_decontamination,
