@@ -82,6 +82,7 @@ def space_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over consecutive segments of ``counts`` elements (empty segments: 0)."""
-    total = np.concatenate(([0], np.cumsum(values)))
+    sums = np.cumsum(values)
+    total = np.concatenate((np.zeros(1, sums.dtype), sums))
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]

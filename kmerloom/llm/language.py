@@ -9,6 +9,7 @@ all training documents.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, space_words, text_chunks, texts_of, written
+from .common import mix64, space_words, sums_by, text_chunks, texts_of, written
 
 STRIP = "0123456789.,;:!?\"'()[]{}|*_-+=#@&%$€£~^`«»¿¡…<>/\\"
 MARK = "▁"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Longer words are scored in parts of so many characters.
-PART = 40
+PART = 24
 UNKNOWN = 1e-5
 LEAST = 1e-7
 
@@ -156,17 +157,20 @@ class LanguageModel:
     pieces: tuple[str, ...]
     chances: np.ndarray
     priors: np.ndarray
+    name: str
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of columns text and lang; each task sums its own part first."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text", 24 << 20):
+        for batch in text_chunks(batches, "text"):
             langs = batch.column("lang").dictionary_encode()
             codes, counts, words = space_words(texts_of(batch.column("text")))
             of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), counts).astype(np.int64)
-            pairs, n = np.unique(of * len(words) + codes, return_counts=True)
+            n = np.bincount(of * len(words) + codes, minlength=1)
+            pairs = np.flatnonzero(n)
+            n = n[pairs]
             parts = plain_words(words.to_pylist())
             summed: dict[tuple[int, str], int] = {}
             for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
@@ -206,32 +210,81 @@ def train(docs: DataFrame, vocabulary: str, *, rounds: int = 2, text: str = "tex
             chances = np.maximum((chances + 0.1) / (chances.sum(0) + 0.1 * vocab_size), LEAST)
             chances[-2], chances[-1] = UNKNOWN, 0
     priors = np.log(np.array([n for _, n in shares], float) / max(1, sum(n for _, n in shares)))
-    return LanguageModel(tuple(names), tuple(pieces), chances, priors)
+    return LanguageModel(tuple(names), tuple(pieces), chances, priors, uuid.uuid4().hex)
 
 
-def _expect(sent):
+def _expect(sent, most: int = 100_000):
     def tasks(batches):
         pieces, names, chances = sent.value
         vocabulary = Vocabulary(pieces)
         totals = np.zeros(chances.shape)
-        for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist())
-            words = np.array(batch.column("word").to_pylist(), object)
-            n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+        held: list[pa.RecordBatch] = []
+
+        def use():
+            lang = np.array([x for b in held for x in b.column("lang").to_pylist()])
+            words = np.array([x for b in held for x in b.column("word").to_pylist()], object)
+            n = np.concatenate([b.column("n").to_numpy(zero_copy_only=False) for b in held]).astype(float)
             for j, name in enumerate(names):
                 if (own := lang == name).any():
                     totals[:, j] += expected(vocabulary, chances[:, j], words[own].tolist(), n[own])
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                use()
+        if held:
+            use()
         piece, j = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], pa.string()), pa.array(piece, pa.int32()), pa.array(totals[piece, j])], names=["lang", "piece", "n"])
 
     return tasks
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", most: int = 300_000) -> DataFrame:
+class WordScores:
+    """Scores of the words met so far by one worker process, for one model; emptied when it holds ``most`` words."""
+
+    def __init__(self, model: LanguageModel, most: int = 400_000):
+        self.model, self.most = model, most
+        self.vocabulary = Vocabulary(list(model.pieces))
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((1 << 14, len(self.model.languages)))
+
+    def of(self, parts: list[tuple[str, ...]]) -> np.ndarray:
+        """Summed log-probabilities of the parts of each word."""
+        if len(self.rows) > self.most:
+            self.forget()
+        new = list({p for w in parts for p in w if p not in self.rows})
+        if new:
+            n = len(self.rows)
+            while n + len(new) > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.scores[n : n + len(new)] = forward(self.vocabulary, self.model.chances, new)
+            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        rows = np.fromiter((self.rows[p] for w in parts for p in w), np.int64, int(sizes.sum()))
+        return np.column_stack([sums_by(self.scores[rows, j], sizes) for j in range(len(self.model.languages))])
+
+
+_SCORES: dict[str, WordScores] = {}
+
+
+def worker_scores(model: LanguageModel) -> WordScores:
+    """The scores that this worker process keeps from task to task, for the latest model only."""
+    if model.name not in _SCORES:
+        _SCORES.clear()
+        _SCORES[model.name] = WordScores(model)
+    return _SCORES[model.name]
+
+
+def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """``docs`` with the likeliest language and its posterior probability.
 
     A null text, or one without a letter, is ``und`` with score 0, as is any text if the model knows no language.
-    Columns with the new names are replaced. A task keeps up to ``most`` words' scores at hand.
+    Columns with the new names are replaced.
     """
     kept = [f for f in docs.schema.fields if f.name not in (lang_out, score_out)]
     names = [f.name for f in kept]
@@ -240,29 +293,18 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_
 
     def tasks(batches):
         m = sent.value
-        vocabulary, known = Vocabulary(list(m.pieces)), {}
+        n_langs = len(m.languages)
         for batch in text_chunks(batches, text):
             texts = texts_of(batch.column(text))
-            codes, counts, words = space_words(texts)
-            parts = plain_words(words.to_pylist())
-            if len(known) > most:
-                known.clear()
-            new = list({p for w in parts for p in w if p not in known})
-            if new and m.languages:
-                known.update(zip(new, forward(vocabulary, m.chances, new), strict=True))
-            zero = np.zeros(len(m.languages))
-            scores = np.array([known[w[0]] if len(w) == 1 else sum((known[p] for p in w), zero) for w in parts]) if m.languages else np.zeros((len(parts), 0))
-            totals = np.zeros((len(counts), len(m.languages)))
-            owner = np.repeat(np.arange(len(counts)), counts)
-            for j in range(len(m.languages)):
-                totals[:, j] = np.bincount(owner, scores[codes, j], len(counts))
-            totals += m.priors
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            if m.languages:
+            if n_langs:
+                codes, counts, words = space_words(texts)
+                scores = worker_scores(m).of(plain_words(words.to_pylist()))
+                totals = m.priors + np.column_stack([sums_by(scores[codes, j], counts) for j in range(n_langs)])
                 best = totals.argmax(1)
                 chance = 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1)
             else:
-                best, chance, letters = np.zeros(len(counts), int), np.zeros(len(counts)), letters & False
+                best, chance, letters = np.zeros(len(texts), int), np.zeros(len(texts)), letters & False
             found = np.where(letters, np.array([*m.languages, "und"], object)[best], "und")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(np.where(letters, chance, 0.0))], names=[*names, lang_out, score_out])
 
