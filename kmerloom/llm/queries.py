@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, language, packing, secrets, toxicity, url_filter
+from . import decontaminate, flac, language, near_dups, packing, secrets, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -110,6 +110,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).select(
@@ -162,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media": op4_media,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_url_filter": op10_url_filter,
     }
