@@ -193,10 +193,12 @@ def _calibrate(model: ToxicityModel, seen: pd.DataFrame) -> ToxicityModel:
     y = seen.toxic.to_numpy(float)
     w = np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
     a = np.column_stack([np.ones(len(x)), x])
-    for _ in range(50):
+    ridge = np.array([1e-3, 5e-2])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (y - p) - 1e-2 * w
-        w = w + np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(2), grad)
+        grad = a.T @ (y - p) - ridge * w
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge), grad)
+        w = w + step / max(1.0, float(np.abs(step).max()))
     return ToxicityModel(model.words, model.background, location, max(0.0, float(w[1])), float(w[0]))
 
 
