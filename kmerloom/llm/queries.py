@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, language, near_dups, packing, secrets, toxicity, url_filter
+from . import decontaminate, flac, language, near_dups, packing, secrets, substrings, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -36,6 +36,17 @@ def hex_sha256(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("removed_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed_spans").cast("bigint").alias("n_spans"),
+        hex_sha256(F.col("kept")).alias("kept_sha256"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
     crc = F.crc32("token_ids").alias("ids_crc32")
@@ -161,6 +172,7 @@ FROM found
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_packing": op2_packing,
         "op3_language": op3_language,
         "op4_media": op4_media,
