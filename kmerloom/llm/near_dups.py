@@ -139,6 +139,14 @@ def similar_pairs(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataF
     return joined.mapInArrow(tasks, schema).where(F.col("similarity") >= threshold)
 
 
+def _apart(led: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``led`` whose member is not yet in its leader's class."""
+    mine = found.select(F.col("node").alias("rep"), F.col("component").alias("mine"))
+    theirs = found.select(F.col("node").alias("leader"), F.col("component").alias("theirs"))
+    both = led.join(mine, "rep", "left").join(theirs, "leader", "left")
+    return both.where("mine IS NULL OR theirs IS NULL OR mine <> theirs").select(*led.columns)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -167,27 +175,23 @@ def near_duplicates(
     open_rows = written(member.join(shared, ["band", "hash"]), "buckets")
     wanted = open_rows.select(F.col("rep").alias("doc_id")).distinct()
     cells = written(profiles(source.join(wanted, "doc_id", "left_semi"), shingle), "profiles")
-    links, known = [], None
+    links: DataFrame | None = None
+    found: DataFrame | None = None
     while True:
         leaders = open_rows.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        led = written(open_rows.join(leaders, ["band", "hash"]).where("rep <> leader").select("band", "hash", "leader", "rep"), "led")
+        led = open_rows.join(leaders, ["band", "hash"]).where("rep <> leader").select("band", "hash", "leader", "rep")
+        if found is not None:
+            led = _apart(led, found)
+        led = written(led, "led")
         pairs = led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        checked = written(pairs, "pairs")
-        good = written(similar_pairs(checked, cells, threshold), "links")
-        links.append(good)
-        tried = checked if known is None else known.union(checked)
-        known = tried
-        linked = links[0]
-        for more in links[1:]:
-            linked = linked.union(more)
-        settled = linked.select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        open_rows = written(led.join(settled, ["leader", "rep"], "left_anti").select("rep", "band", "hash"), "buckets")
-        if not open_rows.groupBy("band", "hash").count().where("count > 1").limit(1).count():
+        good = similar_pairs(pairs, cells, threshold)
+        links = written(good if links is None else good.union(links).dropDuplicates(["a", "b"]), "links")
+        found = connected_components(links)
+        open_rows = written(_apart(led, found).select("rep", "band", "hash"), "buckets")
+        left = open_rows.groupBy("band", "hash").count().where("count > 1").limit(1).count()
+        if not left:
             break
-    found = connected_components(linked)
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = found.join(degree, "node", "left")
     rep_of = chosen.join(classes, chosen.rep == classes.node, "left").select(
         "key1", "key2", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("links")
