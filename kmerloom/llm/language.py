@@ -99,7 +99,7 @@ def lattice(vocabulary: Vocabulary, words: list[str]):
     return size, edges
 
 
-def by_length(words: list[str], most: int = 50_000):
+def by_length(words: list[str], most: int = 8_000):
     """Places of words by their length, in groups of up to ``most``."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -164,7 +164,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of columns text and lang; each task sums its own part first."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 3 << 20):
             langs = batch.column("lang").dictionary_encode()
             codes, counts, words = space_words(texts_of(batch.column("text")))
             of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), counts).astype(np.int64)
@@ -213,7 +213,7 @@ def train(docs: DataFrame, vocabulary: str, *, rounds: int = 2, text: str = "tex
     return LanguageModel(tuple(names), tuple(pieces), chances, priors, uuid.uuid4().hex)
 
 
-def _expect(sent, most: int = 100_000):
+def _expect(sent, most: int = 60_000):
     def tasks(batches):
         pieces, names, chances = sent.value
         vocabulary = Vocabulary(pieces)
@@ -244,7 +244,7 @@ def _expect(sent, most: int = 100_000):
 class WordScores:
     """Scores of the words met so far by one worker process, for one model; emptied when it holds ``most`` words."""
 
-    def __init__(self, model: LanguageModel, most: int = 400_000):
+    def __init__(self, model: LanguageModel, most: int = 150_000):
         self.model, self.most = model, most
         self.vocabulary = Vocabulary(list(model.pieces))
         self.forget()
@@ -294,7 +294,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_
     def tasks(batches):
         m = sent.value
         n_langs = len(m.languages)
-        for batch in text_chunks(batches, text):
+        for batch in text_chunks(batches, text, 3 << 20):
             texts = texts_of(batch.column(text))
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             if n_langs:
