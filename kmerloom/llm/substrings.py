@@ -107,7 +107,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, cover: str):
     return at, first, last, name[at], text[at]
 
 
-def text_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def text_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """(block_id, n_bytes, data): whole texts as UTF-8 in compressed blocks, with their ids and places."""
 
     def tasks(batches):
@@ -285,8 +285,8 @@ def remove_repeats(
     cover: str = "difference",
     doc_id: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 4 << 20,
-    bucket_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
+    bucket_bytes: int = 2 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, kept (the remaining bytes) and removed_spans (bytes from, to).
 
