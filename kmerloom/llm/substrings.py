@@ -282,7 +282,7 @@ def remove_repeats(
     docs: DataFrame,
     *,
     length: int = 50,
-    cover: str = "difference",
+    cover: str = "synchronizing",
     doc_id: str = "doc_id",
     text: str = "text",
     block_bytes: int = 2 << 20,
