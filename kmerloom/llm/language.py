@@ -40,28 +40,25 @@ def piece_texts(path: str) -> list[str]:
 
 
 class Vocabulary:
-    """Piece numbers of substrings by a collision-free hash table."""
+    """Piece numbers of substrings by small hash tables; what finds its slot taken goes to the next table."""
+
+    BITS = 18
 
     def __init__(self, pieces: list[str], longest: int = 16):
         self.pieces = [p for p in pieces if 0 < len(p) <= longest]
         self.longest = max(map(len, self.pieces), default=1)
-        keys = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        self.bits = 18
-        while True:
-            slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-            if len(np.unique(slot)) == len(keys) or self.bits == 27:
-                break
-            self.bits += 1
-        self.table = np.full(1 << self.bits, -1, np.int32)
-        self.keys = np.append(keys, np.uint64(0))
-        again = []
-        for i, s in enumerate(slot.tolist()):
-            if self.table[s] < 0:
-                self.table[s] = i
-            else:
-                again.append(i)
-        self.rest = np.sort(keys[again]) if again else np.zeros(0, np.uint64)
-        self.rest_id = np.array(again, np.int32)[np.argsort(keys[again])] if again else np.zeros(0, np.int32)
+        self.keys = np.array([*map(self._hash, self.pieces), 0], np.uint64)
+        self.tables: list[np.ndarray] = []
+        left = np.arange(len(self.pieces))
+        while len(left):
+            slots, first = np.unique(self._slot(self.keys[left], len(self.tables)), return_index=True)
+            table = np.full(1 << self.BITS, -1, np.int32)
+            table[slots] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+
+    def _slot(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return ((keys * np.uint64(2 * level + 1)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -73,11 +70,10 @@ class Vocabulary:
     def ids(self, raw: np.ndarray) -> np.ndarray:
         """Piece numbers of raw (unmixed) substring hashes; -1 where there is none."""
         key = mix64(raw)
-        found = self.table[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
-        found = np.where(self.keys[found] == key, found, -1)
-        if len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, key), len(self.rest) - 1)
-            found = np.where(self.rest[at] == key, self.rest_id[at], found)
+        found = np.full(len(key), -1, np.int32)
+        for level, table in enumerate(self.tables):
+            there = table[self._slot(key, level)]
+            found = np.where(self.keys[there] == key, there, found)
         return found
 
 
