@@ -34,16 +34,25 @@ def symbols(text, alphabet: str, *, on_invalid: str = "drop", lower: bool = Fals
     else:
         raise ValueError(f"no such rule: {on_invalid}")
     each = F.filter(F.split(packed, ""), lambda c: c != "")
-    codes = F.create_map(*[F.lit(x) for i, c in enumerate(alphabet) for x in (c, i)])
-    return F.transform(each, lambda c: F.element_at(codes, c))
+    return F.transform(each, lambda c: F.instr(F.lit(alphabet), c) - 1)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def kmers(digits, space: KmerSpace) -> Column:
     """All k-mers of an array of digits, in order; none if it is shorter than k."""
-    d = col(digits)
-    terms = lambda i: reduce(Column.__add__, [F.get(d, i + j).cast("bigint") * space.alpha ** (space.k - 1 - j) for j in range(space.k)])
-    places = F.sequence(F.lit(0), F.greatest(F.size(d) - space.k, F.lit(0)))
-    return F.when(F.size(d) >= space.k, F.transform(places, terms)).otherwise(F.array().cast("array<bigint>"))
+
+    def all_of(d: Column) -> Column:
+        def mer(i: Column) -> Column:
+            return reduce(Column.__add__, [F.get(d, i + j).cast("bigint") * space.alpha ** (space.k - 1 - j) for j in range(space.k)])
+
+        places = F.sequence(F.lit(0), F.greatest(F.size(d) - space.k, F.lit(0)))
+        return F.when(F.size(d) >= space.k, F.transform(places, mer)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(col(digits), all_of)
 
 
 def hit_offsets(mers, predicate: Callable[[Column], Column]) -> Column:
@@ -54,14 +63,23 @@ def hit_offsets(mers, predicate: Callable[[Column], Column]) -> Column:
 
 def gaps(offsets) -> Column:
     """Distance of each hit from the one before; the first counts from offset 0, what follows the last is not counted."""
-    o = col(offsets)
-    return F.zip_with(o, F.concat(F.array(F.lit(0)), F.slice(o, 1, F.greatest(F.size(o) - 1, F.lit(0)))), lambda a, b: a - b)
+
+    def differences(o: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(o, F.lit(1), F.greatest(F.size(o) - 1, F.lit(0))))
+        return F.zip_with(o, before, lambda a, b: a - b)
+
+    return bound(col(offsets), differences)
 
 
 def sketch(sequences: DataFrame, space: KmerSpace, predicate: Callable[[Column], Column], *, digits: str = "digits") -> DataFrame:
     """``sequences`` with n_kmers, n_hits and gaps; ``digits`` holds arrays of ints."""
-    with_kmers = sequences.withColumn("__kmers", kmers(digits, space)).withColumn("__hits", hit_offsets("__kmers", predicate))
-    return with_kmers.withColumns({"n_kmers": F.size("__kmers").cast("bigint"), "n_hits": F.size("__hits").cast("bigint"), "gaps": gaps("__hits")}).drop("__kmers", "__hits")
+
+
+    def of_hits(n: Column, hits: Column) -> Column:
+        return F.struct(n.cast("bigint").alias("n_kmers"), F.size(hits).cast("bigint").alias("n_hits"), gaps(hits).alias("gaps"))
+
+    found = bound(kmers(digits, space), lambda k: bound(hit_offsets(k, predicate), lambda hits: of_hits(F.size(k), hits)))
+    return sequences.withColumn("__s", found).select(*sequences.columns, "__s.n_kmers", "__s.n_hits", "__s.gaps")
 
 
 def histogram(sketched: DataFrame, *keys: str, least: int = 0) -> DataFrame:
