@@ -446,7 +446,7 @@ def event_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.select(F.explode(sketch.kmers("digits", space)).alias("mer")).groupBy("mer").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(strpos('ANR', l_returnflag) - 1 AS BIGINT) AS d FROM lineitem), k AS (SELECT d * 9 + lead(d, 1) OVER w * 3 + lead(d, 2) OVER w AS mer FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), c AS (SELECT mer FROM k WHERE mer IS NOT NULL) SELECT least(mer, " + sql_rc("mer", 3, 3) + ") AS canonical, count(*) AS n FROM c GROUP BY 1")
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(strpos('ANR', l_returnflag) - 1 AS BIGINT) AS d FROM lineitem), k AS (SELECT d * 9 + lead(d, 1) OVER w * 3 + lead(d, 2) OVER w AS mer FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, d)), c AS (SELECT mer FROM k WHERE mer IS NOT NULL) SELECT least(mer, " + sql_rc("mer", 3, 3) + ") AS canonical, count(*) AS n FROM c GROUP BY 1")
 def returnflag_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical 3-mers over the return flags of each order: an alphabet of three letters."""
     space = KmerSpace(3, 3)
