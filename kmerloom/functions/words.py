@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kspace import KmerSpace, col
 
@@ -54,7 +55,7 @@ def inverse_division(word, k: int) -> Column:
     return found
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def lyndon_factors(words: pd.Series) -> pd.Series:
     """End positions of the Chen-Fox-Lyndon factors of each word."""
 
