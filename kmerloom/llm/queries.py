@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, language, near_dups, packing, secrets, substrings, toxicity, url_filter
+from . import decontaminate, flac, language, near_dups, packing, passages, secrets, substrings, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -85,6 +85,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs)
@@ -176,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_language": op3_language,
         "op4_media": op4_media,
+        "op5_near_passages": op5_near_passages,
         "op6_secret_scan": op6_secret_scan,
         "op7_toxicity": op7_toxicity,
         "op8_near_duplicates": op8_near_duplicates,
