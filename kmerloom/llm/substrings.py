@@ -286,7 +286,7 @@ def remove_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     block_bytes: int = 2 << 20,
-    bucket_bytes: int = 2 << 20,
+    bucket_bytes: int = 1 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, kept (the remaining bytes) and removed_spans (bytes from, to).
 
