@@ -81,7 +81,7 @@ def sequence_key(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key1, key2, bands): hashes of the word sequence and of each band; bands null without words."""
+    """(doc_id, key1, key2, size, bands): hashes of the word sequence, number of cells, hashes of the bands; bands null without words."""
 
     def tasks(batches):
         for batch in text_chunks(batches, "text"):
@@ -94,60 +94,128 @@ def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int
             key1, key2 = sequence_key(words)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
             lists = pc.if_else(pa.array(words.counts > 0), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key1), pa.array(key2), lists], names=["doc_id", "key1", "key2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key1), pa.array(key2), pa.array(counts, pa.int64()), lists], names=["doc_id", "key1", "key2", "size", "bands"])
 
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key1", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    longs = [T.StructField(c, T.LongType()) for c in ("key1", "key2", "size")]
+    schema = T.StructType([T.StructField("doc_id", kind), *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tasks, schema)
 
 
 def profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, profile): sorted 32-bit hashes of a text's cells, so that shared cells are shared shingles by use."""
+    """(key1, key2, profile): sorted 32-bit hashes of the cells of each word sequence, so that shared cells are shared shingles by use."""
 
     def tasks(batches):
         for batch in text_chunks(batches, "text"):
-            cells, counts = elements(words_of(texts_of(batch.column("text"))), shingle)
+            words = words_of(texts_of(batch.column("text")))
+            cells, counts = elements(words, shingle)
             ends = np.cumsum(counts)
             low = (cells >> np.uint64(32)).astype(np.uint32)
             data = [np.sort(low[e - n : e]).tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "profile"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in sequence_key(words)), pa.array(data, pa.binary())], names=["key1", "key2", "profile"])
+
+    return docs.select("text").mapInArrow(tasks, "key1 long, key2 long, profile binary").dropDuplicates(["key1", "key2"])
+
+
+def similar(cells: list[np.ndarray], asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the ``asked`` pairs (a symmetric mask) have a weighted Jaccard similarity of ``threshold`` or more."""
+    sizes = np.array([len(x) for x in cells])
+    asked = asked & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes))
+    shared = np.zeros(asked.shape, np.float32)
+    one, two = np.nonzero(np.triu(asked))
+    if len(one) <= 4 * len(cells):
+        for i, j in zip(one.tolist(), two.tolist(), strict=True):
+            both = np.concatenate((cells[i], cells[j]))
+            both.sort()
+            shared[i, j] = shared[j, i] = (both[1:] == both[:-1]).sum()
+    else:
+        _, column, uses = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+        number = np.cumsum(uses > 1) - 1
+        owner, more = np.repeat(np.arange(len(cells)), sizes), uses[column] > 1
+        owner, column = owner[more], number[column[more]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, (start, start + 4096)))
+            used = np.zeros((len(cells), 4096), np.float32)
+            used[owner[part], column[part] - start] = 1
+            shared += used @ used.T
+    return asked & (shared >= threshold * np.maximum(np.add.outer(sizes, sizes) - shared, 1))
+
 
-    return docs.select("doc_id", "text").mapInArrow(tasks, T.StructType([docs.schema["doc_id"], T.StructField("profile", T.BinaryType())]))
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a link matrix."""
+    seen, edges = ~linked.any(1), []
+    for root in range(len(linked)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(linked[at] & ~seen).tolist()
+            seen[new] = True
+            edges += [(at, n) for n in new]
+            todo += new
+    return edges
+
+
+PLACE = ["band", "hash", "low", "high"]
+
+
+def compared(placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): links that join all that are similar (n null), and the number n of links that each ``a`` has (b null).
+
+    ``placed`` (node, bands, profile, block and PLACE) has one row for each member of each pair of blocks (low, high) of a bucket.
+    Every pair of members is compared in the first band that both share.
+    """
 
+    def one_group(rows: pa.RecordBatch, bands: np.ndarray, cells: list[np.ndarray], block: np.ndarray, across: bool, band: int):
+        asked = block[:, None] != block[None, :] if across else ~np.eye(len(block), dtype=bool)
+        for b in range(band):
+            asked &= bands[:, None, b] != bands[None, :, b]
+        if not asked.any():
+            return
+        linked = similar(cells, asked, threshold)
+        edges, degree = _forest(linked), linked.sum(1)
+        some = np.flatnonzero(degree)
+        if len(some):
+            node = rows.column("node")
+            yield pa.concat_arrays([node.take(pa.array([a for a, _ in edges])), node.take(pa.array(some))]), pa.concat_arrays(
+                [node.take(pa.array([b for _, b in edges])), pa.nulls(len(some), node.type)]
+            ), pa.concat_arrays([pa.nulls(len(edges), pa.int64()), pa.array(degree[some], pa.int64())])
 
-def similar_pairs(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) with the weighted Jaccard similarity of their shingles, where it reaches the threshold."""
-    right = cells.select(F.col("doc_id").alias("b"), F.col("profile").alias("pb"))
-    left = cells.select(F.col("doc_id").alias("a"), F.col("profile").alias("pa"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
+    def groups(rows: pa.RecordBatch, edges: np.ndarray):
+        lists = rows.column("bands").combine_chunks() if isinstance(rows.column("bands"), pa.ChunkedArray) else rows.column("bands")
+        bands = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else None
+        cells = [np.frombuffer(x, np.uint32) for x in rows.column("profile").to_pylist()]
+        block, band, low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("block", "band", "low", "high"))
+        found = []
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found += one_group(rows.slice(a, z - a), bands[a:z], cells[a:z], block[a:z], low[a] != high[a], int(band[a]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([f[k] for f in found]) for k in range(3)], names=["a", "b", "n"])
 
     def tasks(batches):
+        held = None
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    found.append(0.0)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                found.append(shared / max(1, len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    schema = T.StructType([joined.schema["a"], joined.schema["b"], T.StructField("similarity", T.DoubleType())])
-    return joined.mapInArrow(tasks, schema).where(F.col("similarity") >= threshold)
-
-
-def _apart(led: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``led`` whose member is not yet in its leader's class."""
-    mine = found.select(F.col("node").alias("rep"), F.col("component").alias("mine"))
-    theirs = found.select(F.col("node").alias("leader"), F.col("component").alias("theirs"))
-    both = led.join(mine, "rep", "left").join(theirs, "leader", "left")
-    return both.where("mine IS NULL OR theirs IS NULL OR mine <> theirs").select(*led.columns)
-
-
-def near_duplicates(
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            new = np.zeros(held.num_rows - 1, bool)
+            for c in PLACE:
+                x = held.column(c).to_numpy(zero_copy_only=False)
+                new |= x[1:] != x[:-1]
+            edges = np.concatenate(([0], np.flatnonzero(new) + 1))
+            yield from groups(held.slice(0, int(edges[-1])), edges)
+            held = held.slice(int(edges[-1]))
+        if held is not None:
+            yield from groups(held, np.array([0, held.num_rows]))
+
+    kind = placed.schema["node"].dataType
+    dealt = placed.select("node", "bands", "profile", "block", *PLACE).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return dealt.mapInArrow(tasks, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())]))
+
+
+def duplicate_classes(
     docs: DataFrame,
     *,
     threshold: float = 0.8,
@@ -156,50 +224,53 @@ def near_duplicates(
     rows: int = 4,
     doc_id: str = "doc_id",
     text: str = "text",
+    block_members: int = 512,
+    block_cells: int = 1 << 19,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class) and n_links.
+    """One row per row of ``docs``: doc_id, key1, key2, worded, node, class and links.
 
-    Texts of one word sequence (A-Z lower-cased, signs ignored) are represented by their least doc_id. Representatives that share a
-    band are compared with the least one of the bucket; those that are not similar enough to it form the bucket again without it, until no bucket
-    holds two, so every member has been held against the leaders before it, and no bucket is expanded into pairs.
-    Similarity is the exact weighted Jaccard similarity of word shingles; links of at least ``threshold`` make classes. n_links counts
-    a row's representative's links. Texts without words and rows without doc_id are classes of their own (class_id = doc_id); rows
-    that repeat a doc_id share its class.
+    A word sequence (A-Z lower-cased, signs ignored) is a node: its least doc_id and its two keys. Every two nodes that share a band are
+    compared once, in the first band they share: the members of a bucket are dealt at random to blocks of about ``block_members``
+    (and ``block_cells`` shingles), and each pair of blocks is a group of its own. Of buckets with the same members one is enough.
+    ``class`` is the least node of a class and ``links`` counts a node's links; both are null where worded is false or doc_id null.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(source, shingle=shingle, bands=bands, rows=rows), "signatures")
     worded = signed.where("bands IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = written(worded.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
-    member = chosen.select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = member.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
-    open_rows = written(member.join(shared, ["band", "hash"]), "buckets")
-    wanted = open_rows.select(F.col("rep").alias("doc_id")).distinct()
-    cells = written(profiles(source.join(wanted, "doc_id", "left_semi"), shingle), "profiles")
-    links: DataFrame | None = None
-    found: DataFrame | None = None
-    while True:
-        leaders = open_rows.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        led = open_rows.join(leaders, ["band", "hash"]).where("rep <> leader").select("band", "hash", "leader", "rep")
-        if found is not None:
-            led = _apart(led, found)
-        led = written(led, "led")
-        pairs = led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        good = similar_pairs(pairs, cells, threshold)
-        links = written(good if links is None else good.union(links).dropDuplicates(["a", "b"]), "links")
-        found = connected_components(links)
-        open_rows = written(_apart(led, found).select("rep", "band", "hash"), "buckets")
-        left = open_rows.groupBy("band", "hash").count().where("count > 1").limit(1).count()
-        if not left:
-            break
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = found.join(degree, "node", "left")
-    rep_of = chosen.join(classes, chosen.rep == classes.node, "left").select(
-        "key1", "key2", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("links")
+    chosen = worded.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    chosen = written(chosen.select(F.struct("doc_id", "key1", "key2").alias("node"), "bands", "size"), "representatives")
+    member = chosen.select("node", "size", F.posexplode("bands").alias("band", "hash"))
+    n_blocks = F.ceil(F.greatest(F.count("*") / F.lit(block_members), F.sum("size") / F.lit(block_cells))).cast("int")
+    members = [F.bit_xor("node.key1").alias("x1"), F.bit_xor("node.key2").alias("x2"), F.min("node").alias("least"), F.max("node").alias("most")]
+    buckets = member.groupBy("band", "hash").agg(F.count("*").alias("n"), n_blocks.alias("n_blocks"), *members).where("n > 1")
+    buckets = buckets.groupBy("n", "x1", "x2", "least", "most").agg(F.min(F.struct("band", "hash", "n_blocks")).alias("o")).select("o.*")
+    opened = written(member.drop("size").join(buckets, ["band", "hash"]), "buckets")
+    wanted = opened.select("node").distinct()
+    texts = source.join(wanted.select("node.doc_id").distinct(), "doc_id", "left_semi")
+    known = chosen.join(wanted, "node", "left_semi").select("node", "bands", F.col("node.key1").alias("key1"), F.col("node.key2").alias("key2"))
+    cells = written(known.join(profiles(texts, shingle), ["key1", "key2"]).drop("key1", "key2"), "profiles")
+    block = F.pmod(F.xxhash64("node.key1", "node.key2", "band"), F.col("n_blocks")).cast("int")
+    placed = opened.select("node", "band", "hash", "n_blocks", block.alias("block"))
+    placed = placed.select("node", "band", "hash", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    placed = placed.select("node", "band", "hash", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    links = written(compared(placed.join(cells, "node"), threshold), "links")
+    degree = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    classes = connected_components(links.where("b IS NOT NULL").select("a", "b").distinct()).join(degree, "node")
+    classes = chosen.select("node").join(classes, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.col("node.key1").alias("key1"), F.col("node.key2").alias("key2")
     )
-    out = signed.select("doc_id", "key1", "key2", F.col("bands").isNotNull().alias("worded")).join(rep_of, ["key1", "key2"], "left")
-    own = F.col("worded") & F.col("doc_id").isNotNull()
-    return out.select(
-        "doc_id",
-        F.when(own, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(own, F.col("links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+    own = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
+    out = signed.select("doc_id", "key1", "key2", own.alias("own"), F.col("bands").isNotNull().alias("worded")).join(classes, ["key1", "key2"], "left")
+    return out.select("doc_id", "key1", "key2", "worded", *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("node", "class", "links")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class) and n_links.
+
+    Similarity is the exact weighted Jaccard similarity of word shingles; links of at least ``threshold`` make classes. n_links counts
+    the links of a row's word sequence to others. Texts without words and rows without doc_id are classes of their own (class_id = doc_id);
+    rows that repeat a doc_id with another text are in the class of that text. Options are those of ``duplicate_classes``.
+    """
+    return duplicate_classes(docs, **options).select(
+        "doc_id", F.coalesce("class.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links")
     )
