@@ -22,11 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate class; rows without doc_id stay."""
-    classes = near_dups.near_duplicates(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row for the least (doc_id, word sequence) of each near-duplicate class; rows without doc_id or words stay."""
+    classes = near_dups.duplicate_classes(docs)
+    kept = classes.where("node = class").select("class.*").distinct()
+    keyed = near_dups.with_sequence_key(docs)
+    alone = F.col("doc_id").isNull() | ~F.col("worded")
+    known = keyed.where(~alone).join(kept, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
+    return known.select(*docs.columns).unionByName(keyed.where(alone).select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

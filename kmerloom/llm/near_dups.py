@@ -80,6 +80,19 @@ def sequence_key(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
+def with_sequence_key(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with key1 and key2 of each text's word sequence and whether it has words (worded)."""
+
+    def tasks(batches):
+        for batch in text_chunks(batches, text):
+            words = words_of(texts_of(batch.column(text)))
+            more = [*(pa.array(k) for k in sequence_key(words)), pa.array(words.counts > 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "key1", "key2", "worded"])
+
+    more = [T.StructField("key1", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("worded", T.BooleanType())]
+    return docs.mapInArrow(tasks, T.StructType([*docs.schema.fields, *more]))
+
+
 def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key1, key2, size, bands): hashes of the word sequence, number of cells, hashes of the bands; bands null without words."""
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from kmerloom.llm import near_dups
 
 
@@ -40,3 +41,14 @@ def test_hub_that_is_not_the_least_joins_its_copies(spark, block_members):
     assert {r.class_id for r in rows.values()} == {0}
     for d, r in rows.items():
         assert r.n_links == sum(d in pair for pair in linked)
+
+
+def test_pipeline_keeps_other_texts_of_one_doc_id(spark):
+    """Rows of one doc_id with different texts are judged by text: only the near copy of a smaller document goes."""
+    one, near, other, third = ([f"{name}{i}" for i in range(120)] for name in ("a", "a", "b", "c"))
+    near[60] = "edit"
+    rows = [(1, one), (2, near), (2, other), (2, other), (3, third), (3, one), (None, one), (4, ["!!!"]), (4, ["???"])]
+    rows = [(d, " ".join(w), "en") for d, w in rows]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    expected = [rows[0], rows[2], rows[4], rows[6], rows[7], rows[8]]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
