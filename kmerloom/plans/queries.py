@@ -173,6 +173,37 @@ def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "word", w.reverse_complement("word").alias("rc"), w.canonical("word").alias("canonical"), w.rotate_next("word").alias("next"), w.pcr("word").alias("pcr"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^acgt]', '', 'g'), 'acgt', 'ACGT') AS letters FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, substr(letters, CAST(i AS BIGINT) + 1, 35) AS word FROM (SELECT doc_id, letters, unnest(range(greatest(length(letters) - 34, 0))) AS i FROM t)),
+x AS (SELECT doc_id, least(word, reverse(translate(word, 'ACGT', 'TGCA'))) AS canonical, word, substr(word, 2) || substr(word, 1, 1) AS next,
+       list_min(list_transform(range(35), lambda i: substr(word, i + 1) || substr(word, 1, i))) AS pcr FROM w)
+SELECT doc_id, count(*) AS n_words, count(*) FILTER (word = canonical) AS n_canonical, min(canonical) AS least_canonical, max(canonical) AS most_canonical,
+       max(next) AS most_next, min(pcr) AS least_pcr, max(pcr) AS most_pcr FROM x GROUP BY doc_id
+""")
+def long_words_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 35 letters from every place of every document, aggregated inside the row."""
+    w = LONG
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^acgt]", ""), "acgt", "ACGT")
+
+    def every_word(x):
+        places = F.sequence(F.lit(1), F.greatest(F.length(x) - (w.k - 1), F.lit(1)))
+        return F.when(F.length(x) >= w.k, F.transform(places, lambda i: F.substring(x, i, F.lit(w.k)))).otherwise(F.array().cast("array<string>"))
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", sketch.bound(letters, every_word).alias("words")).where(F.size("words") > 0)
+    canonical, pcr = F.transform("words", w.canonical), F.transform("words", w.pcr)
+    return rows.select(
+        "doc_id",
+        F.size("words").cast("bigint").alias("n_words"),
+        F.size(F.filter("words", lambda x: x == w.canonical(x))).cast("bigint").alias("n_canonical"),
+        F.array_min(canonical).alias("least_canonical"),
+        F.array_max(canonical).alias("most_canonical"),
+        F.array_max(F.transform("words", w.rotate_next)).alias("most_next"),
+        F.array_min(pcr).alias("least_pcr"),
+        F.array_max(pcr).alias("most_pcr"),
+    )
+
+
 @query("WITH " + sql_universe(2, 6) + " SELECT count(*) AS n, count(DISTINCT (mer * 13 + 5) % 64) AS distinct_values FROM u")
 def permutation_is_bijective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A2K6.universe(spark).agg(F.count("*").alias("n"), F.countDistinct(A2K6.affine_permutation("mer", 13, 5)).alias("distinct_values"))
