@@ -1,9 +1,10 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact verification.
 
-A document is its multiset of word shingles. Each unit of an element's weight is a cell into
-which a hash throws darts, a Poisson process in the direction of rank; each dart names a coordinate, and the
-signature keeps the earliest dart of each. Only about k ln k + 2k darts a
-document are thrown, however long it is.
+A document is a weighted set of word shingles. The plane of weight and rank over each element is split into regions, one for each
+doubling of the weight; a hash throws darts into them, a Poisson process of one dart a unit of area, and a dart counts where it falls under the
+element's weight. Each dart names a coordinate, and the signature keeps the earliest dart of each, so two signatures agree in
+a coordinate with the chance of the weighted Jaccard similarity. About k ln k + 2k darts a document fall within reach; every region is
+tried once at least, so the work is linear in the number of elements.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, sums_by, text_chunks, texts_of, written
+from .common import dropped, mix64, sums_by, text_chunks, texts_of, written
 from .components import connected_components
 from .wordhash import Words, grams, words_of
 
 CELL, DART = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def elements(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of unit cells, one for each use of each shingle, and their number in each text.
+def elements(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each shingle of each text once: its hash, its number of uses, and the number of shingles in each text.
 
     A text of fewer words than a shingle, but not none, is one shingle.
     """
@@ -42,28 +43,43 @@ def elements(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
     at = np.flatnonzero(new)
-    use_number = np.arange(len(g)) - np.repeat(at, np.diff(np.append(at, len(g))))
-    gram[order] = mix64(g + use_number.astype(np.uint64) * CELL)
-    return gram, np.bincount(owner, minlength=len(words.counts))
+    uses, place = np.diff(np.append(at, len(g))), order[at]
+    by = np.argsort(place)
+    return gram[place[by]], uses[by], np.bincount(owner[place], minlength=len(words.counts))
 
 
-def dart_minhash(cells: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Earliest rank for each of ``k`` coordinates of each text (inf where a text has no cells)."""
+def unit_cells(gram: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """A hash for each use of each shingle: shared cells are the lesser uses of shared shingles."""
+    number = np.arange(int(uses.sum())) - np.repeat(np.cumsum(uses) - uses, uses)
+    return mix64(np.repeat(gram, uses) + number.astype(np.uint64) * CELL)
+
+
+def dart_minhash(gram: np.ndarray, weight: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Earliest rank for each of ``k`` coordinates of each text (inf where a text has no weight); weights are positive numbers."""
     out = np.full((len(counts), k), np.inf)
+    weight = weight.astype(np.float64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    reach = (k * math.log(k) + 2 * k) / np.maximum(counts, 1)
+    total = np.bincount(owner, weight, len(counts))
+    levels = np.ceil(np.log2(weight + 1)).astype(np.int64)
+    element = np.repeat(np.arange(len(gram)), levels)
+    level = np.arange(len(element)) - np.repeat(np.cumsum(levels) - levels, levels)
+    region, width, of = mix64(gram[element] + level.astype(np.uint64) * DART), np.exp2(level), owner[element]
+    reach = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)
     todo = counts > 0
     while todo.any():
-        own = np.flatnonzero(todo[owner])
-        cell, doc, rank, throw = cells[own], owner[own], np.zeros(len(own)), 0
-        while len(cell):
+        own = np.flatnonzero(todo[of])
+        rank, throw = np.zeros(len(own)), 0
+        while len(own):
             throw += 1
-            spin = mix64(cell + np.uint64(throw * int(DART) & (2**64 - 1)))
-            rank = rank - np.log(((spin >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            near = np.flatnonzero(rank <= reach[doc])
-            cell, doc, rank, spin = cell[near], doc[near], rank[near], spin[near]
-            coordinate = (mix64(spin ^ DART) % np.uint64(k)).astype(np.int64)
-            np.minimum.at(out.reshape(-1), doc * k + coordinate, rank)
+            spin = mix64(region[own] + np.uint64(throw * int(DART) & (2**64 - 1)))
+            rank = rank - np.log(((spin >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[own]
+            near = np.flatnonzero(rank <= reach[of[own]])
+            own, rank = own[near], rank[near]
+            spin = mix64(spin[near] ^ DART)
+            high = width[own] * (1 + (spin >> np.uint64(32)).astype(np.float64) * 2.0**-32) - 1
+            under = np.flatnonzero(high < weight[element[own]])
+            coordinate = ((spin[under] & np.uint64(2**32 - 1)) % np.uint64(k)).astype(np.int64)
+            np.minimum.at(out.reshape(-1), of[own[under]] * k + coordinate, rank[under])
         todo &= np.isinf(out).any(1)
         reach = reach * 2
     return out
@@ -94,20 +110,20 @@ def with_sequence_key(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key1, key2, size, bands): hashes of the word sequence, number of cells, hashes of the bands; bands null without words."""
+    """(doc_id, key1, key2, size, bands): hashes of the word sequence, uses of shingles, hashes of the bands; bands null without words."""
 
     def tasks(batches):
         for batch in text_chunks(batches, "text"):
             words = words_of(texts_of(batch.column("text")))
-            cells, counts = elements(words, shingle)
-            ranks = dart_minhash(cells, counts, bands * rows).view(np.uint64).reshape(len(counts), bands, rows)
+            gram, uses, counts = elements(words, shingle)
+            ranks = dart_minhash(gram, uses, counts, bands * rows).view(np.uint64).reshape(len(counts), bands, rows)
             band = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(counts), 1), np.uint64)
             for r in range(rows):
                 band = mix64(band * CELL + ranks[:, :, r])
             key1, key2 = sequence_key(words)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
             lists = pc.if_else(pa.array(words.counts > 0), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key1), pa.array(key2), pa.array(counts, pa.int64()), lists], names=["doc_id", "key1", "key2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key1), pa.array(key2), pa.array(sums_by(uses, counts), pa.int64()), lists], names=["doc_id", "key1", "key2", "size", "bands"])
 
     kind = docs.schema[doc_id].dataType
     longs = [T.StructField(c, T.LongType()) for c in ("key1", "key2", "size")]
@@ -116,15 +132,14 @@ def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int
 
 
 def profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """(key1, key2, profile): sorted 32-bit hashes of the cells of each word sequence, so that shared cells are shared shingles by use."""
+    """(key1, key2, profile): sorted 64-bit hashes of the cells of each word sequence, so that shared cells are shared shingles by use."""
 
     def tasks(batches):
         for batch in text_chunks(batches, "text"):
             words = words_of(texts_of(batch.column("text")))
-            cells, counts = elements(words, shingle)
-            ends = np.cumsum(counts)
-            low = (cells >> np.uint64(32)).astype(np.uint32)
-            data = [np.sort(low[e - n : e]).tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            gram, uses, counts = elements(words, shingle)
+            cells, sizes = unit_cells(gram, uses), sums_by(uses, counts)
+            data = [np.sort(cells[e - n : e]).tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in sequence_key(words)), pa.array(data, pa.binary())], names=["key1", "key2", "profile"])
 
     return docs.select("text").mapInArrow(tasks, "key1 long, key2 long, profile binary").dropDuplicates(["key1", "key2"])
@@ -199,7 +214,7 @@ def compared(placed: DataFrame, threshold: float) -> DataFrame:
     def groups(rows: pa.RecordBatch, edges: np.ndarray):
         lists = rows.column("bands").combine_chunks() if isinstance(rows.column("bands"), pa.ChunkedArray) else rows.column("bands")
         bands = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else None
-        cells = [np.frombuffer(x, np.uint32) for x in rows.column("profile").to_pylist()]
+        cells = [np.frombuffer(x, np.uint64) for x in rows.column("profile").to_pylist()]
         block, band, low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("block", "band", "low", "high"))
         found = []
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -268,13 +283,14 @@ def duplicate_classes(
     placed = placed.select("node", "band", "hash", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     links = written(compared(placed.join(cells, "node"), threshold), "links")
     degree = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    classes = connected_components(links.where("b IS NOT NULL").select("a", "b").distinct()).join(degree, "node")
-    classes = chosen.select("node").join(classes, "node", "left").select(
+    joined = connected_components(links.where("b IS NOT NULL").select("a", "b").distinct())
+    classes = chosen.select("node").join(joined.join(degree, "node"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.col("node.key1").alias("key1"), F.col("node.key2").alias("key2")
     )
     own = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
     out = signed.select("doc_id", "key1", "key2", own.alias("own"), F.col("bands").isNotNull().alias("worded")).join(classes, ["key1", "key2"], "left")
-    return out.select("doc_id", "key1", "key2", "worded", *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("node", "class", "links")))
+    out = out.select("doc_id", "key1", "key2", "worded", *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("node", "class", "links")))
+    return out
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
