@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +17,55 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (tests on one machine).
+    A folder of our own is made only where the session names none and runs on this machine alone (tests); on a cluster
+    that is an error, since executors would not see one another's files.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        own = spark.sparkContext.getCheckpointDir()
-        where = own or "file://" + tempfile.mkdtemp(prefix="kmerloom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Folders of the tables made by ``written``, and of those that are still there.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_STANDING: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: cuts lineage, survives lost executors."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    _STANDING.add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _STANDING.discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        if path := _FOLDERS.pop(table, None):
+            _delete(table.sparkSession, path)
+
+
+@atexit.register
+def _drop_the_rest() -> None:
+    """Tables that a lazily read result still needed go when the driver ends."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_STANDING) if spark else []:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is ending; what is left goes with the shared folder
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``links``; a component is named by its least node.
+    """(node, component, moved) for every node of ``links``; a component is named by its least node (moved is false).
 
     Labels go to neighbours and are then followed to their own labels (pointer jumping), so chains
     shrink at least by half a round. Each round is a table in the shared folder, and only counts reach the driver.
@@ -17,15 +17,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     one_way = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = written(one_way.union(one_way.select("v", "u")).distinct(), "edges")
-    labels = written(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
-    while True:
-        told = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        nearer = labels.join(told, labels.node == told.u).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        nearer = written(nearer, "labels")
-        ends = nearer.select(F.col("node").alias("label"), F.col("label").alias("end"))
-        labels = nearer.join(ends, "label").select("node", F.least("label", "end").alias("label"), (F.least("label", "end") < F.col("old")).alias("moved"))
-        labels = written(labels, "labels")
-        moved = labels.where("moved").limit(1).count()
-        labels = labels.select("node", "label")
-        if not moved:
-            return labels.select("node", F.col("label").alias("component"))
+    labels = edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"))
+    labels = written(labels.withColumn("moved", F.lit(True)), "labels")
+    while not labels.where("moved").isEmpty():
+        told = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
+        nearer = labels.join(told, labels.node == told.u).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        nearer, older = written(nearer, "labels"), labels
+        ends = nearer.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        least = F.least("component", "end")
+        labels = written(nearer.join(ends, "component").select("node", least.alias("component"), (least < F.col("old")).alias("moved")), "labels")
+        dropped(older, nearer)
+    dropped(edges)
+    return labels

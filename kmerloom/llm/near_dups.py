@@ -274,14 +274,15 @@ def duplicate_classes(
     buckets = buckets.groupBy("n", "x1", "x2", "least", "most").agg(F.min(F.struct("band", "hash", "n_blocks")).alias("o")).select("o.*")
     opened = written(member.drop("size").join(buckets, ["band", "hash"]), "buckets")
     wanted = opened.select("node").distinct()
-    texts = source.join(wanted.select("node.doc_id").distinct(), "doc_id", "left_semi")
+    texts = source.hint("merge").join(wanted.select("node.doc_id").distinct(), "doc_id", "left_semi")
     known = chosen.join(wanted, "node", "left_semi").select("node", "bands", F.col("node.key1").alias("key1"), F.col("node.key2").alias("key2"))
-    cells = written(known.join(profiles(texts, shingle), ["key1", "key2"]).drop("key1", "key2"), "profiles")
+    cells = written(known.hint("merge").join(profiles(texts, shingle), ["key1", "key2"]).drop("key1", "key2"), "profiles")
     block = F.pmod(F.xxhash64("node.key1", "node.key2", "band"), F.col("n_blocks")).cast("int")
     placed = opened.select("node", "band", "hash", "n_blocks", block.alias("block"))
     placed = placed.select("node", "band", "hash", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     placed = placed.select("node", "band", "hash", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    links = written(compared(placed.join(cells, "node"), threshold), "links")
+    links = written(compared(placed.hint("merge").join(cells, "node"), threshold), "links")
+    dropped(opened, cells)
     degree = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = connected_components(links.where("b IS NOT NULL").select("a", "b").distinct())
     classes = chosen.select("node").join(joined.join(degree, "node"), "node", "left").select(
@@ -289,7 +290,8 @@ def duplicate_classes(
     )
     own = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
     out = signed.select("doc_id", "key1", "key2", own.alias("own"), F.col("bands").isNotNull().alias("worded")).join(classes, ["key1", "key2"], "left")
-    out = out.select("doc_id", "key1", "key2", "worded", *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("node", "class", "links")))
+    out = written(out.select("doc_id", "key1", "key2", "worded", *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("node", "class", "links"))), "near-classes")
+    dropped(signed, chosen, links, joined)
     return out
 
 
