@@ -1,7 +1,7 @@
 """Harmonic packing of tokenised documents into training sequences.
 
-A document's ids are cut into full sequences, then into power-of-two pieces, and a
-tail under the smallest cut. A piece of length n belongs to the class k =
+A document's ids are cut into full sequences, then at the largest reciprocal of the capacity (capacity // k) that fits,
+as long as that is not under the smallest cut, and a tail. A piece of length n belongs to the class k =
 capacity // n, whose bins hold k pieces each, so bins fill without looking at any
 other piece. Every task packs its own rows: there is no shuffle and no global state.
 What is left in unfinished bins when a task ends (fewer than k pieces a class) is
@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.most = most
         self.forget()
 
@@ -63,7 +65,22 @@ class WordTokenizer:
             self.used += total
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, ``end_id`` after each text, and ids per text with it."""
+        """All ids, ``end_id`` after each text, and ids per text with it.
+
+        The file's special tokens are matched in the text as it stands, so a text with one of them, in any case, is encoded whole.
+        """
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._plain_ids(texts, end_id)
+        out, doc_tokens = self._plain_ids(pc.if_else(pa.array(special), pa.scalar("", texts.type), texts), end_id)
+        parts = np.split(out, np.cumsum(doc_tokens)[:-1])
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.array([*self.encoder.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id], np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _plain_ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         codes, counts, words = space_words(fold(texts))
         words = words.to_pylist()
         if len(self.known) > self.most:
@@ -119,18 +136,15 @@ def cut(doc_tokens: np.ndarray, capacity: int, smallest: int) -> tuple[np.ndarra
     docs.append(owner)
     starts.append((np.arange(len(owner)) - (np.cumsum(full) - full)[owner]) * capacity)
     lengths.append(np.full(len(owner), capacity))
-    bit = capacity // 2
-    while bit >= smallest:
-        own = np.flatnonzero(rest & bit)
+    at, own = full * capacity, np.flatnonzero(rest)
+    while len(own):
+        length = np.where(rest[own] < smallest, rest[own], capacity // -(-capacity // rest[own]))
         docs.append(own)
-        starts.append(full[own] * capacity + rest[own] // (2 * bit) * (2 * bit))
-        lengths.append(np.full(len(own), bit))
-        bit //= 2
-    tail = rest % (2 * bit)
-    own = np.flatnonzero(tail)
-    docs.append(own)
-    starts.append(doc_tokens[own] - tail[own])
-    lengths.append(tail[own])
+        starts.append(at[own])
+        lengths.append(length)
+        at[own] += length
+        rest[own] -= length
+        own = own[rest[own] > 0]
     doc, start, length = (np.concatenate(x).astype(np.int64) for x in (docs, starts, lengths))
     order = np.lexsort((start, doc))
     return doc[order], start[order], length[order]
@@ -186,10 +200,12 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, token_ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the path of a `tokenizers` file; ``capacity`` and ``smallest`` are powers of two.
+    ``tokenizer`` is the path of a `tokenizers` file; ``capacity`` and ``smallest`` are powers of two. Pieces of ``smallest`` ids or more
+    are capacity // k long, so a bin of k of them is all but full; a document has one shorter piece at most, but where a task ends.
     Every id of every document, and ``end_id`` after it, lies in exactly one piece; offsets in a
     sequence are gapless from 0. A null text is empty and yields its ``end_id`` alone. Rows that
-    repeat a doc_id are packed as separate documents; columns other than ``doc_id`` are not carried.
+    repeat a doc_id are packed as separate documents, repeated texts are packed each time; columns other than ``doc_id`` are not carried.
+    A text of any length is encoded whole; an empty table has no sequences.
     sequence_id is unique over tasks: the task's number in the high bits.
     """
     if capacity & (capacity - 1) or smallest & (smallest - 1) or not 0 < smallest < capacity:
