@@ -1,15 +1,15 @@
-"""Secret scans by a trigram inverted index (DataFrame functions only).
+"""Secret scans by trigrams (DataFrame functions only).
 
 Every rule's regular expression is turned into a Boolean query over trigrams
-that any match must contain. The postings of those trigrams are built over the
-whole table, intersected per document, and only candidates are scanned with the
-regular expression. A rule without mandatory trigrams scans every document.
+that any match must contain. A text's postings, the numbers of the asked trigrams that it holds, stay in its row; they are intersected
+with each rule's query there, and only candidates are scanned with the regular expression. A rule without mandatory
+trigrams scans every text. Nothing is shuffled; ``trigram_postings`` gives the same postings as an inverted table.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -104,32 +104,57 @@ def _runs(items, most: int) -> list[tuple[str, ...]]:
     return ways
 
 
+def held_trigrams(text: Column, trigrams: Sequence[str]) -> Column:
+    """Postings of one text: the numbers of ``trigrams`` that it holds, in either case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return _let(low, lambda x: F.array_compact(F.array(*(F.when(F.contains(x, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams))).cast("array<int>")))
+
+
 def trigram_postings(docs: DataFrame, trigrams: Sequence[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram number, doc_id): which of ``trigrams`` each document holds, in either case."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    held = [F.when(F.contains(F.col("low"), F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]
-    return docs.select(F.col(doc_id).alias("doc_id"), low.alias("low")).select(
-        "doc_id", F.explode(F.array_compact(F.array(*held))).alias("trigram")
-    )
+    """(trigram number, doc_id): the inverted table of the same postings; texts that hold none have no row."""
+    return docs.select(F.explode(held_trigrams(F.col(text), trigrams)).alias("trigram"), F.col(doc_id).alias("doc_id"))
 
 
-def candidates(docs: DataFrame, rules: Sequence[SecretRule], *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, int]]:
-    """(doc_id, rule bits) where the intersected postings let a rule match, and the bit of each indexed rule."""
-    asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    trigrams = sorted({g for q in asked.values() for s in q for g in s})
-    if len(trigrams) > 62:
-        raise ValueError("more than 62 mandatory trigrams; scan with several sets of rules")
+def candidate_rules(text: Column, rules: Sequence[SecretRule]) -> Column:
+    """Kinds of the ``rules`` that the intersected postings of a text let match; rules without mandatory trigrams always."""
+    asked = {r.kind: trigram_query(r.pattern) for r in rules}
+    trigrams = sorted({g for q in asked.values() if q is not None for s in q for g in s})
     number = {g: i for i, g in enumerate(trigrams)}
-    postings = trigram_postings(docs, trigrams, doc_id=doc_id, text=text)
-    one = F.lit(1).cast("bigint")
-    held = postings.groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", one, F.col("trigram"))).alias("held"))
-    bits = {kind: i for i, kind in enumerate(asked)}
-    rule_bits = F.lit(0).cast("bigint")
-    for kind, query in asked.items():
-        masks = [sum(1 << number[g] for g in s) for s in query]
-        hit = reduce(Column.__or__, [F.col("held").bitwiseAND(F.lit(m).cast("bigint")) == F.lit(m).cast("bigint") for m in sorted(masks)])
-        rule_bits = rule_bits.bitwiseOR(F.when(hit, F.lit(1 << bits[kind]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return held.select("doc_id", rule_bits.alias("rule_bits")).where("rule_bits != 0"), bits
+
+    def fits(held: Column, query: Query) -> Column:
+        ways = [reduce(Column.__and__, [F.array_contains(held, number[g]) for g in sorted(s)]) for s in sorted(query, key=sorted)]
+        return reduce(Column.__or__, ways)
+
+    def kinds(held: Column) -> Column:
+        every = [F.lit(k) if q is None else F.when(fits(held, q), F.lit(k)) for k, q in asked.items()]
+        return F.array_compact(F.array(*every))
+
+    return _let(held_trigrams(text, trigrams), kinds) if trigrams else F.array(*map(F.lit, asked)).cast("array<string>")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, how: Callable[[Column, Column], Column], zero: int, block: int = 256) -> Column:
+    """Running totals of an array of integers under an associative ``how``, block by block so that time stays all but linear."""
+
+    def within(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(how(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(zero)), x))))
+
+    def whole(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / block).cast("int")), lambda i: within(F.slice(xs, (i * block + 1).cast("int"), block)))
+        return _let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(zero)), within(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, start: F.transform(b, lambda x: how(start, x))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.array().cast("array<int>")))
+
+
+SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
 def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
@@ -139,43 +164,32 @@ def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
     are the offsets.
     """
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    sizes = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    parts = F.arrays_zip(gaps.alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("size"), F.transform(sizes, lambda x: F.length(x)).alias("value"))
-    span = "struct<start:int,rank:int,end:int,kind:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    values = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    sizes, gaps, values = (F.transform(x, lambda v: F.length(v)) for x in (matches, F.split(text, rule.pattern, -1), values))
+    parts = F.struct(sizes.alias("sizes"), gaps.alias("gaps"), values.alias("values"))
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        end = start + part["size"]
-        found = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        spans = F.when(part["value"] >= rule.least, F.concat(acc["spans"], F.array(found).cast(f"array<{span}>"))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def spans(p: Column) -> Column:
+        ends = running(F.zip_with(p["sizes"], F.slice(p["gaps"], F.lit(1), F.size(p["sizes"])), lambda a, b: a + b), lambda a, b: a + b, 0)
+        each = F.arrays_zip(ends.alias("end"), p["sizes"].alias("size"), p["values"].alias("value"))
+        long = F.filter(each, lambda x: x["value"] >= rule.least)
+        return F.transform(long, lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(order).alias("rank"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    found = F.aggregate(F.slice(parts, F.lit(1), F.size(matches)), zero, step, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), _let(parts, spans)).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
-def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, doc_id: str = "doc_id", text: str = "text", out: str = "secret_spans") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """``docs`` with the column ``out``: array of (start, rank, end, kind), by start, then order of rules.
 
-    A null text is empty and has no spans. Rows that repeat a doc_id share postings, which only adds
-    candidates; a row without a doc_id is scanned by every rule. Other columns stay as they are.
+    A null text is empty and has no spans; a text of any length is scanned whole. Rows are scanned each for itself, so repeated rows have
+    equal spans, and no id is needed. An empty table stays empty. Other columns stay as they are; one named ``out`` is replaced.
     """
-    found, bits = candidates(docs, rules, doc_id=doc_id, text=text)
-    found = found.withColumnRenamed("doc_id", "__doc").withColumnRenamed("rule_bits", "__bits")
-    joined = docs.join(found, F.col(doc_id) == F.col("__doc"), "left")
     body = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    each = []
-    for order, rule in enumerate(rules):
-        spans = rule_spans(body, rule, order)
-        if rule.kind in bits:
-            may = F.coalesce(F.col("__bits").bitwiseAND(F.lit(1 << bits[rule.kind]).cast("bigint")) != 0, F.lit(False)) | F.col(doc_id).isNull()
-            spans = F.when(may, spans).otherwise(empty)
-        each.append(spans)
-    kept = [c for c in docs.columns if c != out]
-    return joined.select(*kept, F.array_sort(F.concat(*each)).alias(out))
+    empty = F.array().cast(f"array<{SPAN}>")
+    found = _let(
+        candidate_rules(body, rules),
+        lambda kinds: F.array_sort(F.concat(*(F.when(F.array_contains(kinds, r.kind), rule_spans(body, r, i)).otherwise(empty) for i, r in enumerate(rules)))),
+    )
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), found.alias(out))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -185,12 +199,19 @@ def joined_spans(spans: Column) -> Column:
 
 def redact(docs: DataFrame, spans: str, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the column ``spans`` replaced by ``mark`` (overlaps once); null texts stay null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        done = F.when(s["start"] >= acc["at"], F.concat(acc["done"], gap, F.lit(mark))).otherwise(acc["done"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), done.alias("done"))
+    def cut(s: Column) -> Column:
+        letters = F.split(F.col(text), "")
+        reach = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), 0)
+        shape = F.struct(letters.alias("letters"), F.arrays_zip(s.alias("span"), F.concat(F.array(F.lit(0)), reach).alias("before")).alias("each"))
+        return _let(shape, pieces)
+
+    def pieces(p: Column) -> Column:
+        def one(x: Column) -> Column:
+            start = F.coalesce(x["span"]["start"], F.size(p["letters"]))
+            gap = F.array_join(F.slice(p["letters"], x["before"] + 1, F.greatest(start - x["before"], F.lit(0))), "")
+            return F.when(x["span"].isNull(), gap).when(start >= x["before"], F.concat(gap, F.lit(mark))).otherwise("")
+
+        return F.array_join(F.transform(p["each"], one), "")
 
-    whole = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text)))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, _let(F.col(spans), cut)).otherwise(F.col(text)))
