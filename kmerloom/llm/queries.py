@@ -118,7 +118,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (fold("doc_id", 3) == 1).alias("held_out"),
+        F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"),
         "toxic_passages",

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import space_words, text_chunks, texts_of, written
+from .common import dropped, space_words, text_chunks, texts_of, written
 
 STRIP = ".,;:!?\"'()[]{}|*_-«»¿¡…<>/\\"
 
@@ -137,6 +137,7 @@ def train(
     sample: int = 20_000,
     prior: float = 0.05,
     level: float = 0.05,
+    least_docs: int = 3,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> ToxicityModel:
@@ -147,7 +148,8 @@ def train(
     the rest counts. Null labels and texts are left out; without toxic labels
     every score is that of no evidence. ``prior`` is the Dirichlet prior's weight as a part of all counts. A word is
     evidence if so many of its documents would be toxic by chance with a probability under
-    ``level`` over the number of words tested; repeats inside one text count once there.
+    ``level`` over the number of words tested; repeats inside one text count once there. Words of fewer than ``least_docs`` toxic documents
+    are not tested. Of ids with equal hashes any may be sampled first; texts of any length are counted whole.
     """
     spread = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").orderBy(spread).limit(sample)
@@ -159,7 +161,8 @@ def train(
     words = count_words(rows.where("part <> 0"))
     words = written(words, "toxic-words")
     n_toxic, n_clean, d_toxic, d_clean = (int(x or 0) for x in words.agg(*[F.sum(c) for c in ("toxic", "clean", "toxic_docs", "clean_docs")]).first())
-    table = words.where("toxic_docs > 2").toPandas()
+    table = words.where(F.col("toxic_docs") >= least_docs).toPandas()
+    dropped(words)
     if len(table):
         in_toxic, in_all = table["toxic_docs"].to_numpy(float), (table["toxic_docs"] + table["clean_docs"]).to_numpy(float)
         chance = upper_tail(in_toxic, in_all, min(0.999, max(1e-9, d_toxic / max(1, d_toxic + d_clean))))
@@ -188,7 +191,7 @@ def _calibrate(model: ToxicityModel, seen: pd.DataFrame) -> ToxicityModel:
     best = np.array([max(s, default=0.0) for s in seen.scores])
     clean = ((seen.toxic == 0) & (best > 0)).to_numpy()
     excess = best[clean] - np.log(np.maximum(seen.n[clean], 1)).to_numpy()
-    location = float(np.clip(np.median(excess) + math.log(math.log(2)), -8.0, 0.0)) if len(excess) else -4.0
+    location = float(np.median(excess) + math.log(math.log(2))) if len(excess) else -4.0
     x = np.array([_evidence(s, n, location) for s, n in zip(seen.scores, seen.n, strict=True)])
     y = seen.toxic.to_numpy(float)
     w = np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
@@ -206,7 +209,8 @@ def score(docs: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, text: s
     """``docs`` with the probability ``out`` and the significant ``passages`` (words from, to, score, p-value).
 
     Words are what lies between spaces and line feeds. A null or empty text has no passage and the
-    score of no evidence. Repeated rows are scored alike; columns named like the new ones are replaced.
+    score of no evidence. Repeated rows are scored alike, texts of any length whole, and an empty table stays empty; of segments that tie,
+    the earlier one stays maximal. Columns named like the new ones are replaced.
     """
     kept = [f for f in docs.schema.fields if f.name not in (out, passages)]
     passage = T.StructType([T.StructField(n, t()) for n, t in (("start", T.IntegerType), ("end", T.IntegerType), ("score", T.DoubleType), ("p_value", T.DoubleType))])
