@@ -68,6 +68,14 @@ def _drop_the_rest() -> None:
             return
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many lines before it as it takes to be no column of ``df``."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

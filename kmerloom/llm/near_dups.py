@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import dropped, mix64, sums_by, text_chunks, texts_of, written
 from .components import connected_components
-from .wordhash import Words, grams, words_of
+from .wordhash import Words, grams, sequence_key, words_of
 
 CELL, DART = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -85,27 +85,16 @@ def dart_minhash(gram: np.ndarray, weight: np.ndarray, counts: np.ndarray, k: in
     return out
 
 
-def sequence_key(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's word sequence."""
-    longest = int(words.counts.max()) if len(words.counts) else 0
-    place = np.arange(len(words.hashes)) - np.repeat(words.first, words.counts)
-    keys = []
-    for salt in (CELL, DART):
-        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(longest, salt))))
-        keys.append(mix64(sums_by(mix64(words.hashes ^ salt) * power[place], words.counts) + words.counts.astype(np.uint64)).view(np.int64))
-    return keys[0], keys[1]
-
-
-def with_sequence_key(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with key1 and key2 of each text's word sequence and whether it has words (worded)."""
+def with_sequence_key(docs: DataFrame, names: tuple[str, str, str], text: str = "text") -> DataFrame:
+    """``docs`` with two keys of each text's word sequence and whether it has words, under ``names``."""
 
     def tasks(batches):
         for batch in text_chunks(batches, text):
             words = words_of(texts_of(batch.column(text)))
             more = [*(pa.array(k) for k in sequence_key(words)), pa.array(words.counts > 0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "key1", "key2", "worded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    more = [T.StructField("key1", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("worded", T.BooleanType())]
+    more = [T.StructField(c, t) for c, t in zip(names, (T.LongType(), T.LongType(), T.BooleanType()), strict=True)]
     return docs.mapInArrow(tasks, T.StructType([*docs.schema.fields, *more]))
 
 

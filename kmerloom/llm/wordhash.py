@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .common import mix64
+from .common import mix64, sums_by
 
 _BYTE = np.arange(256)
 IS_WORD = (_BYTE >= 0x80) | ((_BYTE >= 0x30) & (_BYTE <= 0x39)) | ((_BYTE | 0x20) >= 0x61) & ((_BYTE | 0x20) <= 0x7A) & (_BYTE < 0x80)
@@ -73,6 +73,20 @@ def words_of(texts: pa.Array) -> Words:
     return Words(mix64(hashes + size.astype(np.uint64)), starts, ends, counts)
 
 
+SEQUENCE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+
+
+def sequence_key(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's word sequence."""
+    longest = int(words.counts.max()) if len(words.counts) else 0
+    place = np.arange(len(words.hashes)) - np.repeat(words.first, words.counts)
+    keys = []
+    for salt in SEQUENCE:
+        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(longest, salt))))
+        keys.append(mix64(sums_by(mix64(words.hashes ^ salt) * power[place], words.counts) + words.counts.astype(np.uint64)).view(np.int64))
+    return keys[0], keys[1]
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each word on, across texts; the last n-1 are meaningless."""
     out = np.zeros(len(hashes), np.uint64)
