@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, near_dups, packing, secrets, toxicity
-from kmerloom.llm.common import table, written
+from kmerloom.llm.common import dropped, fresh, table, written
 from kmerloom.llm.queries import TOXIC_AT, WORD_TOKENIZER, tokenizer_path, toxicity_model
 
 
@@ -23,11 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for the least (doc_id, word sequence) of each near-duplicate class; rows without doc_id or words stay."""
-    classes = near_dups.duplicate_classes(docs)
-    kept = classes.where("node = class").select("class.*").distinct()
-    keyed = near_dups.with_sequence_key(docs)
-    alone = F.col("doc_id").isNull() | ~F.col("worded")
-    known = keyed.where(~alone).join(kept, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
+    key = [fresh(docs, "key1"), fresh(docs, "key2")]
+    worded = fresh(docs, "worded")
+    kept = near_dups.duplicate_classes(docs).where("node = class").select("class.*").distinct().withColumnsRenamed({"key1": key[0], "key2": key[1]})
+    keyed = near_dups.with_sequence_key(docs, (*key, worded))
+    alone = F.col("doc_id").isNull() | ~F.col(worded)
+    known = keyed.where(~alone).join(kept, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     return known.select(*docs.columns).unionByName(keyed.where(alone).select(*docs.columns))
 
 
@@ -65,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = written(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
