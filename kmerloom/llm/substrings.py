@@ -1,10 +1,9 @@
-"""Exact substring deduplication by sampled suffixes (a difference-cover suffix sort, cut at a fixed depth).
+"""Exact substring deduplication by sampled suffixes, sorted to a fixed depth.
 
-Only suffixes at the positions of a cover are sorted. The names of their prefixes are found by
-sorting hashes that every block sends once; a name that occurs once cannot repeat and leaves, as unique names end the
-recursion of a suffix sort. The other suffixes are reached through the sampled one inside them: a window of
-``length`` bytes is a few bytes of left context, a named prefix and the rest. These windows are
-sorted, and adjacent equal ones give each its least document.
+Only suffixes at the positions of a cover are sorted. The names of their prefixes are found by sorting; a name that occurs once cannot repeat
+and leaves, as unique names end the recursion of a suffix sort. The other suffixes are reached through the sampled one inside them: a window of
+``length`` bytes is a few bytes of left context, a named prefix and the rest. The windows around equal names are sorted, and
+adjacent ones are compared byte by byte, which gives each its least document.
 
 ``cover="difference"`` samples positions by their residues, a perfect difference set modulo 31: any two residues have an offset at
 which both positions are sampled. ``cover="synchronizing"`` samples by content, the least hash among the prefixes
@@ -23,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, text_chunks, texts_of, written
+from .common import dropped, mix64, text_chunks, texts_of, written
 from .wordhash import byte_buffer
 
 #: A fixed perfect difference set: every residue modulo 31 is a difference of two of its members.
 MODULUS, DIFFERENCE_SET = 31, (0, 1, 3, 8, 12, 18)
-BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+FACTOR, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 NO_DOC = np.iinfo(np.int64).max
+#: Bytes of text whose positions are worked on at once, and windows compared at once.
+PIECE, AT_ONCE = 1 << 20, 400_000
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -41,27 +41,24 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.decompress(data))
 
 
-def prefix_hashes(raw: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hash of the ``n`` bytes from each position on (the last n-1 are meaningless), by doubling."""
-    factor, out, done, power = FACTORS[which], None, 0, BYTE[raw]
-    if which:
-        power = mix64(power)
-    have = 1
-    while have <= n:
-        if n & have:
-            if out is None:
-                out = power
-            else:
-                moved = np.zeros_like(power)
-                moved[: max(0, len(power) - done)] = power[done:]
-                out = out * np.uint64(pow(factor, have, 1 << 64)) + moved
-            done += have
-        if 2 * have <= n:
-            moved = np.zeros_like(power)
-            moved[: max(0, len(power) - have)] = power[have:]
-            power = power * np.uint64(pow(factor, have, 1 << 64)) + moved
-        have *= 2
-    return mix64(out)
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros past the end)."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray(len(raw), "<u8", padded, strides=(1,))
+
+
+def _offsets(n: int) -> list[int]:
+    return [*range(0, n - 8, 8), n - 8]
+
+
+def prefix_hashes(raw: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` bytes from each position on (``n`` is 8 or more; the last n-1 are meaningless)."""
+    eight, out = eights(raw), np.zeros(len(raw), np.uint64)
+    for at in _offsets(n):
+        out[: max(0, len(raw) - at)] ^= eight[at:]
+        out *= FACTOR
+        out ^= out >> np.uint64(32)
+    return out * STEP
 
 
 def least_positions(x: np.ndarray, w: int) -> np.ndarray:
@@ -77,34 +74,59 @@ def least_positions(x: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, cover: str):
-    """Sampled positions with the first and last window start that each stands for, its name's hash and its text.
+def slices(offsets: np.ndarray, length: int):
+    """(byte from, to, places of texts inside): whole texts of about PIECE bytes, or parts of a longer one that overlap by a window."""
+    start = 0
+    while start < len(offsets) - 1:
+        stop = int(np.searchsorted(offsets, offsets[start] + PIECE, "right")) - 1
+        if stop > start:
+            yield int(offsets[start]), int(offsets[stop]), offsets[start : stop + 1] - offsets[start]
+        else:
+            stop = start + 1
+            for a in range(int(offsets[start]), int(offsets[stop]), PIECE):
+                z = min(a + PIECE + length - 1, int(offsets[stop]))
+                yield a, z, np.array([0, z - a])
+        start = stop
+
 
-    Windows are ``length`` bytes inside one text; names are hashes of the length - 30 bytes from the position on.
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, cover: str):
+    """(name, first, last, context): sampled positions by the hash of their prefix, the first and last window start that each stands for,
+    and a hash of the bytes of all these windows. Windows are ``length`` bytes inside one text; prefixes have length - 30 bytes.
     """
+    found = [tuple(x + a if i in (1, 2) else x for i, x in enumerate(_anchors(raw[a:z], inside, a, offsets, length, cover))) for a, z, inside in slices(offsets, length)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
+
+
+def _anchors(raw, inside, a, offsets, length, cover):
     size = length - MODULUS + 1
     name = prefix_hashes(raw, size)
-    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    ends = offsets[1:][text] if len(text) else np.zeros(0, np.int64)
-    position = np.arange(len(raw))
-    if cover == "difference":
-        residue = (position - offsets[:-1][text]) % MODULUS
-        at = np.flatnonzero(np.isin(residue, DIFFERENCE_SET) & (position + size <= ends))
-        first = np.maximum(at - MODULUS + 1, offsets[:-1][text[at]])
-        last = np.minimum(at, ends[at] - length)
-        good = first <= last
-        at, first, last = at[good], first[good], last[good]
-    elif cover == "synchronizing":
-        windows = np.flatnonzero(position + length <= ends)
+    good = np.zeros(len(raw) + 1, np.int8)
+    whole = np.diff(inside) >= length
+    np.add.at(good, inside[:-1][whole], 1)
+    np.add.at(good, inside[1:][whole] - length + 1, -1)
+    good = np.cumsum(good, dtype=np.int8)[:-1] > 0
+    windows = np.flatnonzero(good)
+    if cover == "synchronizing":
         chosen = least_positions(name, MODULUS)[windows]
         new = np.ones(len(windows), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (text[windows[1:]] != text[windows[:-1]])
+        new[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
         begin = np.flatnonzero(new)
         at, first = chosen[begin].astype(np.int64), windows[begin]
         last = windows[np.append(begin[1:], len(windows)) - 1] if len(begin) else first
+    elif cover == "difference":
+        text = np.searchsorted(inside, np.arange(len(raw)), "right") - 1
+        begin, end = inside[text], inside[text + 1]
+        place = np.arange(len(raw)) + a - offsets[np.searchsorted(offsets, begin + a, "right") - 1]
+        at = np.flatnonzero(np.isin(place % MODULUS, DIFFERENCE_SET))
+        first, last = np.maximum(at - MODULUS + 1, begin[at]), np.minimum(at, end[at] - length)
+        at, first, last = (x[first <= last] for x in (at, first, last))
     else:
         raise ValueError(f"no such cover: {cover}")
-    return at, first, last, name[at], text[at]
+    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), STEP))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(power[:-1] * (raw.astype(np.uint64) + np.uint64(1)))))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), np.uint64(pow(int(STEP), -1, 1 << 64))))))
+    context = mix64((total[last + length] - total[first]) * back[first] + (last - first).astype(np.uint64) * FACTOR + (at - first).astype(np.uint64))
+    return name[at], first, last, context
 
 
 def text_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
@@ -146,14 +168,14 @@ def _split(keys: np.ndarray, buckets: np.ndarray):
             yield int(buckets[part[0]]), part
 
 
-def repeated_names(blocks: DataFrame, length: int, cover: str, bits: int, buckets: int) -> DataFrame:
-    """(block_id, keys): for each block, those of its names that some other block has too."""
+def repeated_names(blocks: DataFrame, length: int, cover: str, bits: int, buckets: int, hot_blocks: int) -> DataFrame:
+    """(block_id, keys, hot): for each block, those of its names that some other block has too, and those that more than ``hot_blocks`` have."""
 
     def send(batches):
         for batch in batches:
             for block, data in zip(batch.column("block_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 raw, offsets, *_ = unpacked(data)
-                name = np.unique(_sent(anchors(raw, offsets, length, cover)[3], bits, buckets)[0])
+                name = np.unique(_sent(anchors(raw, offsets, length, cover)[0], bits, buckets)[0])
                 where = _sent(name << np.uint64(64 - bits), bits, buckets)[1]
                 rows = [(b, block, _deltas(name[part])) for b, part in _split(name, where)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block_id", "keys"])
@@ -161,82 +183,125 @@ def repeated_names(blocks: DataFrame, length: int, cover: str, bits: int, bucket
     def find(group: pa.Table) -> pa.Table:
         lists = [_values(k) for k in group["keys"].to_pylist()]
         every, counts = np.unique(np.concatenate(lists), return_counts=True)
-        again = every[counts > 1]
-        kept = [x[np.isin(x, again, assume_unique=True)] for x in lists]
-        blocks = [b for b, k in zip(group["block_id"].to_pylist(), kept, strict=True) if len(k)]
-        return pa.table({"block_id": pa.array(blocks, pa.int64()), "keys": pa.array([_deltas(k) for k in kept if len(k)], pa.binary())})
-
-    return blocks.mapInArrow(send, "bucket int, block_id long, keys binary").groupBy("bucket").applyInArrow(find, "block_id long, keys binary")
-
-
-def _contexts(raw, offsets, ids, keys, length, cover, bits, buckets):
-    """What a block sends to each bucket: distinct contexts with their least document, the windows in them, the
-    places that ask, and the places already answered inside the block."""
-    at, first, last, name, text = anchors(raw, offsets, length, cover)
-    cut, where = _sent(name, bits, buckets)
-    order = np.argsort(cut, kind="stable")
-    same = np.zeros(len(cut), bool)
-    same[order[1:]] = cut[order[1:]] == cut[order[:-1]]
-    same[order[:-1]] |= cut[order[1:]] == cut[order[:-1]]
-    use = np.flatnonzero(same | np.isin(cut, keys))
-    first, last, text, where, at = first[use], last[use], text[use], where[use], at[use]
-    size = last - first + length
+        again, hot = every[counts > 1], every[counts > hot_blocks]
+        rows = []
+        for block, x in zip(group["block_id"].to_pylist(), lists, strict=True):
+            x = x[np.isin(x, again, assume_unique=True)]
+            if len(x):
+                much = np.isin(x, hot, assume_unique=True)
+                rows.append((block, _deltas(x), _deltas(x[much]) if much.any() else None))
+        return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
+
+    return blocks.mapInArrow(send, "bucket int, block_id long, keys binary").groupBy("bucket").applyInArrow(find, "block_id long, keys binary, hot binary")
+
+
+def _lists(items) -> np.ndarray:
+    return np.sort(np.concatenate([_values(k) for k in items if k])) if items and any(items) else np.zeros(0, np.uint64)
+
+
+def _bytes_at(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     place = np.cumsum(size) - size
-    index = np.repeat(first - place, size) + np.arange(int(size.sum()))
-    whole = np.zeros(len(use), np.uint64)
-    if len(use):
-        power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(size.max()), np.uint64(FACTORS[1])))))
-        whole = mix64(np.add.reduceat(BYTE[raw[index]] * power[index - np.repeat(first, size)], place) + size.astype(np.uint64) * BYTE[7] + (at - first).astype(np.uint64))
-    doc = ids[text]
-    order = np.lexsort((doc, whole))
-    new = np.ones(len(use), bool)
-    new[1:] = whole[order[1:]] != whole[order[:-1]]
-    context = np.cumsum(new) - 1
-    leader = order[new]
-    least = doc[order] == doc[leader][context]
-    start = first - offsets[:-1][text]
-    for b, part in _split(where[leader], where[leader]):
-        chosen = leader[part]
-        local = np.full(len(leader), -1)
-        local[part] = np.arange(len(part))
-        mine = local[context] >= 0
-        ask, done = order[mine & least], order[mine & ~least]
-        body = np.concatenate([raw[first[c] : last[c] + length] for c in chosen])
+    return raw[np.repeat(first - place, size) + np.arange(int(size.sum()))]
+
+
+class Contexts:
+    """Repeated contexts of a block: distinct ones with their least document (``leader``), and for each context its leader."""
+
+    def __init__(self, raw, offsets, ids, keys, length, cover, bits):
+        name, first, last, whole = anchors(raw, offsets, length, cover)
+        cut = _sent(name, bits, 1)[0]
+        order = np.argsort(cut, kind="stable")
+        same = np.zeros(len(cut), bool)
+        same[order[1:]] = cut[order[1:]] == cut[order[:-1]]
+        same[order[:-1]] |= cut[order[1:]] == cut[order[:-1]]
+        use = np.flatnonzero(same | np.isin(cut, keys))
+        self.name, self.first, self.last, whole, self.size = name[use], first[use], last[use], whole[use], (last - first + length)[use]
+        self.text = np.searchsorted(offsets, self.first, "right") - 1
+        self.doc = ids[self.text]
+        order = np.lexsort((self.doc, whole))
+        new = np.ones(len(use), bool)
+        new[1:] = whole[order[1:]] != whole[order[:-1]]
+        head = order[new][np.cumsum(new) - 1] if len(use) else order
+        for a in range(0, len(order), 20_000):
+            one, two = order[a : a + 20_000], head[a : a + 20_000]
+            alike = self.size[one] == self.size[two]
+            sizes = self.size[one[alike]]
+            differ = _bytes_at(raw, self.first[one[alike]], sizes) != _bytes_at(raw, self.first[two[alike]], sizes)
+            alike[np.flatnonzero(alike)[np.repeat(np.arange(len(sizes)), sizes)[differ]]] = False
+            head[a : a + 20_000] = np.where(alike, two, one)
+        self.leader = np.empty(len(use), np.int64)
+        self.leader[order] = head
+        #: A context asks for its windows if no smaller document of the block has all of them.
+        self.asks = self.doc == self.doc[self.leader]
+
+
+def _sends(raw, offsets, block, c: Contexts, hot: np.ndarray, bits: int, buckets: int):
+    """What a block sends to each bucket: distinct contexts with their least document, who asks, and what the block answers itself."""
+    cut, where = _sent(c.name, bits, buckets)
+    start = c.first - offsets[c.text]
+    much = np.isin(cut, hot)
+    where[much & ~c.asks] = block % buckets
+    heads = c.leader == np.arange(len(c.leader))
+    for b, part in _split(where, where):
+        part = part[~(much[part] & c.asks[part])]
+        chosen, ask, done = part[heads[part] & ~much[part]], part[c.asks[part]], part[~c.asks[part]]
+        local = np.full(len(c.leader), -1)
+        local[chosen] = np.arange(len(chosen))
         yield b, packed(
-            body, (last - first + 1)[chosen].astype(np.int32), doc[chosen],
-            local[context][mine & least].astype(np.int32), text[ask], start[ask].astype(np.int32),
-            text[done], start[done].astype(np.int32), (last - first)[done].astype(np.int32),
+            _bytes_at(raw, c.first[chosen], c.size[chosen]), (c.last - c.first + 1)[chosen].astype(np.int32), c.doc[chosen], cut[chosen],
+            local[c.leader[ask]].astype(np.int32), c.text[ask].astype(np.int32), start[ask].astype(np.int32),
+            c.text[done].astype(np.int32), start[done].astype(np.int32), (c.last - c.first)[done].astype(np.int32),
         )
 
 
+def _again(body: np.ndarray, window: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows, given by their places in ``body``, a smaller document has too. Sorted by hash, adjacent ones compared by bytes."""
+    hashes = prefix_hashes(body, length)[window]
+    order = np.lexsort((doc, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    eight, sorted_window = eights(body), window[order]
+    equal = ~new[1:]
+    for at in _offsets(length):
+        equal &= eight[sorted_window[1:] + at] == eight[sorted_window[:-1] + at]
+    if (equal == new[1:]).any():  # different windows of one hash: sort by the bytes themselves
+        rows = np.lib.stride_tricks.sliding_window_view(body, length)[window]
+        order = np.lexsort((doc, np.unique(rows, axis=0, return_inverse=True)[1].ravel()))
+        new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    found = np.zeros(len(order), bool)
+    found[order] = doc[order] > doc[order[new]][np.cumsum(new) - 1] if len(order) else False
+    return found
+
+
 def _resolve(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block's part: (text, first, last window start) of windows that a smaller document has too."""
+    """For each block's part: (text, first, last window start) of windows that a smaller document has too. Names are taken one after another."""
     counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    doc = np.concatenate([p[2] for p in parts])
-    body = np.concatenate([p[0] for p in parts])
+    doc, name, body = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 0))
     sizes = counts + length - 1
     place = np.cumsum(sizes) - sizes
-    order = np.argsort(doc, kind="stable")
-    n = counts[order]
-    begin = np.cumsum(n) - n
-    window = np.repeat(place[order] - begin, n) + np.arange(int(n.sum()))
-    of = np.repeat(order, n)
-    one = prefix_hashes(body, length)[window]
-    by = np.argsort(one, kind="stable")
-    two = prefix_hashes(body, length, 1)[window[by]]
-    new = np.ones(len(by), bool)
-    new[1:] = one[by[1:]] != one[by[:-1]]
-    head = np.flatnonzero(new)
+    order = np.argsort(name, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
     group = np.cumsum(new) - 1
-    if (two != two[head][group]).any():  # two different windows of one hash: tell them apart by the second
-        by = np.lexsort((np.arange(len(one)), prefix_hashes(body, length, 1)[window], one))
-        two = prefix_hashes(body, length, 1)[window[by]]
-        new[1:] = (one[by[1:]] != one[by[:-1]]) | (two[1:] != two[:-1])
-        head = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-    found = np.zeros(len(by), bool)
-    found[by] = doc[of[by]] > doc[of[by[head]]][group]
-    which, at = of[found], (window - place[of])[found]
+    alone = np.bincount(group, minlength=1)[group] == 1 if len(order) else new
+    order, group = order[~alone], group[~alone]
+    total = np.cumsum(counts[order])
+    turn = np.flatnonzero(np.diff(group)) + 1
+    edges = [0]
+    for t in [*turn.tolist(), len(order)]:
+        if t == len(order) or total[t - 1] - (total[edges[-1] - 1] if edges[-1] else 0) >= AT_ONCE:
+            edges.append(t)
+    whose, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        own = order[a:z]
+        n = counts[own]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        part = _bytes_at(body, place[own], sizes[own])
+        base = np.repeat(np.cumsum(sizes[own]) - sizes[own], n)
+        found = _again(part, base + inside, np.repeat(doc[own], n), length)
+        whose.append(np.repeat(own, n)[found])
+        where.append(inside[found])
+    which, at = np.concatenate(whose), np.concatenate(where)
     order = np.lexsort((at, which))
     which, at = which[order], at[order]
     edge = np.ones(len(which), bool)
@@ -245,37 +310,64 @@ def _resolve(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.
     run_of, run_first, run_last = which[b], at[b], at[np.append(b[1:], len(at)) - 1] if len(b) else at
     first_context = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
     out = []
-    for i, (_, _, _, ctx, text, start, done_text, done_start, done_more) in enumerate(parts):
+    for i, (_, _, _, _, ctx, text, start, done_text, done_start, done_more) in enumerate(parts):
         own = slice(*np.searchsorted(run_of, first_context[i : i + 2]))
         runs_of, lo, hi = run_of[own] - first_context[i], run_first[own], run_last[own]
         by_ctx = np.argsort(ctx, kind="stable")
         a, z = np.searchsorted(ctx[by_ctx], runs_of), np.searchsorted(ctx[by_ctx], runs_of, "right")
         many = z - a
         asker = by_ctx[np.repeat(a, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
-        texts = np.concatenate((text[asker], done_text))
-        firsts = np.concatenate((start[asker] + np.repeat(lo, many), done_start))
-        lasts = np.concatenate((start[asker] + np.repeat(hi, many), done_start + done_more))
-        out.append((texts, firsts, lasts))
+        out.append((
+            np.concatenate((text[asker], done_text)),
+            np.concatenate((start[asker] + np.repeat(lo, many), done_start)),
+            np.concatenate((start[asker] + np.repeat(hi, many), done_start + done_more)),
+        ))
     return out
 
 
-def repeated_windows(blocks: DataFrame, names: DataFrame, length: int, cover: str, bits: int, buckets: int) -> DataFrame:
-    """(block_id, spans): runs of window starts that a document with a smaller id has too."""
-    keyed = blocks.join(names.groupBy("block_id").agg(F.collect_list("keys").alias("keys")), "block_id", "left")
+def repeated_windows(keyed: DataFrame, length: int, cover: str, bits: int, buckets: int) -> DataFrame:
+    """(block_id, spans): runs of window starts that a document with a smaller id has too, but for those of hot names that ask others."""
 
     def send(batches):
         for batch in batches:
-            for block, data, lists in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "keys")), strict=True):
+            for block, data, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "keys", "hot")), strict=True):
                 raw, offsets, ids, _ = unpacked(data)
-                keys = np.sort(np.concatenate([_values(k) for k in lists])) if lists else np.zeros(0, np.uint64)
-                for b, sent in _contexts(raw, offsets, ids, keys, length, cover, bits, buckets):
+                found = Contexts(raw, offsets, ids, _lists(keys), length, cover, bits)
+                for b, sent in _sends(raw, offsets, block, found, _lists(hot), bits, buckets):
                     yield pa.RecordBatch.from_pydict({"bucket": [b], "block_id": [block], "data": [sent]}, schema=pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("data", pa.binary())]))
 
     def find(group: pa.Table) -> pa.Table:
         runs = _resolve([unpacked(d) for d in group["data"].to_pylist()], length)
-        return pa.table({"block_id": group["block_id"].combine_chunks().cast(pa.int64()), "spans": pa.array([packed(*(x.astype(np.int32) for x in r)) for r in runs], pa.binary())})
+        rows = [(b, packed(*(x.astype(np.int32) for x in r))) for b, r in zip(group["block_id"].to_pylist(), runs, strict=True) if len(r[0])]
+        return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
+
+    return keyed.mapInArrow(send, "bucket int, block_id long, data binary").groupBy("bucket").applyInArrow(find, "block_id long, spans binary")
 
-    return keyed.select("block_id", "data", "keys").mapInArrow(send, "bucket int, block_id long, data binary").groupBy("bucket").applyInArrow(find, "block_id long, spans binary")
+
+def hot_windows(keyed: DataFrame, length: int, cover: str, bits: int) -> DataFrame:
+    """The same for windows of hot names: each is a row of its own, so no group of them has to fit a task; equal ones meet by their bytes."""
+
+    def send(batches):
+        for batch in batches:
+            for block, data, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "keys", "hot")), strict=True):
+                raw, offsets, ids, _ = unpacked(data)
+                c = Contexts(raw, offsets, ids, _lists(keys), length, cover, bits)
+                ask = np.flatnonzero(c.asks & np.isin(_sent(c.name, bits, 1)[0], _lists(hot)))
+                for a in range(0, len(ask), 2_000):
+                    part = ask[a : a + 2_000]
+                    n = (c.last - c.first + 1)[part]
+                    at = np.repeat(c.first[part], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    rows = np.lib.stride_tricks.sliding_window_view(raw, length)[at]
+                    text = np.repeat(c.text[part], n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))]),
+                         pa.array(ids[text]), pa.array(np.full(len(at), block)), pa.array(text.astype(np.int32)), pa.array((at - offsets[text]).astype(np.int32))],
+                        names=["window", "doc", "block_id", "text", "start"],
+                    )
+
+    rows = written(keyed.where(F.size(F.array_compact("hot")) > 0).mapInArrow(send, "window binary, doc long, block_id long, text int, start int"), "hot-windows")
+    least = rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    return rows.join(least, "window").where("doc > least").groupBy("block_id").agg(F.collect_list(F.struct("text", "start")).alias("starts"))
 
 
 def remove_repeats(
@@ -285,32 +377,46 @@ def remove_repeats(
     cover: str = "synchronizing",
     doc_id: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 2 << 20,
-    bucket_bytes: int = 1 << 20,
+    block_bytes: int = 8 << 20,
+    bucket_bytes: int = 8 << 20,
+    hot_blocks: int = 128,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, kept (the remaining bytes) and removed_spans (bytes from, to).
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller doc_id; strings
-    never cross documents and are judged on the input. A null text is empty. Rows that share a doc_id do not
-    remove each other's bytes. A row without doc_id counts as larger than all others. doc_id is an integer; other columns are not carried.
+    never cross documents and are judged on the input. A null or empty text is empty and loses nothing; an empty table stays empty. Rows that share
+    a doc_id do not remove each other's bytes. A row without doc_id counts as larger than all others. doc_id is an integer (else a ValueError);
+    other columns are not carried. A text of any length is worked on in overlapping pieces. A name that more than ``hot_blocks``
+    blocks have is resolved by a row for each window instead of in one group.
     """
     if length < 2 * MODULUS - 12:
         raise ValueError("length must be 50 or more")
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError("doc_id must be an integer")
     blocks = written(text_blocks(docs, doc_id=doc_id, text=text, block_bytes=block_bytes), "text-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets, bits = max(8, -(-total // bucket_bytes)), min(64, max(40, total.bit_length() + 8))
-    names = written(repeated_names(blocks, length, cover, bits, buckets), "repeated-names")
-    spans = written(repeated_windows(blocks, names, length, cover, bits, buckets), "repeated-windows")
+    names = written(repeated_names(blocks, length, cover, bits, buckets, hot_blocks), "repeated-names")
+    keyed = blocks.join(names.groupBy("block_id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "block_id", "left")
+    keyed = keyed.select("block_id", "data", "keys", "hot")
+    spans = written(repeated_windows(keyed, length, cover, bits, buckets), "repeated-windows")
     answered = blocks.join(spans.groupBy("block_id").agg(F.collect_list("spans").alias("spans")), "block_id", "left")
+    starts = F.lit(None).cast("array<struct<text:int,start:int>>").alias("starts")
+    if not names.where("hot IS NOT NULL").isEmpty():
+        answered, starts = answered.join(written(hot_windows(keyed, length, cover, bits), "hot-starts"), "block_id", "left"), "starts"
+    dropped(names)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def cut(batches):
         for batch in batches:
-            for data, lists in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for data, lists, more in zip(*(batch.column(c).to_pylist() for c in ("data", "spans", "starts")), strict=True):
                 raw, offsets, ids, missing = unpacked(data)
                 cover_count = np.zeros(len(raw) + 1, np.int32)
-                for item in lists or []:
-                    texts, first, last = unpacked(item)
+                runs = [unpacked(item) for item in lists or []]
+                if more:
+                    at = np.array([m["start"] for m in more])
+                    runs.append((np.array([m["text"] for m in more]), at, at))
+                for texts, first, last in runs:
                     np.add.at(cover_count, offsets[texts] + first, 1)
                     np.add.at(cover_count, offsets[texts] + last + length, -1)
                 gone = np.cumsum(cover_count)[:-1] > 0
@@ -327,4 +433,4 @@ def remove_repeats(
 
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed_spans", spans_type)])
-    return answered.select("data", "spans").mapInArrow(cut, schema)
+    return answered.select("data", "spans", starts).mapInArrow(cut, schema)
