@@ -19,19 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, space_words, sums_by, text_chunks, texts_of, written
+from .common import dropped, mix64, space_words, sums_by, text_chunks, texts_of, written
 
 STRIP = "0123456789.,;:!?\"'()[]{}|*_-+=#@&%$€£~^`«»¿¡…<>/\\"
 MARK = "▁"
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Longer words are scored in parts of so many characters.
-PART = 24
+#: Words longer than this are taken one by one, place after place, with totals scaled as they shrink; the sums are the same.
+SHORT = 32
 UNKNOWN = 1e-5
 LEAST = 1e-7
 
 
 def piece_texts(path: str) -> list[str]:
-    """Ordinary pieces of a sentencepiece model, lower case, each once."""
+    """Ordinary pieces of a sentencepiece model, each once. Those with upper case are left out: words are lower-cased, so they never occur."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,8 +44,8 @@ class Vocabulary:
 
     BITS = 18
 
-    def __init__(self, pieces: list[str], longest: int = 16):
-        self.pieces = [p for p in pieces if 0 < len(p) <= longest]
+    def __init__(self, pieces: list[str]):
+        self.pieces = [p for p in pieces if p]
         self.longest = max(map(len, self.pieces), default=1)
         self.keys = np.array([*map(self._hash, self.pieces), 0], np.uint64)
         self.tables: list[np.ndarray] = []
@@ -96,13 +96,45 @@ def lattice(vocabulary: Vocabulary, words: list[str]):
 
 
 def by_length(words: list[str], most: int = 8_000):
-    """Places of words by their length, in groups of up to ``most``."""
+    """Places of words of up to SHORT characters by their length, in groups of up to ``most``, then each longer word alone; empty ones are left out."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        groups.setdefault(len(w), []).append(i)
+        if 0 < len(w) <= SHORT:
+            groups.setdefault(len(w), []).append(i)
     for places in groups.values():
         for a in range(0, len(places), most):
             yield places[a : a + most]
+    yield from ([i] for i, w in enumerate(words) if len(w) > SHORT)
+
+
+def long_lattice(vocabulary: Vocabulary, word: str) -> np.ndarray:
+    """Piece numbers by end and length: [e, n-1] is the piece of n characters that ends at e (-1 where there is none)."""
+    chars = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    size, longest = len(chars), min(vocabulary.longest, len(chars))
+    ids = np.full((size + 1, longest), -1, np.int32)
+    raw = np.zeros(size, np.uint64)
+    for n in range(1, longest + 1):
+        raw = raw[: size - n + 1] * STEP + chars[n - 1 :]
+        ids[n:, n - 1] = vocabulary.ids(raw)
+    ids[1:, 0] = np.where(ids[1:, 0] < 0, len(vocabulary.pieces), ids[1:, 0])
+    return ids
+
+
+def long_totals(ids: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed chances of all segmentations up to each place of a long word, and the logarithm of the scale of each."""
+    longest = ids.shape[1]
+    total, scale = np.zeros((len(ids), chances.shape[1])), np.zeros((len(ids), chances.shape[1]))
+    total[0] = 1
+    for e in range(1, len(ids)):
+        n = min(e, longest)
+        total[e] = (total[e - n : e][::-1] * chances[ids[e, :n]]).sum(0)
+        scale[e] = scale[e - 1]
+        if total[e].min() < 1e-100:
+            by = total[e].copy()
+            start = e - n + 1
+            total[start : e + 1] /= by
+            scale[start : e + 1] += np.log(by)
+    return total, scale
 
 
 def forward(vocabulary: Vocabulary, chances: np.ndarray, words: list[str]) -> np.ndarray:
@@ -110,6 +142,10 @@ def forward(vocabulary: Vocabulary, chances: np.ndarray, words: list[str]) -> np
     unknown character, then zero."""
     out = np.zeros((len(words), chances.shape[1]))
     for places in by_length(words):
+        if len(words[places[0]]) > SHORT:
+            total, scale = long_totals(long_lattice(vocabulary, words[places[0]]), chances)
+            out[places] = np.log(total[-1]) + scale[-1]
+            continue
         size, edges = lattice(vocabulary, [words[i] for i in places])
         alpha = np.zeros((size + 1, len(places), chances.shape[1]))
         alpha[0] = 1
@@ -119,10 +155,15 @@ def forward(vocabulary: Vocabulary, chances: np.ndarray, words: list[str]) -> np
     return out
 
 
-def expected(vocabulary: Vocabulary, chances: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, in one language, by words that occur ``counts`` times."""
-    total = np.zeros(len(chances))
+def expected(vocabulary: Vocabulary, chances: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected uses of each piece, in one language, by words that occur ``counts`` times, and the words' log-likelihood."""
+    total, likelihood = np.zeros(len(chances)), 0.0
     for places in by_length(words):
+        if len(words[places[0]]) > SHORT:
+            uses, log = _expected_long(vocabulary, chances, words[places[0]])
+            total += counts[places[0]] * uses
+            likelihood += counts[places[0]] * log
+            continue
         size, edges = lattice(vocabulary, [words[i] for i in places])
         alpha, beta = np.zeros((size + 1, len(places))), np.zeros((size + 1, len(places)))
         alpha[0] = beta[size] = 1
@@ -130,21 +171,35 @@ def expected(vocabulary: Vocabulary, chances: np.ndarray, words: list[str], coun
             alpha[start + n] += alpha[start] * chances[ids]
         for start, n, ids in sorted(edges, key=lambda e: -e[0]):
             beta[start] += beta[start + n] * chances[ids]
+        likelihood += float((counts[places] * np.log(alpha[size])).sum())
         weight = counts[places] / alpha[size]
         for start, n, ids in edges:
             total += np.bincount(ids + (ids < 0) * (len(chances)), alpha[start] * chances[ids] * beta[start + n] * weight, len(chances) + 1)[: len(chances)]
     total[-1] = 0
-    return total
+    return total, likelihood
 
 
-def plain_words(words: list[str]) -> list[tuple[str, ...]]:
-    """Each word lower-cased, without signs and digits around it, marked, in parts of up to PART characters."""
-    out = []
-    for w in words:
-        w = w.strip(STRIP).lower()
-        w = MARK + w if w else ""
-        out.append(tuple(w[i : i + PART] for i in range(0, len(w), PART)))
-    return out
+def _expected_long(vocabulary: Vocabulary, chances: np.ndarray, word: str) -> tuple[np.ndarray, float]:
+    """Expected uses of each piece by one long word, and its log-likelihood: the same sums from the left and, on the word reversed, from the right."""
+    ids, size = long_lattice(vocabulary, word), len(word)
+    back = np.full_like(ids, -1)
+    for n in range(1, ids.shape[1] + 1):
+        back[n:, n - 1] = ids[n:, n - 1][::-1]
+    (alpha, up), (beta, down) = (long_totals(x, chances[:, None]) for x in (ids, back))
+    whole = float(np.log(alpha[-1, 0]) + up[-1, 0])
+    uses = np.zeros(len(chances))
+    for n in range(1, ids.shape[1] + 1):
+        end = np.flatnonzero(ids[:, n - 1] >= 0)
+        piece, start = ids[end, n - 1], end - n
+        log = np.log(alpha[start, 0] * chances[piece] * beta[size - end, 0]) + up[start, 0] + down[size - end, 0] - whole
+        uses += np.bincount(piece, np.exp(log), len(chances))
+    return uses, whole
+
+
+def plain_words(words: list[str]) -> list[str]:
+    """Each word lower-cased, without signs and digits around it, and marked; empty where nothing is left."""
+    stripped = (w.strip(STRIP).lower() for w in words)
+    return [MARK + w if w else "" for w in stripped]
 
 
 @dataclass(frozen=True)
@@ -167,11 +222,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             n = np.bincount(of * len(words) + codes, minlength=1)
             pairs = np.flatnonzero(n)
             n = n[pairs]
-            parts = plain_words(words.to_pylist())
+            plain = plain_words(words.to_pylist())
             summed: dict[tuple[int, str], int] = {}
             for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
-                for part in parts[p % len(words)]:
-                    key = (p // len(words), part)
+                if word := plain[p % len(words)]:
+                    key = (p // len(words), word)
                     summed[key] = summed.get(key, 0) + k
             lang = pa.array([k[0] for k in summed], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -182,10 +237,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(tasks, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, vocabulary: str, *, rounds: int = 2, text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, vocabulary: str, *, rounds: int = 3, tolerance: float = 0.01, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Model from every row of ``docs`` with a text and a language.
 
-    ``vocabulary`` is the path of a sentencepiece model. What reaches the driver is a number for each
+    ``vocabulary`` is the path of a sentencepiece model. Expectation maximisation starts from equal chances and ends when a round gains less than
+    ``tolerance`` of the log-likelihood, or after ``rounds``. What reaches the driver is a number for each
     piece and language, whatever the size of the corpus; the language values are taken to be few. Without rows there are no languages.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -196,15 +252,20 @@ def train(docs: DataFrame, vocabulary: str, *, rounds: int = 2, text: str = "tex
     chances = np.full((vocab_size + 2, len(names)), 1 / max(1, vocab_size))
     chances[-2], chances[-1] = UNKNOWN, 0
     if names:
-        words = written(word_counts(rows), "language-words")
+        words, before = written(word_counts(rows), "language-words"), -np.inf
         for _ in range(rounds):
             sent = rows.sparkSession.sparkContext.broadcast((pieces, names, chances))
             counted = words.mapInArrow(_expect(sent), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+            likelihood, counted = counted.loc[counted["piece"] < 0, "n"].sum(), counted[counted["piece"] >= 0]
             chances = np.zeros_like(chances)
             chances[counted["piece"], counted["lang"].map(names.index)] = counted["n"]
             chances[-2:] = 0
             chances = np.maximum((chances + 0.1) / (chances.sum(0) + 0.1 * vocab_size), LEAST)
             chances[-2], chances[-1] = UNKNOWN, 0
+            if likelihood - before < tolerance * abs(likelihood):
+                break
+            before = likelihood
+        dropped(words)
     priors = np.log(np.array([n for _, n in shares], float) / max(1, sum(n for _, n in shares)))
     return LanguageModel(tuple(names), tuple(pieces), chances, priors, uuid.uuid4().hex)
 
@@ -213,7 +274,7 @@ def _expect(sent, most: int = 60_000):
     def tasks(batches):
         pieces, names, chances = sent.value
         vocabulary = Vocabulary(pieces)
-        totals = np.zeros(chances.shape)
+        totals, likelihood = np.zeros(chances.shape), np.zeros(len(names))
         held: list[pa.RecordBatch] = []
 
         def use():
@@ -222,7 +283,9 @@ def _expect(sent, most: int = 60_000):
             n = np.concatenate([b.column("n").to_numpy(zero_copy_only=False) for b in held]).astype(float)
             for j, name in enumerate(names):
                 if (own := lang == name).any():
-                    totals[:, j] += expected(vocabulary, chances[:, j], words[own].tolist(), n[own])
+                    uses, log = expected(vocabulary, chances[:, j], words[own].tolist(), n[own])
+                    totals[:, j] += uses
+                    likelihood[j] += log
             held.clear()
 
         for batch in batches:
@@ -232,7 +295,8 @@ def _expect(sent, most: int = 60_000):
         if held:
             use()
         piece, j = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in j], pa.string()), pa.array(piece, pa.int32()), pa.array(totals[piece, j])], names=["lang", "piece", "n"])
+        cells = [*(names[x] for x in j), *names], [*piece.tolist(), *[-1] * len(names)], [*totals[piece, j].tolist(), *likelihood.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.int32(), pa.float64()), strict=True)], names=["lang", "piece", "n"])
 
     return tasks
 
@@ -249,20 +313,18 @@ class WordScores:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1 << 14, len(self.model.languages)))
 
-    def of(self, parts: list[tuple[str, ...]]) -> np.ndarray:
-        """Summed log-probabilities of the parts of each word."""
+    def of(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words (0 of the empty one)."""
         if len(self.rows) > self.most:
             self.forget()
-        new = list({p for w in parts for p in w if p not in self.rows})
+        new = list({w for w in words if w not in self.rows})
         if new:
             n = len(self.rows)
             while n + len(new) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.scores[n : n + len(new)] = forward(self.vocabulary, self.model.chances, new)
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        rows = np.fromiter((self.rows[p] for w in parts for p in w), np.int64, int(sizes.sum()))
-        return np.column_stack([sums_by(self.scores[rows, j], sizes) for j in range(len(self.model.languages))])
+        return self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
 
 _SCORES: dict[str, WordScores] = {}
@@ -279,8 +341,9 @@ def worker_scores(model: LanguageModel) -> WordScores:
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """``docs`` with the likeliest language and its posterior probability.
 
-    A null text, or one without a letter, is ``und`` with score 0, as is any text if the model knows no language.
-    Columns with the new names are replaced.
+    A null text, or one without a letter, is ``und`` with score 0, as is any text if the model knows no language. Words are
+    what lies between spaces and line feeds; those of any length are summed whole. Of languages that tie, the first by name is taken; repeated rows are
+    judged alike, an empty table stays empty. Columns with the new names are replaced.
     """
     kept = [f for f in docs.schema.fields if f.name not in (lang_out, score_out)]
     names = [f.name for f in kept]
