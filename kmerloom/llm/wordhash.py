@@ -73,6 +73,17 @@ def words_of(texts: pa.Array) -> Words:
     return Words(mix64(hashes + size.astype(np.uint64)), starts, ends, counts)
 
 
+def word_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words per text, without their hashes."""
+    inside = IS_WORD[raw]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    starts[begin] = inside[begin]
+    total = np.concatenate(([0], np.cumsum(starts)))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 SEQUENCE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
