@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,43 +82,50 @@ def fmove_ranges(links: DataFrame) -> DataFrame:
     return island.groupBy("fm", "island").agg(F.min("layer").alias("first"), F.max("layer").alias("last")).select("fm", "first", "last")
 
 
-def across(space: KmerSpace):
-    """Pandas UDF (fmoves, fm, mask) -> mers: the set on the other side of an I-move, from an order of all F-moves.
+def across(space: KmerSpace, crossings: DataFrame, orders: DataFrame) -> DataFrame:
+    """(src, fm, mask, mers): the set on the other side of each I-move of ``crossings`` (set_id, fm, mask).
 
-    From ``fm`` on, moves that touch the new set (its homopolymers and the unmasked right companions) belong to it; the others
-    are held back until the masked left companions have come round on their registers.
+    ``orders`` (set_id, fmoves) has an order of all F-moves of each set; time is counted from ``fm`` on, around the order. A word
+    that a move puts in place is taken on by one move, the next on its register. Moves that follow in this way from the unmasked
+    right companions belong to the new set. The rest is late: what happens before the masked left companions have come round comes after
+    everything else. The set is what this sequence leaves, the last move that touches a word deciding.
     """
-    n, alpha, fmoves = space.size, space.alpha, space.fmoves
-    homopolymers = {b * ((n - 1) // (alpha - 1)) for b in range(alpha)}
-
-    def companions(fm):
-        return {fm + b * fmoves for b in range(alpha)}, {fm * alpha + b for b in range(alpha)}
-
-    @F.pandas_udf("array<bigint>")
-    def cross(orders: pd.Series, fms: pd.Series, masks: pd.Series) -> pd.Series:
-        out = []
-        for order, fm, mask in zip(orders, fms, masks, strict=True):
-            order = [int(x) for x in order]
-            at = order.index(fm)
-            order = order[at:] + order[:at]
-            new = homopolymers | {fm * alpha + b for b in range(alpha) if not mask >> b & 1}
-            waiting = {fm + b * fmoves for b in range(alpha) if mask >> b & 1}
-            old, held, todo = set(), [], iter(order)
-            while waiting and (move := next(todo, None)) is not None:
-                left, right = companions(move)
-                if left & new - homopolymers:
-                    new = new - left | right
-                else:
-                    held.append(move)
-                    old = old - left | right
-                    waiting -= old
-            for move in [*todo, *held[1:]]:
-                left, right = companions(move)
-                new = new - left | right
-            out.append(sorted(new))
-        return pd.Series(out)
-
-    return cross
+    n = space.fmoves
+    timed = orders.select("set_id", F.posexplode("fmoves").alias("pos", "f"))
+    start = timed.withColumnsRenamed({"f": "fm", "pos": "from"})
+    moves = crossings.select("set_id", "fm", "mask").distinct().join(start, ["set_id", "fm"]).join(timed, "set_id")
+    moves = written(moves.select("set_id", "fm", "mask", "f", F.pmod(F.col("pos") - F.col("from"), F.lit(n)).alias("t")), "timed")
+    key = ["set_id", "fm", "mask"]
+    bases = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(space.alpha - 1).cast("bigint"))).alias("b")
+    placed = crossings.select(*key, bases).distinct().withColumn("word", F.col("fm") * space.alpha + F.col("b"))
+    masked = F.expr("shiftright(mask, cast(b AS int)) & 1 = 1")
+    placed = placed.where(~masked).select(*key, "word")
+
+    def next_moves(words: DataFrame, t) -> DataFrame:
+        on = words.where(~space.is_homopolymer("word")).select(*key, space.suffix("word").alias("f"), t.alias("after"))
+        return on.join(moves, [*key, "f"]).where("t > after").select(*key, "f", "t").distinct()
+
+    follows = written(next_moves(placed, F.lit(0)), "follows")
+    front = follows
+    while not front.isEmpty():
+        words = front.select(*key, "t", F.explode(space.right_companions("f")).alias("word"))
+        front = written(next_moves(words, F.col("t")).join(follows, [*key, "f"], "left_anti"), "follows")
+        follows = written(follows.union(front), "follows")
+    round_words = crossings.select(*key, bases).distinct().where(masked).select(*key, space.prefix(F.col("fm") + F.col("b") * n).alias("f"))
+    until = round_words.join(moves, [*key, "f"]).groupBy(*key).agg(F.max("t").alias("until"))
+    sequence = moves.join(follows.withColumn("own", F.lit(True)).drop("t"), [*key, "f"], "left").join(until, key).where("t > 0")
+    late = (F.col("t") <= F.col("until")) & F.col("own").isNull()
+    steps = sequence.select(*key, F.when(late, F.col("t") + n).otherwise(F.col("t")).alias("pos"), "f")
+    touched = steps.select(
+        *key, "pos", F.explode(F.concat(
+            F.transform(space.left_companions("f"), lambda m: F.struct(m.alias("word"), F.lit(0).alias("there"))),
+            F.transform(space.right_companions("f"), lambda m: F.struct(m.alias("word"), F.lit(1).alias("there"))),
+        )).alias("x"),
+    ).select(*key, "pos", "x.word", "x.there")
+    homopolymers = F.explode(F.array(*[F.lit(b * ((space.size - 1) // (space.alpha - 1))).cast("bigint") for b in range(space.alpha)])).alias("word")
+    begun = placed.union(crossings.select(*key, homopolymers).distinct()).select(*key, F.lit(-1).alias("pos"), "word", F.lit(1).alias("there"))
+    left = touched.union(begun).groupBy(*key, "word").agg(F.max_by("there", F.struct("pos", "there")).alias("there")).where("there = 1")
+    return left.groupBy(*key).agg(F.array_sort(F.collect_list("word")).alias("mers")).withColumnRenamed("set_id", "src")
 
 
 def traverse(space: KmerSpace, start: DataFrame, *, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -138,9 +144,8 @@ def traverse(space: KmerSpace, start: DataFrame, *, most_rounds: int = 10_000) -
     while front.limit(1).count() and rounds < most_rounds:
         rounds += 1
         orders = fmove_order(space, front.select(F.col("comp").alias("set_id"), "mers"))
-        moves = front.select("comp", F.explode("signature").alias("im")).select(F.col("comp").alias("set_id"), "im.fm", "im.mask")
-        crossed = moves.join(orders, "set_id").select(F.col("set_id").alias("src"), "fm", "mask", across(space)("fmoves", "fm", "mask").alias("mers"))
-        crossed = written(crossed.withColumn("set_id", F.xxhash64(F.to_json("mers"))), "crossed")
+        crossings = front.select("comp", F.explode("signature").alias("im")).select(F.col("comp").alias("set_id"), "im.fm", "im.mask")
+        crossed = written(across(space, crossings, orders).withColumn("set_id", F.xxhash64(F.to_json("mers"))), "crossed")
         sets = crossed.select("set_id", "mers").distinct()
         named = signatures(space, as_rows(sets)).withColumn("comp", F.xxhash64(F.to_json("signature")))
         named = written(named.join(sets, "set_id"), "named")

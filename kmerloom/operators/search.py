@@ -7,7 +7,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kspace import KmerSpace
@@ -67,36 +67,47 @@ def random_decycling_sets(spark: SparkSession, space: KmerSpace, n: int, first_s
     return seeds(spark, n, first_seed).mapInPandas(kernel, "seed long, mers array<bigint>")
 
 
-def reduce_under_complement(spark: SparkSession, space: KmerSpace, mers: list[int], n: int, *, keep_canonical: bool = False, first_seed: int = 0) -> DataFrame:
-    """(seed, removed, mers): each seed drops mers and their reverse complements, in its order, while the union set stays decycling."""
-    if space.size > MOST_NODES:
-        raise ValueError("the space is too large for one task a seed")
+def _closes_cycle(space: KmerSpace, words: Column, taken: Column) -> Column:
+    """Whether some of the free ``words`` (an array) lies on a cycle of free nodes: the nodes that each reaches are gathered step by step, in the row."""
 
-    def rc(m: int) -> int:
-        out = 0
-        for _ in range(space.k):
-            out, m = out * space.alpha + space.alpha - 1 - m % space.alpha, m // space.alpha
-        return out
+    def reaches_itself(m: Column) -> Column:
+        nodes = F.array().cast("array<bigint>")
+        begin = F.struct(nodes.alias("seen"), F.array(m).alias("front"))
 
-    def kernel(batches):
-        for pdf in batches:
-            out = []
-            for seed in pdf["seed"]:
-                order = sorted(set(mers))
-                random.Random(int(seed)).shuffle(order)
-                kept, union, removed = set(mers), set(mers) | set(map(rc, mers)), 0
-                for m in order:
-                    other = rc(m)
-                    if (keep_canonical and m <= other) or (other in kept and other < m) or m not in kept:
-                        continue
-                    without = union - {m, other}
-                    if not _on_cycle(space, m, without) and not _on_cycle(space, other, without):
-                        removed, union = removed + 1, without
-                        kept -= {m, other}
-                out.append((int(seed), removed, sorted(kept)))
-            yield pd.DataFrame(out, columns=["seed", "removed", "mers"])
-
-    return seeds(spark, n, first_seed).mapInPandas(kernel, "seed long, removed long, mers array<bigint>")
+        def step(state: Column, _: Column) -> Column:
+            ahead = F.array_except(F.array_distinct(F.flatten(F.transform(state["front"], space.successors))), F.concat(taken, state["seen"]))
+            return F.struct(F.concat(state["seen"], ahead).alias("seen"), ahead.alias("front"))
+
+        seen = F.aggregate(F.sequence(F.lit(1), F.lit(space.size)), begin, lambda s, i: F.when(F.size(s["front"]) > 0, step(s, i)).otherwise(s), lambda s: s["seen"])
+        return F.array_contains(seen, m)
+
+    return F.exists(words, reaches_itself)
+
+
+def reduce_under_complement(spark: SparkSession, space: KmerSpace, mers: DataFrame, n: int, *, keep_canonical: bool = False, first_seed: int = 0) -> DataFrame:
+    """(seed, removed, mers): the words (column mer) that each seed keeps when pairs of a word and its reverse complement are dropped, in an order of
+    the seed's, as long as what stays with its complements is decycling.
+
+    The unit is the pair: it is decided once, for both words. With ``keep_canonical`` a pair whose canonical word is in the set stays.
+    """
+    if space.size > MOST_NODES:
+        raise ValueError("the space is too large for one row a seed")
+    both = F.array_distinct(F.array("canonical", space.reverse_complement("canonical")))
+    pairs = mers.select("mer", space.canonical("mer").alias("canonical")).groupBy("canonical").agg(F.array_sort(F.collect_set("mer")).alias("own")).withColumn("both", both)
+    may = ~F.array_contains("own", F.col("canonical")) if keep_canonical else F.lit(True)
+    each = F.struct(F.xxhash64("canonical", "seed").alias("turn"), "canonical", "own", "both", may.alias("may"))
+    listed = pairs.join(seeds(spark, n, first_seed), F.lit(True)).groupBy("seed").agg(F.array_sort(F.collect_list(each)).alias("pairs"))
+    union = F.flatten(F.transform("pairs", lambda p: p["both"]))
+    state = F.struct(union.alias("taken"), F.array().cast("array<bigint>").alias("gone"))
+
+    def decide(s: Column, p: Column) -> Column:
+        without = F.array_except(s["taken"], p["both"])
+        dropped = F.struct(without.alias("taken"), F.concat(s["gone"], F.array(p["canonical"])).alias("gone"))
+        return F.when(p["may"] & ~_closes_cycle(space, p["both"], without), dropped).otherwise(s)
+
+    done = listed.withColumn("gone", F.aggregate("pairs", state, decide, lambda s: s["gone"]))
+    kept = F.filter("pairs", lambda p: ~F.array_contains("gone", p["canonical"]))
+    return done.select("seed", F.size("gone").cast("bigint").alias("removed"), F.array_sort(F.flatten(F.transform(kept, lambda p: p["own"]))).alias("mers"))
 
 
 def _longest(space: KmerSpace, taken: set[int]) -> int:

@@ -371,7 +371,10 @@ def sql_kmers(k: int = 4) -> str:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    tasks = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < tasks:  # a file of one row group is one task, whatever its size
+        docs = docs.repartition(tasks)
     return docs.select("doc_id", "source", "lang", sketch.symbols("text", "acgt", lower=True).alias("digits"))
 
 
@@ -668,8 +671,7 @@ def random_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def opt_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mers = sorted(r["mer"] for r in myk(spark, A2K6).collect())
-    return search.reduce_under_complement(spark, A2K6, mers, 4)
+    return search.reduce_under_complement(spark, A2K6, myk(spark, A2K6).select("mer"), 4)
 
 
 @query()
