@@ -96,6 +96,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (numpy's own unique hashes long integers, which is slower)."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For consecutive segments: owner of each element, and its position inside its owner."""
     lengths = np.asarray(lengths, dtype=np.int64)

@@ -1,17 +1,18 @@
-"""Exact substring deduplication by sampled suffixes, sorted to a fixed depth.
+"""Exact substring deduplication by a difference-cover suffix sort, to a fixed depth.
 
-Only suffixes at the positions of a cover are sorted. The names of their prefixes are found by sorting; a name that occurs once cannot repeat
-and leaves, as unique names end the recursion of a suffix sort. The other suffixes are reached through the sampled one inside them: a window of
+Only suffixes at the positions of a difference cover are sampled: residues modulo 31 of which any two have an offset at
+which both positions are sampled. The names of their prefixes are found by sorting; a name that occurs once cannot repeat
+and leaves, as unique names end the recursion of a suffix sort. The other suffixes are reached through the sampled ones inside them: a window of
 ``length`` bytes is a few bytes of left context, a named prefix and the rest. The windows around equal names are sorted, and
-adjacent ones are compared byte by byte, which gives each its least document.
+adjacent ones are compared byte by byte, which gives each its least document. Documents that are whole copies of a smaller one leave before.
 
-``cover="difference"`` samples positions by their residues, a perfect difference set modulo 31: any two residues have an offset at
-which both positions are sampled. ``cover="synchronizing"`` samples by content, the least hash among the prefixes
-inside a window, so equal windows choose the same offset and one position in 16 is enough instead of one in 5.
+``cover="synchronizing"`` samples by content instead, the least hash among the prefixes inside a window, so equal windows choose the same
+offset and one position in 16 is enough instead of one in 5.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, mix64, text_chunks, texts_of, written
+from .common import distinct, dropped, mix64, text_chunks, texts_of, written
 from .wordhash import byte_buffer
 
 #: A fixed perfect difference set: every residue modulo 31 is a difference of two of its members.
@@ -30,7 +31,7 @@ MODULUS, DIFFERENCE_SET = 31, (0, 1, 3, 8, 12, 18)
 FACTOR, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 NO_DOC = np.iinfo(np.int64).max
 #: Bytes of text whose positions are worked on at once, and windows compared at once.
-PIECE, AT_ONCE = 1 << 20, 400_000
+PIECE, AT_ONCE = 1 << 18, 200_000
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -61,6 +62,16 @@ def prefix_hashes(raw: np.ndarray, n: int) -> np.ndarray:
     return out * STEP
 
 
+def hashes_at(eight: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The same hashes at some positions only."""
+    out = np.zeros(len(at), np.uint64)
+    for step in _offsets(n):
+        out ^= eight[at + step]
+        out *= FACTOR
+        out ^= out >> np.uint64(32)
+    return out * STEP
+
+
 def least_positions(x: np.ndarray, w: int) -> np.ndarray:
     """Position of the least, leftmost of x[i : i + w] for each i (shorter at the end)."""
     value, at, have = x.copy(), np.arange(len(x), dtype=np.int32), 1
@@ -90,43 +101,61 @@ def slices(offsets: np.ndarray, length: int):
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, cover: str):
-    """(name, first, last, context): sampled positions by the hash of their prefix, the first and last window start that each stands for,
-    and a hash of the bytes of all these windows. Windows are ``length`` bytes inside one text; prefixes have length - 30 bytes.
+    """(name, at, first, last): hashes of the prefixes at sampled positions, these positions, and the first and last window start that each
+    stands for. Windows are ``length`` bytes inside one text; prefixes have length - 30 bytes.
     """
-    found = [tuple(x + a if i in (1, 2) else x for i, x in enumerate(_anchors(raw[a:z], inside, a, offsets, length, cover))) for a, z, inside in slices(offsets, length)]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64))
-
-
-def _anchors(raw, inside, a, offsets, length, cover):
-    size = length - MODULUS + 1
-    name = prefix_hashes(raw, size)
+    pick = {"difference": _by_residue, "synchronizing": _by_content}.get(cover)
+    if pick is None:
+        raise ValueError(f"no such cover: {cover}")
+    found = []
+    for a, z, inside in slices(offsets, length):
+        name, *places = pick(raw[a:z], inside, a - offsets[np.searchsorted(offsets, a, "right") - 1], length)
+        found.append((name, *(x + a for x in places)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+
+
+def _by_residue(raw: np.ndarray, inside: np.ndarray, shift: int, length: int):
+    """Positions whose residue, from the start of their text on, is in the difference set; a slice of a long text starts ``shift`` bytes in."""
+    sizes = np.diff(inside)
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(inside[:-1].astype(np.int32), sizes) + np.int32(shift % MODULUS)
+    at = np.flatnonzero(np.isin(np.arange(MODULUS), DIFFERENCE_SET)[place % MODULUS])
+    text = np.searchsorted(inside, at, "right") - 1
+    first, last = np.maximum(at - MODULUS + 1, inside[text]), np.minimum(at, inside[text + 1] - length)
+    good = first <= last
+    at, first, last = at[good], first[good], last[good]
+    return hashes_at(eights(raw), at, length - MODULUS + 1), at, first, last
+
+
+def _by_content(raw: np.ndarray, inside: np.ndarray, shift: int, length: int):
+    """Positions of the least prefix hash among those inside some window."""
+    name = prefix_hashes(raw, length - MODULUS + 1)
     good = np.zeros(len(raw) + 1, np.int8)
     whole = np.diff(inside) >= length
     np.add.at(good, inside[:-1][whole], 1)
     np.add.at(good, inside[1:][whole] - length + 1, -1)
-    good = np.cumsum(good, dtype=np.int8)[:-1] > 0
-    windows = np.flatnonzero(good)
-    if cover == "synchronizing":
-        chosen = least_positions(name, MODULUS)[windows]
-        new = np.ones(len(windows), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
-        begin = np.flatnonzero(new)
-        at, first = chosen[begin].astype(np.int64), windows[begin]
-        last = windows[np.append(begin[1:], len(windows)) - 1] if len(begin) else first
-    elif cover == "difference":
-        text = np.searchsorted(inside, np.arange(len(raw)), "right") - 1
-        begin, end = inside[text], inside[text + 1]
-        place = np.arange(len(raw)) + a - offsets[np.searchsorted(offsets, begin + a, "right") - 1]
-        at = np.flatnonzero(np.isin(place % MODULUS, DIFFERENCE_SET))
-        first, last = np.maximum(at - MODULUS + 1, begin[at]), np.minimum(at, end[at] - length)
-        at, first, last = (x[first <= last] for x in (at, first, last))
-    else:
-        raise ValueError(f"no such cover: {cover}")
-    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), STEP))))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(power[:-1] * (raw.astype(np.uint64) + np.uint64(1)))))
-    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), np.uint64(pow(int(STEP), -1, 1 << 64))))))
-    context = mix64((total[last + length] - total[first]) * back[first] + (last - first).astype(np.uint64) * FACTOR + (at - first).astype(np.uint64))
-    return name[at], first, last, context
+    windows = np.flatnonzero(np.cumsum(good, dtype=np.int8)[:-1])
+    chosen = least_positions(name, MODULUS)[windows]
+    new = np.ones(len(windows), bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1)
+    begin = np.flatnonzero(new)
+    at, first = chosen[begin].astype(np.int64), windows[begin]
+    last = windows[np.append(begin[1:], len(windows)) - 1] if len(begin) else first
+    return name[at], at, first, last
+
+
+def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the ``size`` bytes from each of the ascending places ``first`` on, from running totals over pieces of ``raw``."""
+    out = np.zeros(len(first), np.uint64)
+    most = int(size.max()) if len(size) else 0
+    power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(PIECE + most, STEP))))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(PIECE, np.uint64(pow(int(STEP), -1, 1 << 64))))))
+    for a in range(0, len(raw) if len(first) else 0, PIECE):
+        own = slice(*np.searchsorted(first, (a, a + PIECE)))
+        part = raw[a : a + PIECE + most]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(power[: len(part)] * (part.astype(np.uint64) + np.uint64(1)))))
+        start = first[own] - a
+        out[own] = (total[start + size[own]] - total[start]) * back[start]
+    return out
 
 
 def text_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
@@ -151,12 +180,18 @@ def _sent(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.nda
     return cut, ((cut >> np.uint64(max(0, bits - 32))) * np.uint64(buckets) >> np.uint64(min(32, bits))).astype(np.int64)
 
 
+def _steps(values: np.ndarray, kind=np.int32) -> np.ndarray:
+    """Differences of successive values, the first from 0: smaller numbers, which pack better."""
+    return np.diff(values, prepend=values.dtype.type(0)).astype(kind)
+
+
 def _deltas(values: np.ndarray) -> bytes:
-    return packed(np.diff(np.concatenate((np.zeros(1, np.uint64), values))))
+    return packed(values[:1], _steps(values[1:] - values[:1], np.uint32 if len(values) and values[-1] - values[0] < 1 << 32 else np.uint64))
 
 
 def _values(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data)[0])
+    first, steps = unpacked(data)
+    return np.concatenate((first, first + np.cumsum(steps, dtype=np.uint64)))
 
 
 def _split(keys: np.ndarray, buckets: np.ndarray):
@@ -168,14 +203,44 @@ def _split(keys: np.ndarray, buckets: np.ndarray):
             yield int(buckets[part[0]]), part
 
 
+def exact_copies(blocks: DataFrame, length: int) -> DataFrame:
+    """(block_id, copies): places of texts of ``length`` bytes or more that a document with a smaller id has as a whole."""
+
+    def tasks(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                raw, offsets, ids, _ = unpacked(data)
+                use = np.flatnonzero(np.diff(offsets) >= length)
+                digests = [hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).digest() for i in use.tolist()]
+                cells = [pa.array(np.full(len(use), block)), pa.array(use.astype(np.int32)), pa.array(ids[use]), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["block_id", "place", "doc", "digest"])
+
+    texts = written(blocks.select("block_id", "data").mapInArrow(tasks, "block_id long, place int, doc long, digest binary"), "text-digests")
+    least = texts.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    copies = written(texts.join(least, "digest").where("doc > least").groupBy("block_id").agg(F.collect_list("place").alias("copies")), "text-copies")
+    dropped(texts)
+    return copies
+
+
+def _texts(data: bytes, copies: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, places and document ids of the texts of a block that are no copies, and their number in the block."""
+    raw, offsets, ids, _ = unpacked(data)
+    number = np.arange(len(ids))
+    if copies:
+        number = np.delete(number, copies)
+        sizes = np.diff(offsets)[number]
+        raw, offsets = _bytes_at(raw, offsets[number], sizes), np.concatenate(([0], np.cumsum(sizes)))
+    return raw, offsets, ids[number], number
+
+
 def repeated_names(blocks: DataFrame, length: int, cover: str, bits: int, buckets: int, hot_blocks: int) -> DataFrame:
     """(block_id, keys, hot): for each block, those of its names that some other block has too, and those that more than ``hot_blocks`` have."""
 
     def send(batches):
         for batch in batches:
-            for block, data in zip(batch.column("block_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                raw, offsets, *_ = unpacked(data)
-                name = np.unique(_sent(anchors(raw, offsets, length, cover)[0], bits, buckets)[0])
+            for block, data, copies in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "copies")), strict=True):
+                raw, offsets, *_ = _texts(data, copies)
+                name = distinct(_sent(anchors(raw, offsets, length, cover)[0], bits, buckets)[0])
                 where = _sent(name << np.uint64(64 - bits), bits, buckets)[1]
                 rows = [(b, block, _deltas(name[part])) for b, part in _split(name, where)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block_id", "keys"])
@@ -192,7 +257,8 @@ def repeated_names(blocks: DataFrame, length: int, cover: str, bits: int, bucket
                 rows.append((block, _deltas(x), _deltas(x[much]) if much.any() else None))
         return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
-    return blocks.mapInArrow(send, "bucket int, block_id long, keys binary").groupBy("bucket").applyInArrow(find, "block_id long, keys binary, hot binary")
+    sent = blocks.select("block_id", "data", "copies").mapInArrow(send, "bucket int, block_id long, keys binary")
+    return sent.groupBy("bucket").applyInArrow(find, "block_id long, keys binary, hot binary")
 
 
 def _lists(items) -> np.ndarray:
@@ -204,91 +270,114 @@ def _bytes_at(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return raw[np.repeat(first - place, size) + np.arange(int(size.sum()))]
 
 
+def _alike(raw: np.ndarray, first: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which strings ``one`` equal the strings ``two``, byte by byte."""
+    alike = size[one] == size[two]
+    for a in range(0, len(one), 20_000):
+        own = a + np.flatnonzero(alike[a : a + 20_000])
+        sizes = size[one[own]]
+        differ = _bytes_at(raw, first[one[own]], sizes) != _bytes_at(raw, first[two[own]], sizes)
+        alike[own[np.repeat(np.arange(len(sizes)), sizes)[differ]]] = False
+    return alike
+
+
+def _heads(raw: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each string the first of the equal ones with the least document; strings of one hash that differ stand for themselves."""
+    order = np.argsort(whole)
+    new = np.ones(len(order), bool)
+    new[1:] = whole[order[1:]] != whole[order[:-1]]
+    group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    if not len(order):
+        return order
+    least = np.minimum.reduceat(doc[order], begin)
+    head = np.maximum.reduceat(np.where(doc[order] == least[group], order, -1), begin)[group]
+    other = np.flatnonzero(order != head)
+    other = other[~_alike(raw, first, size, order[other], head[other])]
+    head[other] = order[other]
+    out = np.empty(len(order), np.int64)
+    out[order] = head
+    return out
+
+
 class Contexts:
     """Repeated contexts of a block: distinct ones with their least document (``leader``), and for each context its leader."""
 
     def __init__(self, raw, offsets, ids, keys, length, cover, bits):
-        name, first, last, whole = anchors(raw, offsets, length, cover)
+        name, at, first, last = anchors(raw, offsets, length, cover)
         cut = _sent(name, bits, 1)[0]
-        order = np.argsort(cut, kind="stable")
-        same = np.zeros(len(cut), bool)
-        same[order[1:]] = cut[order[1:]] == cut[order[:-1]]
-        same[order[:-1]] |= cut[order[1:]] == cut[order[:-1]]
-        use = np.flatnonzero(same | np.isin(cut, keys))
-        self.name, self.first, self.last, whole, self.size = name[use], first[use], last[use], whole[use], (last - first + length)[use]
+        order = np.argsort(cut)
+        ordered = cut[order]
+        again = np.zeros(len(cut), bool)
+        again[1:] = ordered[1:] == ordered[:-1]
+        again[:-1] |= ordered[1:] == ordered[:-1]
+        if len(keys):
+            again |= keys[np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)] == ordered
+        use = np.sort(order[again])
+        use = use[np.argsort(first[use], kind="stable")]
+        self.name, self.at, self.first, self.last, self.size = name[use], at[use], first[use], last[use], (last - first + length)[use]
         self.text = np.searchsorted(offsets, self.first, "right") - 1
         self.doc = ids[self.text]
-        order = np.lexsort((self.doc, whole))
-        new = np.ones(len(use), bool)
-        new[1:] = whole[order[1:]] != whole[order[:-1]]
-        head = order[new][np.cumsum(new) - 1] if len(use) else order
-        for a in range(0, len(order), 20_000):
-            one, two = order[a : a + 20_000], head[a : a + 20_000]
-            alike = self.size[one] == self.size[two]
-            sizes = self.size[one[alike]]
-            differ = _bytes_at(raw, self.first[one[alike]], sizes) != _bytes_at(raw, self.first[two[alike]], sizes)
-            alike[np.flatnonzero(alike)[np.repeat(np.arange(len(sizes)), sizes)[differ]]] = False
-            head[a : a + 20_000] = np.where(alike, two, one)
-        self.leader = np.empty(len(use), np.int64)
-        self.leader[order] = head
+        whole = mix64(string_hashes(raw, self.first, self.size) + self.size.astype(np.uint64) * FACTOR + (self.at - self.first).astype(np.uint64))
+        self.leader = _heads(raw, self.first, self.size, self.doc, whole)
         #: A context asks for its windows if no smaller document of the block has all of them.
         self.asks = self.doc == self.doc[self.leader]
 
 
-def _sends(raw, offsets, block, c: Contexts, hot: np.ndarray, bits: int, buckets: int):
+def _sends(raw, block, c: Contexts, hot: np.ndarray, bits: int, buckets: int):
     """What a block sends to each bucket: distinct contexts with their least document, who asks, and what the block answers itself."""
     cut, where = _sent(c.name, bits, buckets)
-    start = c.first - offsets[c.text]
-    much = np.isin(cut, hot)
+    much = np.isin(cut, hot) if len(hot) else np.zeros(len(cut), bool)
     where[much & ~c.asks] = block % buckets
-    heads = c.leader == np.arange(len(c.leader))
+    heads, local = c.leader == np.arange(len(c.leader)), np.zeros(len(c.leader), np.int64)
     for b, part in _split(where, where):
         part = part[~(much[part] & c.asks[part])]
         chosen, ask, done = part[heads[part] & ~much[part]], part[c.asks[part]], part[~c.asks[part]]
-        local = np.full(len(c.leader), -1)
         local[chosen] = np.arange(len(chosen))
         yield b, packed(
-            _bytes_at(raw, c.first[chosen], c.size[chosen]), (c.last - c.first + 1)[chosen].astype(np.int32), c.doc[chosen], cut[chosen],
-            local[c.leader[ask]].astype(np.int32), c.text[ask].astype(np.int32), start[ask].astype(np.int32),
-            c.text[done].astype(np.int32), start[done].astype(np.int32), (c.last - c.first)[done].astype(np.int32),
+            _bytes_at(raw, c.first[chosen], c.size[chosen]), (c.last - c.first + 1)[chosen].astype(np.uint8), _steps(c.doc[chosen], np.int64), (c.at - c.first)[chosen].astype(np.uint8),
+            _steps(local[c.leader[ask]]), _steps(c.first[ask]), _steps(c.first[done]), (c.last - c.first)[done].astype(np.uint8),
         )
 
 
 def _again(body: np.ndarray, window: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Which of the windows, given by their places in ``body``, a smaller document has too. Sorted by hash, adjacent ones compared by bytes."""
-    hashes = prefix_hashes(body, length)[window]
-    order = np.lexsort((doc, hashes))
+    if not len(window):
+        return np.zeros(0, bool)
+    eight, hashes = eights(body), prefix_hashes(body, length)[window]
+    order = np.argsort(hashes)
     new = np.ones(len(order), bool)
     new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-    eight, sorted_window = eights(body), window[order]
-    equal = ~new[1:]
-    for at in _offsets(length):
-        equal &= eight[sorted_window[1:] + at] == eight[sorted_window[:-1] + at]
-    if (equal == new[1:]).any():  # different windows of one hash: sort by the bytes themselves
+    after = np.flatnonzero(~new)
+    one, two = window[order[after]], window[order[after - 1]]
+    if any((eight[one + at] != eight[two + at]).any() for at in _offsets(length)):  # different windows of one hash: sort by the bytes themselves
         rows = np.lib.stride_tricks.sliding_window_view(body, length)[window]
-        order = np.lexsort((doc, np.unique(rows, axis=0, return_inverse=True)[1].ravel()))
+        order = np.argsort(np.unique(rows, axis=0, return_inverse=True)[1].ravel(), kind="stable")
         new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    sorted_doc = doc[order]
     found = np.zeros(len(order), bool)
-    found[order] = doc[order] > doc[order[new]][np.cumsum(new) - 1] if len(order) else False
+    found[order] = sorted_doc > np.minimum.reduceat(sorted_doc, np.flatnonzero(new))[np.cumsum(new) - 1]
     return found
 
 
-def _resolve(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block's part: (text, first, last window start) of windows that a smaller document has too. Names are taken one after another."""
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    doc, name, body = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 0))
+def _resolve(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block's part: (first, last window start) of windows that a smaller document has too. Names are taken one after another."""
+    counts, at = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 3))
+    doc, body = np.concatenate([np.cumsum(p[2]) for p in parts]), np.concatenate([p[0] for p in parts])
     sizes = counts + length - 1
     place = np.cumsum(sizes) - sizes
+    name = hashes_at(eights(body), place + at, length - MODULUS + 1)
     order = np.argsort(name, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = name[order[1:]] != name[order[:-1]]
-    group = np.cumsum(new) - 1
-    alone = np.bincount(group, minlength=1)[group] == 1 if len(order) else new
-    order, group = order[~alone], group[~alone]
+    alone = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] == 1 if len(order) else new
+    held = np.sort(order[~alone])
+    head = held[_heads(body, place[held], sizes[held], doc[held], mix64(string_hashes(body, place[held], sizes[held]) + name[held] * FACTOR))]
+    copied = doc[held] > doc[head]  # a smaller document has all windows of these
+    order = held[~copied]
+    order = order[np.argsort(name[order], kind="stable")]
     total = np.cumsum(counts[order])
-    turn = np.flatnonzero(np.diff(group)) + 1
     edges = [0]
-    for t in [*turn.tolist(), len(order)]:
+    for t in [*(np.flatnonzero(np.diff(name[order].view(np.int64))) + 1).tolist(), len(order)]:
         if t == len(order) or total[t - 1] - (total[edges[-1] - 1] if edges[-1] else 0) >= AT_ONCE:
             edges.append(t)
     whose, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -308,37 +397,38 @@ def _resolve(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.
     edge[1:] = (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)
     b = np.flatnonzero(edge)
     run_of, run_first, run_last = which[b], at[b], at[np.append(b[1:], len(at)) - 1] if len(b) else at
+    run_of, run_first, run_last = (np.concatenate(x) for x in ((run_of, held[copied]), (run_first, np.zeros(copied.sum(), np.int64)), (run_last, counts[held[copied]] - 1)))
+    order = np.argsort(run_of, kind="stable")
+    run_of, run_first, run_last = run_of[order], run_first[order], run_last[order]
     first_context = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
     out = []
-    for i, (_, _, _, _, ctx, text, start, done_text, done_start, done_more) in enumerate(parts):
+    for i, (*_, ctx, ask, done, done_more) in enumerate(parts):
+        ctx, ask, done = (np.cumsum(x, dtype=np.int64) for x in (ctx, ask, done))
         own = slice(*np.searchsorted(run_of, first_context[i : i + 2]))
         runs_of, lo, hi = run_of[own] - first_context[i], run_first[own], run_last[own]
         by_ctx = np.argsort(ctx, kind="stable")
         a, z = np.searchsorted(ctx[by_ctx], runs_of), np.searchsorted(ctx[by_ctx], runs_of, "right")
         many = z - a
         asker = by_ctx[np.repeat(a, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
-        out.append((
-            np.concatenate((text[asker], done_text)),
-            np.concatenate((start[asker] + np.repeat(lo, many), done_start)),
-            np.concatenate((start[asker] + np.repeat(hi, many), done_start + done_more)),
-        ))
+        out.append((np.concatenate((ask[asker] + np.repeat(lo, many), done)), np.concatenate((ask[asker] + np.repeat(hi, many), done + done_more))))
     return out
 
 
 def repeated_windows(keyed: DataFrame, length: int, cover: str, bits: int, buckets: int) -> DataFrame:
-    """(block_id, spans): runs of window starts that a document with a smaller id has too, but for those of hot names that ask others."""
+    """(block_id, spans): runs of window starts, as places in the block without its copies, that a document with a smaller id has too, but for those
+    of hot names that ask others."""
 
     def send(batches):
         for batch in batches:
-            for block, data, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "keys", "hot")), strict=True):
-                raw, offsets, ids, _ = unpacked(data)
+            for block, data, copies, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "copies", "keys", "hot")), strict=True):
+                raw, offsets, ids, _ = _texts(data, copies)
                 found = Contexts(raw, offsets, ids, _lists(keys), length, cover, bits)
-                for b, sent in _sends(raw, offsets, block, found, _lists(hot), bits, buckets):
+                for b, sent in _sends(raw, block, found, _lists(hot), bits, buckets):
                     yield pa.RecordBatch.from_pydict({"bucket": [b], "block_id": [block], "data": [sent]}, schema=pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("data", pa.binary())]))
 
     def find(group: pa.Table) -> pa.Table:
         runs = _resolve([unpacked(d) for d in group["data"].to_pylist()], length)
-        rows = [(b, packed(*(x.astype(np.int32) for x in r))) for b, r in zip(group["block_id"].to_pylist(), runs, strict=True) if len(r[0])]
+        rows = [(b, packed(first.astype(np.int32), (last - first).astype(np.uint8))) for b, (first, last) in zip(group["block_id"].to_pylist(), runs, strict=True) if len(first)]
         return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array([r[1] for r in rows], pa.binary())})
 
     return keyed.mapInArrow(send, "bucket int, block_id long, data binary").groupBy("bucket").applyInArrow(find, "block_id long, spans binary")
@@ -349,8 +439,8 @@ def hot_windows(keyed: DataFrame, length: int, cover: str, bits: int) -> DataFra
 
     def send(batches):
         for batch in batches:
-            for block, data, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "keys", "hot")), strict=True):
-                raw, offsets, ids, _ = unpacked(data)
+            for block, data, copies, keys, hot in zip(*(batch.column(c).to_pylist() for c in ("block_id", "data", "copies", "keys", "hot")), strict=True):
+                raw, offsets, ids, _ = _texts(data, copies)
                 c = Contexts(raw, offsets, ids, _lists(keys), length, cover, bits)
                 ask = np.flatnonzero(c.asks & np.isin(_sent(c.name, bits, 1)[0], _lists(hot)))
                 for a in range(0, len(ask), 2_000):
@@ -358,34 +448,33 @@ def hot_windows(keyed: DataFrame, length: int, cover: str, bits: int) -> DataFra
                     n = (c.last - c.first + 1)[part]
                     at = np.repeat(c.first[part], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     rows = np.lib.stride_tricks.sliding_window_view(raw, length)[at]
-                    text = np.repeat(c.text[part], n)
                     yield pa.RecordBatch.from_arrays(
                         [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))]),
-                         pa.array(ids[text]), pa.array(np.full(len(at), block)), pa.array(text.astype(np.int32)), pa.array((at - offsets[text]).astype(np.int32))],
-                        names=["window", "doc", "block_id", "text", "start"],
+                         pa.array(np.repeat(c.doc[part], n)), pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32))],
+                        names=["window", "doc", "block_id", "start"],
                     )
 
-    rows = written(keyed.where(F.size(F.array_compact("hot")) > 0).mapInArrow(send, "window binary, doc long, block_id long, text int, start int"), "hot-windows")
+    rows = written(keyed.where(F.size(F.array_compact("hot")) > 0).mapInArrow(send, "window binary, doc long, block_id long, start int"), "hot-windows")
     least = rows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return rows.join(least, "window").where("doc > least").groupBy("block_id").agg(F.collect_list(F.struct("text", "start")).alias("starts"))
+    return rows.join(least, "window").where("doc > least").groupBy("block_id").agg(F.collect_list("start").alias("starts"))
 
 
 def remove_repeats(
     docs: DataFrame,
     *,
     length: int = 50,
-    cover: str = "synchronizing",
+    cover: str = "difference",
     doc_id: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 8 << 20,
-    bucket_bytes: int = 8 << 20,
-    hot_blocks: int = 128,
+    block_bytes: int = 2 << 20,
+    bucket_bytes: int = 4 << 20,
+    hot_blocks: int = 1024,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, kept (the remaining bytes) and removed_spans (bytes from, to).
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller doc_id; strings
     never cross documents and are judged on the input. A null or empty text is empty and loses nothing; an empty table stays empty. Rows that share
-    a doc_id do not remove each other's bytes. A row without doc_id counts as larger than all others. doc_id is an integer (else a ValueError);
+    a doc_id do not remove each other's bytes; whole copies are told by SHA-256. A row without doc_id counts as larger than all others. doc_id is an integer (else a ValueError);
     other columns are not carried. A text of any length is worked on in overlapping pieces. A name that more than ``hot_blocks``
     blocks have is resolved by a row for each window instead of in one group.
     """
@@ -396,12 +485,13 @@ def remove_repeats(
     blocks = written(text_blocks(docs, doc_id=doc_id, text=text, block_bytes=block_bytes), "text-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets, bits = max(8, -(-total // bucket_bytes)), min(64, max(40, total.bit_length() + 8))
-    names = written(repeated_names(blocks, length, cover, bits, buckets, hot_blocks), "repeated-names")
-    keyed = blocks.join(names.groupBy("block_id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "block_id", "left")
-    keyed = keyed.select("block_id", "data", "keys", "hot")
+    opened = blocks.join(exact_copies(blocks, length), "block_id", "left")
+    names = written(repeated_names(opened, length, cover, bits, buckets, hot_blocks), "repeated-names")
+    keyed = opened.join(names.groupBy("block_id").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "block_id", "left")
+    keyed = keyed.select("block_id", "data", "copies", "keys", "hot")
     spans = written(repeated_windows(keyed, length, cover, bits, buckets), "repeated-windows")
-    answered = blocks.join(spans.groupBy("block_id").agg(F.collect_list("spans").alias("spans")), "block_id", "left")
-    starts = F.lit(None).cast("array<struct<text:int,start:int>>").alias("starts")
+    answered = opened.join(spans.groupBy("block_id").agg(F.collect_list("spans").alias("spans")), "block_id", "left")
+    starts = F.lit(None).cast("array<int>").alias("starts")
     if not names.where("hot IS NOT NULL").isEmpty():
         answered, starts = answered.join(written(hot_windows(keyed, length, cover, bits), "hot-starts"), "block_id", "left"), "starts"
     dropped(names)
@@ -409,16 +499,20 @@ def remove_repeats(
 
     def cut(batches):
         for batch in batches:
-            for data, lists, more in zip(*(batch.column(c).to_pylist() for c in ("data", "spans", "starts")), strict=True):
+            for data, copies, lists, more in zip(*(batch.column(c).to_pylist() for c in ("data", "copies", "spans", "starts")), strict=True):
                 raw, offsets, ids, missing = unpacked(data)
                 cover_count = np.zeros(len(raw) + 1, np.int32)
-                runs = [unpacked(item) for item in lists or []]
-                if more:
-                    at = np.array([m["start"] for m in more])
-                    runs.append((np.array([m["text"] for m in more]), at, at))
-                for texts, first, last in runs:
-                    np.add.at(cover_count, offsets[texts] + first, 1)
-                    np.add.at(cover_count, offsets[texts] + last + length, -1)
+                own = np.delete(np.arange(len(ids)), copies or [])
+                begin = np.cumsum(np.diff(offsets)[own]) - np.diff(offsets)[own]
+                runs = [unpacked(item) for item in lists or []] + ([(np.array(more), 0)] if more else [])
+                for first, length_more in runs:
+                    text = np.searchsorted(begin, first, "right") - 1
+                    start = first + (offsets[own] - begin)[text]
+                    np.add.at(cover_count, start, 1)
+                    np.add.at(cover_count, start + length_more + length, -1)
+                for i in copies or []:
+                    cover_count[offsets[i]] += 1
+                    cover_count[offsets[i + 1]] -= 1
                 gone = np.cumsum(cover_count)[:-1] > 0
                 kept, removed = [], []
                 for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -433,4 +527,4 @@ def remove_repeats(
 
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed_spans", spans_type)])
-    return answered.select("data", "spans", starts).mapInArrow(cut, schema)
+    return answered.select("data", "copies", "spans", starts).mapInArrow(cut, schema)
