@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.kspace import KmerSpace, col
 
 
-def symbols(text, alphabet: str, *, on_invalid: str = "drop", lower: bool = False) -> Column:
+def symbols(text, alphabet: str, *, on_invalid: str = "drop", lower: bool = False, alpha: int | None = None) -> Column:
     """Digits of a text as an array of ints by the place of each symbol in ``alphabet``.
 
     White space is skipped. Other symbols outside the alphabet are dropped, or raise (``on_invalid="error"``, with
-    the place among the symbols).
+    the place among the symbols). The symbols of ``alphabet`` differ, and are ``alpha`` in number where that is given.
     """
+    if len(set(alphabet)) != len(alphabet) or alpha not in (None, len(alphabet)):
+        raise ValueError(f"not an alphabet of {alpha or len(alphabet)} symbols: {alphabet}")
     raw = F.coalesce(col(text), F.lit(""))
     raw = F.lower(raw) if lower else raw
     packed = F.regexp_replace(raw, r"\s+", "")

@@ -357,7 +357,7 @@ def mykkeltveit_path_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sets of all choices with the shortest and the longest remaining path."""
     every = sets.all_mykkeltveit(spark, A2K6).select(F.xxhash64(F.to_json("mers")).alias("set_id"), "mers")
     paths = graph.longest_path(A2K6, moves.as_rows(every)).join(every, "set_id")
-    return paths.agg(F.min("longest").alias("least"), F.min_by("mers", "longest").alias("least_set"), F.max("longest").alias("most"), F.max_by("mers", "longest").alias("most_set"))
+    return paths.agg(F.min("longest").alias("least"), F.min_by("mers", F.struct("longest", "mers")).alias("least_set"), F.max("longest").alias("most"), F.max_by("mers", F.struct("longest", "mers")).alias("most_set"))
 
 
 # 4. sequences ------------------------------------------------------------------------------------
@@ -682,21 +682,31 @@ def optimize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sketch_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets by modes over the documents in one job: density, unmappable length and SCC counts of each."""
-    seqs = sequences(spark, sf_dir)
+    """Sets by modes over the documents in one scan: density, unmappable length and SCC counts of each."""
     chosen = {
         "mykkeltveit": lambda m: sets.in_mykkeltveit(A4K3, m), "champarnaud": lambda m: sets.in_champarnaud(A4K3, m),
         "syncmer_0": lambda m: sets.in_syncmer(A4K3, m, 1, 0), "syncmer_1": lambda m: sets.in_syncmer(A4K3, m, 1, 1),
         "fraction": lambda m: sets.in_fraction(A4K3, m, 0.33333, 1),
     }
-    out = None
-    for name, predicate in chosen.items():
-        for mode in ("straight", "canonical", "union"):
-            hit = {r["mer"] for r in sets.generate(spark, A4K3, sets.under_mode(A4K3, predicate, mode)(F.col("mer"))).collect()}
-            held = F.array(*[F.lit(i in hit) for i in range(A4K3.size)])
-            one = sketch.sketch(seqs, A4K3, lambda m, held=held: F.get(held, m.cast("int")))
-            far = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + F.when(g >= 20, g).otherwise(0))
-            row = one.agg(F.sum("n_hits").alias("n_hits"), F.sum("n_kmers").alias("n_kmers"), F.sum(far).alias("unmappable"))
-            row = row.select(F.lit(name).alias("sketch"), F.lit(mode).alias("mode"), "n_hits", "n_kmers", "unmappable")
-            out = row if out is None else out.union(row)
-    return out
+    kinds = [(name, mode) for name in chosen for mode in ("straight", "canonical", "union")]
+    taken = [sets.under_mode(A4K3, chosen[name], mode)(F.col("mer")) for name, mode in kinds]
+    of_mer = {r["mer"]: r["held"] for r in A4K3.universe(spark).select("mer", F.array(*taken).alias("held")).collect()}  # 64 rows, whatever the data
+    held = [F.array(*[F.lit(bool(of_mer[m][i])) for m in range(A4K3.size)]) for i in range(len(kinds))]
+
+    def one(words, i: int):
+        def counts(hits):
+            far = F.aggregate(sketch.gaps(hits), F.lit(0).cast("bigint"), lambda a, g: a + F.when(g >= 20, g).otherwise(0))
+            return F.struct(F.lit(i).alias("kind"), F.size(hits).cast("bigint").alias("n_hits"), F.size(words).cast("bigint").alias("n_kmers"), far.alias("unmappable"))
+
+        return sketch.bound(sketch.hit_offsets(words, lambda m: F.get(held[i], m.cast("int"))), counts)
+
+    found = sketch.bound(sketch.kmers("digits", A4K3), lambda words: F.array(*[one(words, i) for i in range(len(kinds))]))
+    rows = sequences(spark, sf_dir).select(F.explode(found).alias("x")).select("x.*").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n_hits", "n_kmers", "unmappable")])
+    named = spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "kind int, sketch string, mode string")
+    straight = spark.createDataFrame([(name, m) for i, (name, mode) in enumerate(kinds) if mode == "straight" for m in range(A4K3.size) if of_mer[m][i]], "set_id string, mer long")
+    sccs = None
+    for mode in ("straight", "canonical", "union"):
+        part = graph.scc_counts(A4K3, straight, mode=mode).select(F.col("set_id").alias("sketch"), F.lit(mode).alias("mode"), "n_scc", "n_nodes")
+        sccs = part if sccs is None else sccs.union(part)
+    density = F.when(F.col("n_kmers") > 0, F.col("n_hits") / F.col("n_kmers")).alias("density")
+    return rows.join(named, "kind").join(sccs, ["sketch", "mode"]).select("sketch", "mode", "n_hits", "n_kmers", density, "unmappable", "n_scc", "n_nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +16,46 @@ def numbers(text) -> Column:
     return F.transform(F.regexp_extract_all(col(text), F.lit(f"({NUMBER})")), lambda x: x.cast("bigint"))
 
 
-def read_set(spark: SparkSession, path: str) -> DataFrame:
-    """(mer): every number of text files."""
-    return spark.read.text(path).select(F.explode(numbers("value")).alias("mer")).distinct()
+def read_set(spark: SparkSession, path: str | None = None, *more: int) -> DataFrame:
+    """(mer): every number of text files, and those given."""
+    given = spark.createDataFrame([(int(m),) for m in more], "mer long")
+    if path is None:
+        return given.distinct()
+    return spark.read.text(path).select(F.explode(numbers("value")).alias("mer")).union(given).distinct()
 
 
 def read_set_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(set_id, mers): one set per line that holds a number; the id is a hash of the sorted set."""
+    """(set_id, mers): one set per line that holds a number; the id is a hash of the sorted set, so equal sets are one."""
     lines = spark.read.text(path).select(F.array_sort(F.array_distinct(numbers("value"))).alias("mers")).where(F.size("mers") > 0)
-    return lines.select(F.xxhash64(F.to_json("mers")).alias("set_id"), "mers")
+    return lines.select(F.xxhash64(F.to_json("mers")).alias("set_id"), "mers").dropDuplicates(["mers"])
 
 
 def read_fmove_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(list_id, pos, fm): one ordered list of moves per line."""
-    lines = spark.read.text(path).select(F.xxhash64("value").alias("list_id"), F.posexplode(numbers("value")).alias("pos", "fm"))
-    return lines
+    """(list_id, pos, fm): one ordered list of moves per line; each line is a list of its own, numbered by its place in the files' splits."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("list_id"), numbers("value").alias("fms"))
+    return lines.select("list_id", F.posexplode("fms").alias("pos", "fm"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_name, seq): a record per ``>`` header; white space inside a sequence is dropped. Text before the first header is the
-    record named by an empty string."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    headed = raw.select(F.split("value", "\n", 2).alias("p"))
-    return headed.select(F.trim(F.col("p")[0]).alias("seq_name"), F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s+", "").alias("seq"))
+    """(seq_name, seq): a record per line that begins with ``>``; white space inside a sequence is dropped. What stands before the first
+    header of a file is the record named by an empty string. A ``>`` inside a line is part of it."""
+    meta = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", meta["file_path"].alias("path"), (meta["file_block_start"] == 0).alias("at_start"))
+
+    def headed(batches):
+        last = None
+        for batch in batches:
+            rows = []
+            for value, place, at_start in zip(*(batch.column(c).to_pylist() for c in ("value", "path", "at_start")), strict=True):
+                opens, last = at_start and place != last, place
+                rows.append(value[1:] if opens and value.startswith(">") else "\n" + value if opens else value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["record"])
+
+    parts = F.split("record", "\n", 2)
+    rows = raw.mapInArrow(headed, "record string").select(
+        F.trim(F.regexp_replace(parts[0], "\r$", "")).alias("seq_name"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s+", "").alias("seq")
+    )
+    return rows.where("seq_name <> '' OR seq <> ''")
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +71,7 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
 def read_histograms(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, sketch, method, seq_name, gap, n) of histogram files named ``<dataset>_<sketch>_set..._<method>.histo``."""
     name = F.regexp_extract(F.col("_metadata.file_name"), "(.*)", 1)
-    lines = spark.read.option("wholetext", True).text(path).select(name.alias("file"), F.explode(F.split("value", "(?m)^(?=>)")).alias("record")).where("trim(record) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(name.alias("file"), F.explode(F.split("value", "(?m)^(?=>)")).alias("record")).where("trim(record) <> ''")
     rows = lines.select(
         F.regexp_extract("file", "^(.*?)_", 1).alias("dataset"),
         F.regexp_extract("file", "_(.*?)_set", 1).alias("sketch"),
@@ -74,6 +92,11 @@ def write_set(mers: DataFrame, path: str, separator: str = ",") -> None:
     mers.groupBy("set_id").agg(F.collect_list("mer").alias("mers")).select(set_line("mers", separator)).write.text(path)
 
 
+def complement_pairs(mers: DataFrame, space) -> DataFrame:
+    """(line): each word of column mer with its reverse complement, ``m,rc``."""
+    return mers.select(F.format_string("%d,%d", "mer", space.reverse_complement("mer")).alias("line"))
+
+
 def component_line(comp_id="comp_id", fms="fms", ims="ims") -> Column:
     pairs = F.array_join(F.transform(col(ims), lambda x: F.concat_ws(":", x["fm"].cast("string"), x["mask"].cast("string"))), " ")
     return F.concat_ws("\t", col(comp_id).cast("string"), set_line_unsorted(fms), F.size(col(ims)).cast("string"), pairs)
@@ -118,6 +141,18 @@ def histogram_lines(hist: DataFrame, name: str = "seq_name") -> DataFrame:
     return heads.union(rows)
 
 
+def density_lines(sketched: DataFrame, name: str = "seq_name") -> DataFrame:
+    """(seq_name, line): ``# selected / words = share`` of each record of a sketch."""
+    rows = sketched.groupBy(name).agg(F.sum("n_hits").alias("n"), F.sum("n_kmers").alias("all"))
+    share = F.when(F.col("all") > 0, F.col("n") / F.col("all")).otherwise(F.lit(0.0))
+    return rows.select(name, F.format_string("# %d / %d = %.6f", "n", "all", share).alias("line"))
+
+
+def write_histograms(hist: DataFrame, path: str, name: str = "seq_name") -> None:
+    """Histograms as text, the lines of each record together and in order; records are spread over files."""
+    histogram_lines(hist, name).repartition(name).sortWithinPartitions(name, "pos").select("line").write.text(path)
+
+
 def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with their ordinal inside a key."""
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
