@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kspace, words
 from ..functions.kspace import KmerSpace, TextKmers
 from ..operators import components, graph, moves, search, sets, sketch
+from ..streaming import sketch as stream
 
 A4K4, A3K5, A4K3, A2K6, A2K4, A2K5 = KmerSpace(4, 4), KmerSpace(3, 5), KmerSpace(4, 3), KmerSpace(2, 6), KmerSpace(2, 4), KmerSpace(2, 5)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,6 +459,29 @@ def syncmer_sketch_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.histogram(sketch.sketch(sequences(spark, sf_dir), A4K4, lambda m: sets.in_syncmer(A4K4, m, 2, 1)))
 
 
+SQL_TURNS = "SELECT conv_id AS doc_id, '' AS source, '' AS lang, regexp_replace(lower(string_agg(coalesce(text, ''), '' ORDER BY turn)), '[^acgt]', '', 'g') AS seq FROM conversations GROUP BY conv_id"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as a stream of chunks."""
+    schema = table(spark, sf_dir, "conversations").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*").select("conv_id", "turn", "text")
+
+
+@query(sql_gaps("canonical").replace(SQL_SEQ, SQL_TURNS) + " SELECT gap, count(*) AS n FROM g GROUP BY gap")
+def stream_sketch_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of canonical 4-mers over streamed conversations, whose turns are the chunks of a sequence."""
+    chosen = sets.under_mode(A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), "canonical")
+    gaps = stream.stream_gaps(_turns(spark, sf_dir), A4K4, chosen, key="conv_id", order="turn")
+    return stream.stream_histogram(stream.drained(gaps, "stream-gaps"))
+
+
+@query(("WITH " + sql_kmers() + f", h AS (SELECT doc_id, pos FROM k WHERE {sql_syncmer('mer', 4, 4, 2)} = 1), g AS (SELECT pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM h) SELECT gap, count(*) AS n FROM g GROUP BY gap").replace(SQL_SEQ, SQL_TURNS))
+def stream_syncmer_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = stream.stream_syncmer_gaps(_turns(spark, sf_dir), A4K4, 2, 1, key="conv_id", order="turn")
+    return stream.stream_histogram(stream.drained(gaps, "stream-gaps"))
+
+
 @query(sql_gaps("straight") + ", d AS (SELECT source, lang, doc_id, CAST(count(*) AS DOUBLE) AS hits FROM h GROUP BY ALL) SELECT source, lang, round(avg(hits), 6) AS mean, round(coalesce(stddev_samp(hits), 0), 6) AS stdev, min(hits) AS min, max(hits) AS max FROM d GROUP BY source, lang")
 def stats_by_dataset_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sketched(spark, sf_dir, "straight").where("n_hits > 0").select("source", "lang", F.col("n_hits").cast("double").alias("hits"))
