@@ -74,7 +74,7 @@ def _hits(sent, k: int):
     """Windows whose fingerprint is among those sent (by window length), or among the row's own column ``prints``."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 2 << 20):
             texts = texts_of(batch.column("text"))
             words = words_of(texts)
             keys, first = sequence_key(words), words.first
@@ -105,7 +105,7 @@ def _document_prints(lengths: list[int], k: int):
     """(key1, key2, n, print) of each document's windows, each fingerprint once."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 2 << 20):
             words = words_of(texts_of(batch.column("text")))
             keys = sequence_key(words)
             for n in lengths:
@@ -141,7 +141,7 @@ def _keyed(docs: DataFrame, text: str, names: tuple[str, str, str]) -> DataFrame
     """``docs`` with two hashes of the word sequence and the number of words."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, text):
+        for batch in text_chunks(batches, text, 2 << 20):
             words = words_of(texts_of(batch.column(text)))
             more = [*(pa.array(x) for x in sequence_key(words)), pa.array(words.counts, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])

@@ -89,7 +89,7 @@ def with_sequence_key(docs: DataFrame, names: tuple[str, str, str], text: str =
     """``docs`` with two keys of each text's word sequence and whether it has words, under ``names``."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, text):
+        for batch in text_chunks(batches, text, 2 << 20):
             words = words_of(texts_of(batch.column(text)))
             more = [*(pa.array(k) for k in sequence_key(words)), pa.array(words.counts > 0)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, *, shingle: int = 5, bands: int = 16, rows: int
     """(doc_id, key1, key2, size, bands): hashes of the word sequence, uses of shingles, hashes of the bands; bands null without words."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 2 << 20):
             words = words_of(texts_of(batch.column("text")))
             gram, uses, counts = elements(words, shingle)
             ranks = dart_minhash(gram, uses, counts, bands * rows).view(np.uint64).reshape(len(counts), bands, rows)
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     """(key1, key2, profile): sorted 64-bit hashes of the cells of each word sequence, so that shared cells are shared shingles by use."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 2 << 20):
             words = words_of(texts_of(batch.column("text")))
             gram, uses, counts = elements(words, shingle)
             cells, sizes = unit_cells(gram, uses), sums_by(uses, counts)

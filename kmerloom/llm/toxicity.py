@@ -98,7 +98,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, toxic, clean, toxic_docs, clean_docs) of columns text and toxic; each task sums its own part first."""
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text", 32 << 20):
+        for batch in text_chunks(batches, "text", 8 << 20):
             codes, counts, words = _coded(texts_of(batch.column("text")))
             label = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), counts).astype(np.int64)
             plain = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -177,7 +177,7 @@ def train(
     model = ToxicityModel(positive, min(background, -1e-3))
 
     def tasks(batches):
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", 4 << 20):
             n, found = _passages(texts_of(batch.column("text")), model)
             scores = pa.array([[s for *_, s in segments] for segments in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n), scores], names=["toxic", "n", "scores"])
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, alpha: float = 0.05, text: s
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def tasks(batches):
-        for batch in text_chunks(batches, text):
+        for batch in text_chunks(batches, text, 4 << 20):
             n, found = _passages(texts_of(batch.column(text)), model)
             x = np.array([_evidence((s for *_, s in segments), int(k), model.location) for k, segments in zip(n, found, strict=True)])
             p = 1 / (1 + np.exp(-(model.intercept + model.slope * x)))
