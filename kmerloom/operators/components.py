@@ -82,6 +82,14 @@ def fmove_ranges(links: DataFrame) -> DataFrame:
     return island.groupBy("fm", "island").agg(F.min("layer").alias("first"), F.max("layer").alias("last")).select("fm", "first", "last")
 
 
+def layer_report(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: n_layers, sets in all, the least and greatest width of a layer, and how long F-moves stay possible at least and at most."""
+    widths = nodes.groupBy("layer").agg(F.count("*").alias("width"))
+    wide = widths.agg(F.count("*").alias("n_layers"), F.sum("width").alias("n_sets"), F.min("width").alias("least_width"), F.max("width").alias("most_width"))
+    length = F.col("last") - F.col("first") + 1
+    return wide.join(fmove_ranges(links).agg(F.min(length).cast("bigint").alias("shortest_range"), F.max(length).cast("bigint").alias("longest_range")), F.lit(True))
+
+
 def across(space: KmerSpace, crossings: DataFrame, orders: DataFrame) -> DataFrame:
     """(src, fm, mask, mers): the set on the other side of each I-move of ``crossings`` (set_id, fm, mask).
 

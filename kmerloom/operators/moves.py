@@ -69,6 +69,31 @@ def classify_fmoves(space: KmerSpace, rows: DataFrame) -> DataFrame:
     return n.withColumn("kind", kind)
 
 
+def companion_mask(space: KmerSpace, mers, fm) -> Column:
+    """Bits of the bases whose left companion of ``fm`` is in the array-valued set."""
+    m = col(mers)
+    return reduce(Column.__add__, [F.when(F.array_contains(m, col(fm) + b * space.fmoves), 1 << b).otherwise(0) for b in range(space.alpha)])
+
+
+def completeness(space: KmerSpace, rows: DataFrame) -> DataFrame:
+    """(set_id, fm, kind) of every F-move: ``complete`` with all its left companions in the set, ``incomplete`` with some, ``no`` with none."""
+    held = rows.select("set_id", "mer").distinct().groupBy("set_id", space.suffix("mer").alias("fm")).agg(F.count("*").alias("n"))
+    every = rows.select("set_id").distinct().select("set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(space.fmoves - 1).cast("bigint"))).alias("fm"))
+    kind = F.when(F.col("n") == space.alpha, "complete").when(F.col("n") > 0, "incomplete").otherwise("no")
+    return every.join(held, ["set_id", "fm"], "left").select("set_id", "fm", kind.alias("kind"))
+
+
+def moved_word(space: KmerSpace, mers, mer, *, back: bool = False) -> Column:
+    """The array with one of its words gone on (or back) by one place on its register."""
+    other = space.rotate_prev(mer) if back else space.rotate_next(mer)
+    return F.array_sort(F.array_distinct(F.concat(F.array_remove(col(mers), col(mer)), F.array(other))))
+
+
+def random_word(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """(set_id, mer): one word of each set, by a hash of the word and the seed."""
+    return rows.groupBy("set_id").agg(F.min_by("mer", F.struct(F.xxhash64("mer", F.lit(seed)), "mer")).alias("mer"))
+
+
 def fmoves_to_set(space: KmerSpace, lists: DataFrame) -> DataFrame:
     """(list_id, mer) after replaying moves (list_id, pos, fm) from nothing: the last move that touches a mer decides."""
     companions = F.flatten(F.array(

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kspace import KmerSpace
+from .moves import fmove, fmoves_of
+from .sets import generate, in_mykkeltveit
+from .sketch import bound
 
 MOST_NODES = 1 << 16
 
@@ -23,48 +26,27 @@ def _neighbours(space: KmerSpace, m: int) -> Iterator[int]:
     return (m % space.fmoves * space.alpha + b for b in range(space.alpha))
 
 
-def _on_cycle(space: KmerSpace, m: int, taken: set[int]) -> bool:
-    """Whether ``m``, once freed, lies on a cycle of free nodes."""
-    seen, front = set(), [m]
-    while front:
-        for n in _neighbours(space, front.pop()):
-            if n == m:
-                return True
-            if n not in taken and n not in seen:
-                seen.add(n)
-                front.append(n)
-    return False
-
-
-def random_decycling_sets(spark: SparkSession, space: KmerSpace, n: int, first_seed: int = 0) -> DataFrame:
-    """(seed, mers): a minimum decycling set for each seed.
+def random_decycling_sets(spark: SparkSession, space: KmerSpace, n: int, first_seed: int = 0, *, steps: int | None = None) -> DataFrame:
+    """(seed, mers): a minimum decycling set for each seed, by random F-moves from the Mykkeltveit set.
 
-    Words are freed in random order, unless that would close a cycle or leave a register without one; what is left of a
-    register after its last free word is its member, and a register that keeps several is tried again from another start.
+    A move keeps a set minimum and decycling, so nothing is drawn in vain and the number of ``steps`` (by default four rounds of all
+    F-moves, and up to one more by the seed) bounds the time. Each step takes one of the possible moves by a hash of the seed and the step's number.
     """
-    if space.size > MOST_NODES:
-        raise ValueError("the space is too large for one task a seed")
+    begin = generate(spark, space, in_mykkeltveit(space, F.col("mer"))).agg(F.array_sort(F.collect_list("mer")).alias("mers"))
+    count = 4 * space.fmoves if steps is None else steps
+    if not count:
+        return seeds(spark, n, first_seed).join(begin, F.lit(True)).select("seed", "mers")
 
-    def kernel(batches):
-        for pdf in batches:
-            out = []
-            for seed in pdf["seed"]:
-                rng = random.Random(int(seed))
-                while True:
-                    taken = set(range(space.size))
-                    order = list(taken)
-                    rng.shuffle(order)
-                    for m in order:
-                        taken.discard(m)
-                        if _on_cycle(space, m, taken):
-                            taken.add(m)
-                    registers = {min((m * space.alpha**i) % (space.size - 1) if m != space.size - 1 else m for i in range(space.k)) for m in taken}
-                    if len(registers) == len(taken):
-                        break
-                out.append((int(seed), sorted(taken)))
-            yield pd.DataFrame(out, columns=["seed", "mers"])
+    def step(mers: Column, i: Column) -> Column:
+        def moved(possible: Column) -> Column:
+            chosen = F.element_at(possible, (F.pmod(F.xxhash64("seed", i), F.size(possible)) + 1).cast("int"))
+            return F.when(F.size(possible) > 0, fmove(space, mers, chosen)).otherwise(mers)
+
+        return bound(fmoves_of(space, mers), moved)
 
-    return seeds(spark, n, first_seed).mapInPandas(kernel, "seed long, mers array<bigint>")
+    last = F.lit(count) + F.pmod(F.xxhash64("seed"), F.lit(space.fmoves)).cast("int")  # walks of one length can all end in one layer
+    walked = F.aggregate(F.sequence(F.lit(1), last), F.col("mers"), step)
+    return seeds(spark, n, first_seed).join(begin, F.lit(True)).select("seed", walked.alias("mers"))
 
 
 def _closes_cycle(space: KmerSpace, words: Column, taken: Column) -> Column:

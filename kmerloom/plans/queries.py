@@ -565,6 +565,22 @@ def classify_fmoves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.classify_fmoves(A2K6, myk(spark, A2K6)).drop("set_id")
 
 
+@query(sql_myk_set(2, 6) + ", f AS (SELECT CAST(range AS BIGINT) AS fm FROM range(32)), h AS (SELECT mer % 32 AS fm, count(*) AS n, sum(CAST(1 AS BIGINT) << CAST(mer // 32 AS BIGINT)) AS mask FROM s GROUP BY 1) SELECT f.fm, CASE WHEN n = 2 THEN 'complete' WHEN n = 1 THEN 'incomplete' ELSE 'no' END AS kind, CAST(coalesce(mask, 0) AS BIGINT) AS mask FROM f LEFT JOIN h USING (fm)")
+def fmove_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How complete each F-move is in the set, and the bits of its left companions there."""
+    rows = myk(spark, A2K6)
+    return moves.completeness(A2K6, rows).join(moves.as_arrays(rows), "set_id").select("fm", "kind", moves.companion_mask(A2K6, "mers", "fm").cast("bigint").alias("mask"))
+
+
+@query(sql_myk_set(2, 6) + ", t AS (SELECT list_sort(list(mer)) AS mers FROM s), r AS (SELECT mer, (mer % 32) * 2 + mer // 32 AS next, mer // 2 + (mer % 2) * 32 AS prev FROM s) SELECT mer, array_to_string(list_sort(list_distinct(list_append(list_filter(mers, lambda x: x <> mer), next))), ',') AS forth, array_to_string(list_sort(list_distinct(list_append(list_filter(mers, lambda x: x <> mer), prev))), ',') AS back FROM r, t")
+def moved_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set with each of its words gone on, and gone back, by one place on its register."""
+    from ..sources.text import set_line
+
+    arrays = moves.as_arrays(myk(spark, A2K6)).select("mers", F.explode("mers").alias("mer"))
+    return arrays.select("mer", set_line(moves.moved_word(A2K6, "mers", "mer")).alias("forth"), set_line(moves.moved_word(A2K6, "mers", "mer", back=True)).alias("back"))
+
+
 @query("""
 WITH m(pos, fm) AS (VALUES (0, 3), (1, 6), (2, 5), (3, 3), (4, 0)),
 t AS (SELECT pos, fm + 8 * range AS mer, 0 AS state FROM m, range(2) UNION ALL SELECT pos, fm * 2 + range, 1 FROM m, range(2)),
@@ -674,6 +690,11 @@ def fmove_layer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.fmove_ranges(_layers(spark)[1])
 
 
+@query()
+def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.layer_report(*_layers(spark))
+
+
 @query()
 def imoves_of_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.imoves(A2K4, myk(spark, A2K4)).drop("set_id")

@@ -82,6 +82,23 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("dataset", "sketch", "method", "seq_name", F.split("pair", " ")[0].cast("bigint").alias("gap"), F.split("pair", " ")[1].cast("bigint").alias("n"))
 
 
+def read_scc(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, sketch, method, n_scc, n_nodes) of files named ``<dataset>_<sketch>_set..._<method>.scc`` with lines ``components,nodes``."""
+    counts = numbers("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), counts.alias("n")).where(F.size("n") == 2)
+    return lines.select(
+        F.regexp_extract("file", "^(.*?)_", 1).alias("dataset"), F.regexp_extract("file", "_(.*?)_set", 1).alias("sketch"),
+        F.regexp_extract("file", r"_(.)\.", 1).alias("method"), F.col("n")[0].alias("n_scc"), F.col("n")[1].alias("n_nodes"),
+    )
+
+
+def scc_statistics(counts: DataFrame) -> DataFrame:
+    """Mean and deviation of both counts over the repeats of each dataset, sketch and method."""
+    return counts.groupBy("dataset", "sketch", "method").agg(
+        *[f(c).alias(f"{name}_{c}") for c in ("n_scc", "n_nodes") for name, f in (("mean", F.avg), ("stdev", lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))), ("min", F.min), ("max", F.max))]
+    )
+
+
 def set_line(mers, separator: str = ",") -> Column:
     """A set as one sorted, separated line."""
     return F.array_join(F.transform(F.array_sort(col(mers)), lambda m: m.cast("string")), separator)

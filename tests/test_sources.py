@@ -95,3 +95,11 @@ def test_a_crossing_gives_a_decycling_set_in_another_component(spark):
     rows = crossed.select("fm", "mask", "mers").collect()
     keyed = spark.createDataFrame([(i, m) for i, r in enumerate(rows) for m in r.mers], "set_id long, mer long")
     assert all(r.decycling for r in graph.is_decycling(space, keyed).collect())
+
+
+def test_scc_files_and_their_statistics(spark, tmp_path):
+    for i, (c, n) in enumerate([(1, 10), (3, 14)]):
+        put(tmp_path, f"genome_syncmer_set{i}_u.scc", f"{c},{n}\n")
+    rows = text.scc_statistics(text.read_scc(spark, f"file://{tmp_path}/*.scc")).collect()
+    assert [(r.dataset, r.sketch, r.method, r.mean_n_scc, r.min_n_nodes, r.max_n_nodes) for r in rows] == [("genome", "syncmer", "u", 2.0, 10, 14)]
+    assert rows[0].stdev_n_scc == pytest.approx(2**0.5)
