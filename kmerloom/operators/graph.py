@@ -1,7 +1,7 @@
 """The de Bruijn graph minus a set: edges, reachability, paths and strongly connected components.
 
-Many sets (set_id, mer) are handled at once. Loops keep their state in shared tables; the bounded kernels work on one set
-at a time and refuse spaces larger than ``MOST_NODES``.
+Many sets (set_id, mer) are handled at once. Loops keep their state in shared tables; components of spaces of up to ``MOST_NODES`` are found in
+one task a set, those of larger ones by joins.
 """
 
 from __future__ import annotations
@@ -55,11 +55,58 @@ def effective(space: KmerSpace, rows: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"no such mode: {mode}")
 
 
-def scc(space: KmerSpace, rows: DataFrame, *, mode: str = "straight") -> DataFrame:
+def _alive(space: KmerSpace, sets: DataFrame, taken: DataFrame) -> DataFrame:
+    every = sets.select("set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(space.size - 1).cast("bigint"))).alias("mer"))
+    return every.join(taken, ["set_id", "mer"], "left_anti")
+
+
+def _trimmed(space: KmerSpace, alive: DataFrame) -> DataFrame:
+    """Nodes without a predecessor or a successor among them go, round after round, until all have both."""
+    n, left = -1, alive.count()
+    while n != left and left:
+        n = left
+        for step in (space.successors, space.predecessors):
+            fed = alive.select("set_id", F.explode(step("mer")).alias("mer")).distinct()
+            alive = written(alive.join(fed, ["set_id", "mer"], "left_semi"), "alive")
+        left = alive.count()
+    return alive
+
+
+def scc_by_joins(space: KmerSpace, rows: DataFrame, *, mode: str = "straight") -> DataFrame:
+    """The same as ``scc`` for spaces of any size, by joins only.
+
+    Trimmed nodes take the greatest label that reaches them. A node that keeps its own label is a root; its component is what reaches it
+    inside its label. All roots of all sets are found at once; their components leave, and the rest goes on.
+    """
+    alive = written(_alive(space, rows.select("set_id").distinct(), effective(space, rows, mode)), "alive")
+    found = alive.select("set_id", F.col("mer").alias("root"), "mer").limit(0)
+    while not (alive := _trimmed(space, alive)).isEmpty():
+        labels = written(alive.withColumn("label", F.col("mer")), "labels")
+        moved = True
+        while moved:
+            told = labels.select("set_id", F.explode(space.successors("mer")).alias("mer"), "label").groupBy("set_id", "mer").agg(F.max("label").alias("told"))
+            after = labels.join(told, ["set_id", "mer"]).select("set_id", "mer", F.greatest("label", "told").alias("label"), (F.col("told") > F.col("label")).alias("moved"))
+            after = written(after, "labels")
+            moved, labels = not after.where("moved").isEmpty(), after.drop("moved")
+        front = written(labels.where("label = mer"), "members")
+        members = front
+        while not front.isEmpty():
+            back = front.select("set_id", F.explode(space.predecessors("mer")).alias("mer"), "label").distinct()
+            front = written(back.join(labels, ["set_id", "mer", "label"], "left_semi").join(members, ["set_id", "mer"], "left_anti"), "members")
+            members = written(members.union(front.select(*members.columns)), "members")
+        found = written(found.union(members.select("set_id", F.col("label").alias("root"), "mer")), "components")
+        alive = written(alive.join(members, ["set_id", "mer"], "left_anti"), "alive")
+    named = found.groupBy("set_id", "root").agg(F.min("mer").alias("scc_id"), F.count("*").alias("n"))
+    real = named.where((F.col("n") > 1) | space.is_homopolymer("scc_id"))
+    return found.join(real, ["set_id", "root"]).select("set_id", "scc_id", "mer")
+
+
+def scc(space: KmerSpace, rows: DataFrame, *, mode: str = "straight", most_nodes: int = MOST_NODES) -> DataFrame:
     """(set_id, scc_id, mer): strongly connected components outside each set, named by their least mer; a single
-    node counts only with a loop. Sets with nothing left have no rows."""
-    if space.size > MOST_NODES:
-        raise ValueError("the space is too large for one task a set")
+    node counts only with a loop. Sets with nothing left have no rows. Spaces of up to ``most_nodes`` are one task a set, larger ones are
+    worked on by joins (``scc_by_joins``)."""
+    if space.size > most_nodes:
+        return scc_by_joins(space, rows, mode=mode)
     sets = effective(space, rows, mode).groupBy("set_id").agg(F.collect_list("mer").alias("mers"))
     n, alpha, fmoves = space.size, space.alpha, space.fmoves
 
@@ -171,4 +218,4 @@ def shortest_path(space: KmerSpace, rows: DataFrame) -> DataFrame:
     return rows.select("set_id").distinct().join(best, "set_id", "left").select("set_id", F.col("n").cast("bigint").alias("shortest"))
 
 
-__all__ = ["edges", "edges_outside", "effective", "is_decycling", "longest_path", "reachable", "scc", "scc_counts", "shortest_path", "with_reverse_complements"]
+__all__ = ["edges", "edges_outside", "effective", "is_decycling", "longest_path", "reachable", "scc", "scc_by_joins", "scc_counts", "shortest_path", "with_reverse_complements"]

@@ -52,3 +52,12 @@ def test_layer_report(spark):
     nodes, links = components.layers(space, start)
     r = components.layer_report(nodes, links).first()
     assert (r.n_layers, r.n_sets) == (8, nodes.count()) and r.least_width <= r.most_width and r.shortest_range <= r.longest_range
+
+
+@pytest.mark.parametrize("mode", ["straight", "canonical"])
+def test_components_by_joins_equal_those_of_one_task(spark, mode):
+    space = KmerSpace(2, 5)
+    some = spark.createDataFrame([(s, m) for s, ms in ((1, (0, 31)), (2, (0, 4, 10, 12, 13, 14, 30, 31)), (3, (5, 9, 17, 22))) for m in ms], "set_id long, mer long")
+    one = sorted(map(tuple, graph.scc(space, some, mode=mode).collect()))
+    assert sorted(map(tuple, graph.scc(space, some, mode=mode, most_nodes=0).collect())) == one
+    assert len({(s, c) for s, c, _ in one}) >= 2
