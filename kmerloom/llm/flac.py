@@ -200,13 +200,22 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blo
     for o, values in FIXED.items():
         coefficients[: len(values), (order == o) & ~linear] = np.array(values, np.int64)[:, None]
     word = _window(data, at)
-    if (word >> 26 != 0).any():
-        raise ValueError("Rice partitions are not of our kind")
+    if (word >> 30 != 0).any():
+        raise ValueError("Rice parameters are not of 4 bits")
+    part = block >> (word >> 26 & 15)
+    if (part * (block // np.maximum(part, 1)) != block).any() or (part < order).any():
+        raise ValueError("Rice partitions do not fit the block")
     k = word >> 22 & 15
     at = at + 10
-    low_mask = (1 << k) - 1
+    if (k == 15).any():
+        raise ValueError("escaped Rice partitions are not read")
     for j in range(block):
         coded = None if j >= 32 or (order <= j).all() else np.flatnonzero(order <= j)
+        if j and (begins := np.flatnonzero((j % part == 0) & (order <= j))).size:  # the next partition's parameter
+            k[begins] = _window(data, at[begins]) >> 28
+            if (k[begins] == 15).any():
+                raise ValueError("escaped Rice partitions are not read")
+            at[begins] += 4
         p, kk = (at, k) if coded is None else (at[coded], k[coded])
         window = _window(data, p)
         zeros = 32 - np.frexp(window.astype(np.float64))[1]
@@ -217,7 +226,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blo
                 q += 1
             zeros[i] = q - p[i]
         p = p + zeros + 1
-        low = _window(data, p) >> (32 - kk) & (low_mask if coded is None else low_mask[coded])
+        low = _window(data, p) >> (32 - kk) & ((1 << kk) - 1)
         u = zeros.astype(np.int64) << kk | low
         v = (u >> 1) ^ -(u & 1)
         if coded is None:

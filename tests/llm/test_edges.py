@@ -83,6 +83,34 @@ def test_frames_of_every_predictor_round_trip(linear):
             flac.decode_frames(broken, starts, lengths, 576)
 
 
+def frame_in_partitions(samples, order, partition_order):
+    """A frame with a fixed predictor and Rice partitions, bit by bit."""
+    block, residual = len(samples), np.array(samples)
+    for _ in range(order):
+        residual = np.diff(residual)
+    bits = f"{8 | order:06b}".rjust(7, "0") + "0" + "".join(f"{int(x) & 255:08b}" for x in samples[:order]) + "00" + f"{partition_order:04b}"
+    left = residual.tolist()
+    for p in range(1 << partition_order):
+        own, left = left[: (block >> partition_order) - (order if p == 0 else 0)], left[(block >> partition_order) - (order if p == 0 else 0) :]
+        k = p % 6
+        bits += f"{k:04b}"
+        for r in own:
+            u = 2 * r if r >= 0 else -2 * r - 1
+            bits += "0" * (u >> k) + "1" + (f"{u & ((1 << k) - 1):0{k}b}" if k else "")
+    header, head = flac._headers(np.array([5]), block)
+    body = header[0, : head[0]].tobytes() + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    crc = flac.crc_of(np.frombuffer(body, np.uint8), np.array([0]), np.array([len(body)]), flac.CRC16, 16)
+    return body + int(crc[0]).to_bytes(2, "big")
+
+
+def test_partitioned_residuals_are_read():
+    r = np.random.default_rng(4)
+    samples = np.cumsum(r.integers(-2, 3, (5, 576)), 1).clip(-128, 127)
+    frames = [frame_in_partitions(x.tolist(), order, p) for x, (order, p) in zip(samples, ((0, 0), (1, 2), (2, 3), (4, 6), (3, 1)))]
+    data, lengths = np.frombuffer(b"".join(frames), np.uint8), np.array([len(f) for f in frames])
+    assert (flac.decode_frames(data, np.cumsum(lengths) - lengths, lengths, 576) == samples).all()
+
+
 def test_blocks_can_be_sought_by_sample(spark):
     df = spark.createDataFrame([(1, "".join(chr(33 + i % 90) for i in range(2000))), (2, "")], "doc_id long, text string")
     decoded = flac.decode(flac.encode(df))
