@@ -393,14 +393,17 @@ def kmer_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "canonical").limit(20)
 
 
-def _sketched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    hit = sets.generate(spark, A4K4, sets.under_mode(A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), mode)(F.col("mer")))
-    chosen = [r["mer"] for r in hit.collect()]  # at most 256 numbers, whatever the data
-    taken = set(chosen)
+def _sketched_by(spark: SparkSession, sf_dir: str, predicate) -> DataFrame:
+    """Sketches by a table of all 256 words, so that the predicate is computed once for each word and not at each position."""
+    taken = {r["mer"] for r in sets.generate(spark, A4K4, predicate(F.col("mer"))).collect()}
     held = F.array(*[F.lit(i in taken) for i in range(A4K4.size)])
     return sketch.sketch(sequences(spark, sf_dir), A4K4, lambda m: F.get(held, m.cast("int")))
 
 
+def _sketched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return _sketched_by(spark, sf_dir, sets.under_mode(A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), mode))
+
+
 def sql_gaps(mode: str) -> str:
     inside = sql_mykkeltveit("mer", 4, 4)
     rc = sql_rc("mer", 4, 4)
@@ -456,7 +459,7 @@ def unmappable_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + sql_kmers() + f", h AS (SELECT doc_id, pos FROM k WHERE {sql_syncmer('mer', 4, 4, 2)} = 1), g AS (SELECT pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM h) SELECT gap, count(*) AS n FROM g GROUP BY gap")
 def syncmer_sketch_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.histogram(sketch.sketch(sequences(spark, sf_dir), A4K4, lambda m: sets.in_syncmer(A4K4, m, 2, 1)))
+    return sketch.histogram(_sketched_by(spark, sf_dir, lambda m: sets.in_syncmer(A4K4, m, 2, 1)))
 
 
 SQL_TURNS = "SELECT conv_id AS doc_id, '' AS source, '' AS lang, regexp_replace(lower(string_agg(coalesce(text, ''), '' ORDER BY turn)), '[^acgt]', '', 'g') AS seq FROM conversations GROUP BY conv_id"
@@ -499,9 +502,8 @@ def event_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-mers over the five event types of each user in time order."""
     space = KmerSpace(5, 3)
     kinds = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", (F.array_position(kinds, F.col("event_type")) - 1).alias("d")).alias("e"))
-    streams = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("e")).select(F.transform("e", lambda x: x["d"]).alias("digits"))
-    return streams.select(F.explode(sketch.kmers("digits", space)).alias("mer")).groupBy("mer").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.array_position(kinds, F.col("event_type")) - 1).alias("d"))
+    return sketch.ordered_kmers(rows, space, "user_id", ["ts", "event_id"], "d").groupBy("mer").agg(F.count("*").alias("n"))
 
 
 @query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(strpos('ANR', l_returnflag) - 1 AS BIGINT) AS d FROM lineitem), k AS (SELECT d * 9 + lead(d, 1) OVER w * 3 + lead(d, 2) OVER w AS mer FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, d)), c AS (SELECT mer FROM k WHERE mer IS NOT NULL) SELECT least(mer, " + sql_rc("mer", 3, 3) + ") AS canonical, count(*) AS n FROM c GROUP BY 1")
