@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .kspace import KmerSpace, col
 
@@ -55,23 +53,19 @@ def inverse_division(word, k: int) -> Column:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def lyndon_factors(words: pd.Series) -> pd.Series:
-    """End positions of the Chen-Fox-Lyndon factors of each word."""
+def lyndon_factors(word) -> Column:
+    """End positions of the Chen-Fox-Lyndon factors of a word: a factor begins wherever the suffix is less than every one before it."""
+    w = col(word)
+    suffixes = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.length(w)))
+    begin = F.struct(F.lit(None).cast("string").alias("least"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
-    def factors(w: str) -> list[int]:
-        start, ends = 0, []
-        while start < len(w):
-            back, ahead = start, start + 1
-            while ahead < len(w) and w[back] <= w[ahead]:
-                back = start if w[back] < w[ahead] else back + 1
-                ahead += 1
-            while start <= back:
-                start += ahead - back
-                ends.append(start)
-        return ends
+    def step(state: Column, suffix: Column) -> Column:
+        less = state["least"].isNull() | (suffix < state["least"])
+        starts = F.when(less & (state["at"] > 0), F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct(F.when(less, suffix).otherwise(state["least"]).alias("least"), (state["at"] + 1).alias("at"), starts.alias("starts"))
 
-    return words.map(factors)
+    ends = F.aggregate(suffixes, begin, step, lambda s: F.concat(s["starts"], F.array(s["at"])))
+    return F.when(F.length(w) > 0, ends).otherwise(F.array().cast("array<int>"))
 
 
 def champarnaud_of(space: KmerSpace, m) -> Column:

@@ -262,11 +262,20 @@ def main_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(d.isNotNull()).select("mer", d["root"].cast("bigint").alias("root"), d["power"].cast("bigint").alias("power"), words.division_reversed("word", 6).alias("turned"))
 
 
-@query()
+SQL_LYNDON = """
+, w AS (SELECT mer, array_to_string(list_transform(range(6), lambda i: (mer // CAST(2 ** (5 - i) AS BIGINT)) % 2), '') AS word FROM u),
+f AS (SELECT mer, word, list_filter(range(1, 6), lambda i: substr(word, i + 1) < list_min(list_transform(range(i), lambda j: substr(word, j + 1)))) AS starts,
+             list_filter(range(1, 7), lambda s: substr(word, 6 % s + 1) = repeat(substr(word, 6 % s + 1, s), CAST(6 // s AS INT)))[1] AS root FROM w)
+SELECT mer, array_to_string(list_append(starts, 6), ',') AS factor_ends, CAST(6 % root AS BIGINT) AS rest, CAST(root AS BIGINT) AS root FROM f
+"""
+
+
+@query("WITH " + sql_universe(2, 6) + SQL_LYNDON)
 def lyndon_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A2K6.universe(spark).select("mer", A2K6.text("mer").alias("word"))
     inverse = words.inverse_division("word", 6)
-    return rows.select("mer", words.lyndon_factors("word").alias("factor_ends"), inverse["rest"].alias("rest"), inverse["root"].alias("root"))
+    ends = F.array_join(F.transform(words.lyndon_factors("word"), lambda x: x.cast("string")), ",")
+    return rows.select("mer", ends.alias("factor_ends"), inverse["rest"].cast("bigint").alias("rest"), inverse["root"].cast("bigint").alias("root"))
 
 
 # 3. sets -----------------------------------------------------------------------------------------
@@ -595,9 +604,20 @@ def fmoves_to_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.fmoves_to_set(A2K4, lists).select("mer")
 
 
-@query()
+@query("WITH RECURSIVE " + sql_myk_set(4, 3)[5:] + """,
+o(done, mers, ready) AS (
+  SELECT CAST([] AS BIGINT[]), z.taken, list_filter(range(16), lambda f: list_has_all(z.taken, [f, f + 16, f + 32, f + 48])) FROM (SELECT list(mer) AS taken FROM s) z
+  UNION ALL
+  SELECT n.did, n.now, list_filter(range(16), lambda f: NOT list_contains(n.did, f) AND list_has_all(n.now, [f, f + 16, f + 32, f + 48]))
+  FROM (
+    SELECT list_concat(o.done, o.ready) AS did, list_distinct(list_concat(list_filter(o.mers, lambda m: NOT list_contains(o.ready, m % 16)), flatten(list_transform(o.ready, lambda f: [f * 4, f * 4 + 1, f * 4 + 2, f * 4 + 3])))) AS now
+    FROM o WHERE len(o.ready) > 0
+  ) n
+)
+SELECT CAST(0 AS BIGINT) AS set_id, array_to_string(done, ',') AS fmoves FROM o WHERE len(ready) = 0""")
 def fmove_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moves.fmove_order(A4K3, moves.as_arrays(myk(spark, A4K3)))
+    order = moves.fmove_order(A4K3, moves.as_arrays(myk(spark, A4K3)))
+    return order.select("set_id", F.array_join(F.transform("fmoves", lambda f: f.cast("string")), ",").alias("fmoves"))
 
 
 @query(SQL_FM + ", n AS (SELECT f.fm, list_sort(list(DISTINCT x.mer)) AS dst FROM f, LATERAL (SELECT mer FROM s WHERE mer % 32 <> f.fm UNION SELECT f.fm * 2 + range FROM range(2)) x(mer) GROUP BY f.fm) SELECT array_to_string((SELECT list_sort(list(mer)) FROM s), ',') AS src, array_to_string(dst, ',') AS dst, fm FROM n")
@@ -655,7 +675,10 @@ def longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.longest_path(A2K6, myk(spark, A2K6)).select("longest")
 
 
-@query()
+@query(SQL_E.replace("WITH ", "WITH RECURSIVE ", 1) + """, h AS (SELECT mer % 32 AS fm FROM s GROUP BY 1 HAVING count(*) = 2),
+p AS (SELECT DISTINCT fm * 2 + range AS node, 1 AS n FROM h, range(2) UNION SELECT e.dst, n + 1 FROM p JOIN e ON p.node = e.src WHERE e.dst NOT IN (SELECT mer FROM s) AND n < 64),
+t AS (SELECT src FROM e GROUP BY src HAVING bool_and(dst IN (SELECT mer FROM s)))
+SELECT CAST(0 AS BIGINT) AS set_id, CAST(min(n) AS BIGINT) AS shortest FROM p WHERE node IN (SELECT src FROM t)""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_path(A2K6, myk(spark, A2K6))
 
@@ -668,9 +691,19 @@ def is_decycling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 7. components -----------------------------------------------------------------------------------
 
 
-@query()
+@query("WITH RECURSIVE " + sql_universe(2, 4) + f""", g AS (SELECT {sql_pcr('mer', 2, 4)} AS pcr, list(mer) AS words FROM u GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY pcr) AS i, words FROM g),
+c(i, mers) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.i, list_append(c.mers, w.mer) FROM c JOIN n ON n.i = c.i + 1, LATERAL (SELECT unnest(n.words) AS mer) w),
+d AS (SELECT list_sort(mers) AS mers FROM c WHERE i = (SELECT max(i) FROM n)),
+r(mers, src, dst) AS (
+  SELECT mers, u.mer, CAST((u.mer * 2 + b.range) % 16 AS BIGINT) FROM d, u, range(2) b WHERE NOT list_contains(mers, u.mer) AND NOT list_contains(mers, CAST((u.mer * 2 + b.range) % 16 AS BIGINT))
+  UNION
+  SELECT mers, src, CAST((dst * 2 + b.range) % 16 AS BIGINT) FROM r, range(2) b WHERE NOT list_contains(mers, CAST((dst * 2 + b.range) % 16 AS BIGINT))
+)
+SELECT array_to_string(mers, ',') AS mers FROM d WHERE mers NOT IN (SELECT mers FROM r WHERE src = dst)""")
 def exhaustive_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.exhaustive(spark, A2K4)
+    from ..sources.text import set_line
+
+    return components.exhaustive(spark, A2K4).select(set_line("mers").alias("mers"))
 
 
 def _layers(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
