@@ -262,7 +262,7 @@ def main_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(d.isNotNull()).select("mer", d["root"].cast("bigint").alias("root"), d["power"].cast("bigint").alias("power"), words.division_reversed("word", 6).alias("turned"))
 
 
-SQL_LYNDON = """
+SQL_FACTORS = """
 , w AS (SELECT mer, array_to_string(list_transform(range(6), lambda i: (mer // CAST(2 ** (5 - i) AS BIGINT)) % 2), '') AS word FROM u),
 f AS (SELECT mer, word, list_filter(range(1, 6), lambda i: substr(word, i + 1) < list_min(list_transform(range(i), lambda j: substr(word, j + 1)))) AS starts,
              list_filter(range(1, 7), lambda s: substr(word, 6 % s + 1) = repeat(substr(word, 6 % s + 1, s), CAST(6 // s AS INT)))[1] AS root FROM w)
@@ -270,7 +270,7 @@ SELECT mer, array_to_string(list_append(starts, 6), ',') AS factor_ends, CAST(6
 """
 
 
-@query("WITH " + sql_universe(2, 6) + SQL_LYNDON)
+@query("WITH " + sql_universe(2, 6) + SQL_FACTORS)
 def lyndon_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A2K6.universe(spark).select("mer", A2K6.text("mer").alias("word"))
     inverse = words.inverse_division("word", 6)
