@@ -289,7 +289,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Similarity is the exact weighted Jaccard similarity of word shingles; links of at least ``threshold`` make classes. n_links counts
     the links of a row's word sequence to others. Texts without words and rows without doc_id are classes of their own (class_id = doc_id);
-    rows that repeat a doc_id with another text are in the class of that text. Options are those of ``duplicate_classes``.
+    rows that repeat a doc_id with another text are in the class of that text; repeated rows are in one class and count as one text. Texts of any
+    length are compared whole; a class is named by its least doc_id, whatever ties. An empty table has no rows; other columns are not carried. Options
+    are those of ``duplicate_classes``.
     """
     return duplicate_classes(docs, **options).select(
         "doc_id", F.coalesce("class.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links")

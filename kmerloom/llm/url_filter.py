@@ -156,7 +156,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
 
     The rule is the longest one that fits (by characters of host and path, then of the host); where
     none fits, no key of the URL is listed and the verdict is ``default``. Repeated rows are judged
-    alike, an empty table gives an empty result.
+    alike, an empty table gives an empty result. A null or empty url has an empty host and path; urls of any length are judged whole.
     """
     if not rules:
         raise ValueError("no rules")
