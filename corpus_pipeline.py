@@ -2,7 +2,9 @@
 passages and secrets are taken out, and what stays is packed into sequences.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``, and any others that docs has. Null and empty texts are clean and stay in every
+stage, and are packed as an end mark each. Rows that repeat a doc_id are judged by their own text; of repeated rows with words near_duplicates keeps
+one. Texts of any length are taken whole; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Dart-thrown signatures and segment scores have no SQL form; the stages are tested one by one instead.
+#: Dart-thrown signatures and segment scores have no SQL form; the rows are tested against brute force instead.
 ORACLE_SQL = None
 
 
