@@ -710,22 +710,48 @@ def _layers(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return components.layers(A2K4, moves.as_arrays(myk(spark, A2K4)))
 
 
-@query()
+SQL_LAYERS = "WITH RECURSIVE " + sql_myk_set(2, 4)[5:] + """, f AS (SELECT CAST(range AS BIGINT) AS fm FROM range(8)),
+z(mers) AS (
+  SELECT list_sort(list(mer)) FROM s
+  UNION
+  SELECT list_sort(list_distinct(list_concat(list_filter(t.mers, lambda m: m // 2 <> t.fm), [t.fm, t.fm + 8])))
+  FROM (
+    SELECT a.mers, f.fm FROM (
+      SELECT list_sort(list_distinct(list_concat(list_filter(z.mers, lambda m: m % 8 <> f.fm), [2 * f.fm, 2 * f.fm + 1]))) AS mers
+      FROM z, f WHERE list_has_all(z.mers, [f.fm, f.fm + 8])
+    ) a, f WHERE list_has_all(a.mers, [2 * f.fm, 2 * f.fm + 1])
+  ) t
+),
+l(layer, mers) AS (
+  SELECT CAST(0 AS BIGINT), mers FROM z
+  UNION
+  SELECT l.layer + 1, list_sort(list_distinct(list_concat(list_filter(l.mers, lambda m: m % 8 <> f.fm), [2 * f.fm, 2 * f.fm + 1])))
+  FROM l, f WHERE l.layer < 7 AND list_has_all(l.mers, [f.fm, f.fm + 8])
+),
+d AS (SELECT DISTINCT f.fm, l.layer FROM l, f WHERE list_has_all(l.mers, [f.fm, f.fm + 8])),
+i AS (SELECT fm, layer, layer - row_number() OVER (PARTITION BY fm ORDER BY layer) AS island FROM d),
+r AS (SELECT fm, min(layer) AS first, max(layer) AS last FROM i GROUP BY fm, island)
+"""
+
+
+@query(SQL_LAYERS + " SELECT layer, array_to_string(mers, ',') AS mers FROM l")
 def fmove_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layers(spark)[0]
+    from ..sources.text import set_line
+
+    return _layers(spark)[0].select(F.col("layer").cast("bigint").alias("layer"), set_line("mers").alias("mers"))
 
 
-@query("SELECT CAST(layer AS BIGINT) AS layer, CAST(width AS BIGINT) AS width FROM (VALUES (0, 2), (1, 1), (2, 2), (3, 2), (4, 2), (5, 1), (6, 2), (7, 2)) t(layer, width)")
+@query(SQL_LAYERS + " SELECT layer, count(*) AS width FROM l GROUP BY layer")
 def layer_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layers(spark)[0].groupBy(F.col("layer").cast("bigint").alias("layer")).agg(F.count("*").alias("width"))
 
 
-@query()
+@query(SQL_LAYERS + " SELECT fm, first, last FROM r")
 def fmove_layer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.fmove_ranges(_layers(spark)[1])
+    return components.fmove_ranges(_layers(spark)[1]).select("fm", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))
 
 
-@query()
+@query(SQL_LAYERS + ", w AS (SELECT layer, count(*) AS width FROM l GROUP BY layer) SELECT count(*) AS n_layers, CAST(sum(width) AS BIGINT) AS n_sets, min(width) AS least_width, max(width) AS most_width, (SELECT min(last - first + 1) FROM r) AS shortest_range, (SELECT max(last - first + 1) FROM r) AS longest_range FROM w")
 def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.layer_report(*_layers(spark))
 
