@@ -69,16 +69,20 @@ class Vocabulary:
 
     def ids(self, raw: np.ndarray) -> np.ndarray:
         """Piece numbers of raw (unmixed) substring hashes; -1 where there is none."""
-        key = mix64(raw)
-        found = np.full(len(key), -1, np.int32)
-        for level, table in enumerate(self.tables):
-            there = table[self._slot(key, level)]
-            found = np.where(self.keys[there] == key, there, found)
+        key, found, own = mix64(raw), np.full(len(raw), -1, np.int32), np.arange(len(raw))
+        for level, table in enumerate(self.tables):  # a key that finds its slot empty is in no further table either
+            there = table[self._slot(key[own] if level else key, level)]
+            own, there = own[there >= 0], there[there >= 0]
+            equal = self.keys[there] == key[own]
+            found[own[equal]] = there[equal]
+            own = own[~equal]
+            if not len(own):
+                break
         return found
 
 
 def lattice(vocabulary: Vocabulary, words: list[str]):
-    """For words of one length: (start, length, piece numbers) of each possible piece, in order of its end."""
+    """For words of one length: (start, length, words that have a piece there, piece numbers), in order of its end."""
     size = len(words[0])
     chars = np.array(words, f"<U{size}").view(np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
     edges = []
@@ -89,8 +93,9 @@ def lattice(vocabulary: Vocabulary, words: list[str]):
             ids = vocabulary.ids(raw)
             if n == 1:
                 ids = np.where(ids < 0, len(vocabulary.pieces), ids)
-            if (ids >= 0).any():
-                edges.append((start, n, ids))
+            own = np.flatnonzero(ids >= 0)
+            if len(own):
+                edges.append((start, n, own, ids[own]))
     edges.sort(key=lambda e: e[0] + e[1])
     return size, edges
 
@@ -98,13 +103,13 @@ def lattice(vocabulary: Vocabulary, words: list[str]):
 def by_length(words: list[str], most: int = 8_000):
     """Places of words of up to SHORT characters by their length, in groups of up to ``most``, then each longer word alone; empty ones are left out."""
     groups: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if 0 < len(w) <= SHORT:
-            groups.setdefault(len(w), []).append(i)
-    for places in groups.values():
-        for a in range(0, len(places), most):
-            yield places[a : a + most]
-    yield from ([i] for i, w in enumerate(words) if len(w) > SHORT)
+    for i, size in enumerate(map(len, words)):
+        if size:
+            groups.setdefault(size, []).append(i)
+    for size, places in groups.items():
+        step = most if size <= SHORT else 1
+        for a in range(0, len(places), step):
+            yield places[a : a + step]
 
 
 def long_lattice(vocabulary: Vocabulary, word: str) -> np.ndarray:
@@ -149,8 +154,8 @@ def forward(vocabulary: Vocabulary, chances: np.ndarray, words: list[str]) -> np
         size, edges = lattice(vocabulary, [words[i] for i in places])
         alpha = np.zeros((size + 1, len(places), chances.shape[1]))
         alpha[0] = 1
-        for start, n, ids in edges:
-            alpha[start + n] += alpha[start] * chances[ids]
+        for start, n, own, ids in edges:
+            alpha[start + n, own] += alpha[start, own] * chances[ids]
         out[places] = np.log(alpha[size])
     return out
 
@@ -167,14 +172,14 @@ def expected(vocabulary: Vocabulary, chances: np.ndarray, words: list[str], coun
         size, edges = lattice(vocabulary, [words[i] for i in places])
         alpha, beta = np.zeros((size + 1, len(places))), np.zeros((size + 1, len(places)))
         alpha[0] = beta[size] = 1
-        for start, n, ids in edges:
-            alpha[start + n] += alpha[start] * chances[ids]
-        for start, n, ids in sorted(edges, key=lambda e: -e[0]):
-            beta[start] += beta[start + n] * chances[ids]
+        for start, n, own, ids in edges:
+            alpha[start + n, own] += alpha[start, own] * chances[ids]
+        for start, n, own, ids in sorted(edges, key=lambda e: -e[0]):
+            beta[start, own] += beta[start + n, own] * chances[ids]
         likelihood += float((counts[places] * np.log(alpha[size])).sum())
         weight = counts[places] / alpha[size]
-        for start, n, ids in edges:
-            total += np.bincount(ids + (ids < 0) * (len(chances)), alpha[start] * chances[ids] * beta[start + n] * weight, len(chances) + 1)[: len(chances)]
+        for start, n, own, ids in edges:
+            np.add.at(total, ids, alpha[start, own] * chances[ids] * beta[start + n, own] * weight[own])
     total[-1] = 0
     return total, likelihood
 
@@ -196,10 +201,10 @@ def _expected_long(vocabulary: Vocabulary, chances: np.ndarray, word: str) -> tu
     return uses, whole
 
 
-def plain_words(words: list[str]) -> list[str]:
+def plain_words(words: pa.Array) -> pa.Array:
     """Each word lower-cased, without signs and digits around it, and marked; empty where nothing is left."""
-    stripped = (w.strip(STRIP).lower() for w in words)
-    return [MARK + w if w else "" for w in stripped]
+    plain = pc.utf8_lower(pc.utf8_trim(words.cast(pa.large_string()), STRIP))
+    return pc.if_else(pc.equal(plain, ""), pa.scalar("", plain.type), pc.binary_join_element_wise(pa.scalar(MARK, plain.type), plain, pa.scalar("", plain.type)))
 
 
 @dataclass(frozen=True)
@@ -219,22 +224,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
             langs = batch.column("lang").dictionary_encode()
             codes, counts, words = space_words(texts_of(batch.column("text")))
             of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), counts).astype(np.int64)
-            n = np.bincount(of * len(words) + codes, minlength=1)
+            plain = plain_words(words).dictionary_encode()
+            code = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            n = np.bincount(of * len(plain.dictionary) + code, minlength=1)
             pairs = np.flatnonzero(n)
-            n = n[pairs]
-            plain = plain_words(words.to_pylist())
-            summed: dict[tuple[int, str], int] = {}
-            for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
-                if word := plain[p % len(words)]:
-                    key = (p // len(words), word)
-                    summed[key] = summed.get(key, 0) + k
-            lang = pa.array([k[0] for k in summed], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(lang).cast(pa.string()), pa.array([k[1] for k in summed], pa.string()), pa.array(list(summed.values()), pa.int64())],
-                names=["lang", "word", "n"],
-            )
-
-    return docs.select("text", "lang").mapInArrow(tasks, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            lang = langs.dictionary.take(pa.array(pairs // max(1, len(plain.dictionary)))).cast(pa.string())
+            word = plain.dictionary.take(pa.array(pairs % max(1, len(plain.dictionary)))).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang, word, pa.array(n[pairs], pa.int64())], names=["lang", "word", "n"])
+
+    return docs.select("text", "lang").mapInArrow(tasks, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, vocabulary: str, *, rounds: int = 3, tolerance: float = 0.01, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -278,12 +276,11 @@ def _expect(sent, most: int = 60_000):
         held: list[pa.RecordBatch] = []
 
         def use():
-            lang = np.array([x for b in held for x in b.column("lang").to_pylist()])
-            words = np.array([x for b in held for x in b.column("word").to_pylist()], object)
-            n = np.concatenate([b.column("n").to_numpy(zero_copy_only=False) for b in held]).astype(float)
+            rows = pa.Table.from_batches(held)
             for j, name in enumerate(names):
-                if (own := lang == name).any():
-                    uses, log = expected(vocabulary, chances[:, j], words[own].tolist(), n[own])
+                own = rows.filter(pc.equal(rows["lang"], name))
+                if own.num_rows:
+                    uses, log = expected(vocabulary, chances[:, j], own["word"].to_pylist(), own["n"].to_numpy().astype(float))
                     totals[:, j] += uses
                     likelihood[j] += log
             held.clear()
@@ -304,7 +301,7 @@ def _expect(sent, most: int = 60_000):
 class WordScores:
     """Scores of the words met so far by one worker process, for one model; emptied when it holds ``most`` words."""
 
-    def __init__(self, model: LanguageModel, most: int = 150_000):
+    def __init__(self, model: LanguageModel, most: int = 400_000):
         self.model, self.most = model, most
         self.vocabulary = Vocabulary(list(model.pieces))
         self.forget()
@@ -313,18 +310,21 @@ class WordScores:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1 << 14, len(self.model.languages)))
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: pa.Array) -> np.ndarray:
         """Log-probabilities of words (0 of the empty one)."""
         if len(self.rows) > self.most:
             self.forget()
-        new = list({w for w in words if w not in self.rows})
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        new = [w for w in known if w not in self.rows]
         if new:
             n = len(self.rows)
             while n + len(new) > len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.scores[n : n + len(new)] = forward(self.vocabulary, self.model.chances, new)
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-        return self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        rows = np.fromiter(map(self.rows.__getitem__, known), np.int64, len(known))
+        return self.scores[rows[coded.indices.to_numpy(zero_copy_only=False)]]
 
 
 _SCORES: dict[str, WordScores] = {}
@@ -358,7 +358,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
             if n_langs:
                 codes, counts, words = space_words(texts)
-                scores = worker_scores(m).of(plain_words(words.to_pylist()))
+                scores = worker_scores(m).of(plain_words(words))
                 totals = m.priors + np.column_stack([sums_by(scores[codes, j], counts) for j in range(n_langs)])
                 best = totals.argmax(1)
                 chance = 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1)
