@@ -265,7 +265,7 @@ def encode(docs: DataFrame, *, block: int = 576, text: str = "text", out: str =
             counts = np.array([len(p) // block for p in payloads])
             samples = (np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, block).astype(np.int16) - 128).astype(np.int32)
             number = np.arange(len(samples)) - np.repeat(np.cumsum(counts) - counts, counts)
-            frames = [f for a in range(0, len(samples), 2048) for f in encode_frames(samples[a : a + 2048], number[a : a + 2048], block)]
+            frames = [f for a in range(0, len(samples), 512) for f in encode_frames(samples[a : a + 512], number[a : a + 512], block)]
             ends = np.cumsum(counts).tolist()
             media = [stream(p, frames[e - n : e], block) for p, e, n in zip(payloads, ends, counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(media, pa.binary())], names=[*names, out])
@@ -317,7 +317,7 @@ def decode(media: DataFrame, *, column: str = "media", pcm: str = "pcm", feature
                 counts = np.array([len(parsed[j][4]) - 1 for j in own])
                 starts = np.concatenate([b + parsed[j][3] + parsed[j][4][:-1] for b, j in zip(begin, own, strict=True)])
                 lengths = np.concatenate([np.diff(parsed[j][4]) for j in own])
-                parts = [decode_frames(data, starts[a : a + 4096], lengths[a : a + 4096], block) for a in range(0, len(starts), 4096)]
+                parts = [decode_frames(data, starts[a : a + 2048], lengths[a : a + 2048], block) for a in range(0, len(starts), 2048)]
                 samples = np.concatenate(parts)
                 signed = samples.astype(np.int8)
                 energy = (samples.astype(np.int64) ** 2).sum(1)
