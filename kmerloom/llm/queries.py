@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, language, near_dups, packing, passages, secrets, substrings, toxicity, url_filter
+from . import alignment, centroids, decontaminate, flac, language, mixing, near_dups, packing, passages, secrets, substrings, toxicity, url_filter
 from .common import table
 
 URL_RULES = (
@@ -174,6 +174,99 @@ FROM found
 """
 
 
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(hex_sha256(F.col("groups")))
+    found = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECES), keep={"groups_sha256": digest})
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = (5.0, 2.0, 1.0), 1.5, 2
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, MIX_WEIGHTS, share=MIX_SHARE, most=MIX_MOST).select(
+        "doc_id",
+        F.col("mix_words").alias("size"),
+        F.col("mix_source_words").alias("source_size"),
+        F.round("mix_target", 6).alias("target"),
+        (F.col("mix_copies") * F.col("mix_words")).cast("bigint").alias("taken"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words, count(*) FILTER (size > 0) AS documents,
+         [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, coalesce(sum(2.0 * words) OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open,
+         1.5 * sum(words) OVER () AS total, row_number() OVER (ORDER BY words / weight, source NULLS LAST) AS place
+  FROM s WINDOW w AS (ORDER BY words / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT min_by((total - capped) / open, place) FILTER (2.0 * words >= (total - capped) / open * weight) AS level FROM o
+), t AS (
+  SELECT source, words, words::DOUBLE / nullif(documents, 0) AS mean, least(2.0 * words, coalesce(level, 1e300) * weight)::DOUBLE AS target FROM s, l
+), e AS (
+  SELECT d.source, d.size, ln(u + k) / (size / mean) AS event
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) c(k) WHERE size > 0
+), g AS (
+  SELECT source, event, CAST(sum(size) AS BIGINT) AS own FROM e GROUP BY source, event
+), c AS (
+  SELECT g.*, sum(own) OVER (PARTITION BY source ORDER BY event) AS upto FROM g
+), x AS (
+  SELECT c.source, min(event) AS cut, min_by(upto - own, event) AS below, min_by(own, event) AS own, any_value(target) AS target
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE upto >= target AND target < 2.0 * words GROUP BY c.source
+)
+SELECT d.doc_id, d.size, t.words AS source_size, round(t.target, 6) AS target,
+       CAST(CASE WHEN d.size = 0 THEN 0 WHEN x.cut IS NULL THEN 2 * d.size
+            ELSE d.size * (SELECT count(*) FILTER (ln(u + k) / (d.size / mean) < cut OR (ln(u + k) / (d.size / mean) = cut AND below + own - x.target <= x.target - below))
+                           FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) c(k)) END AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
+"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centers = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = hex_sha256(F.array_join(F.col("centroid").cast("array<string>"), ",")).alias("centroid_sha256")
+    return found.join(F.broadcast(centers), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def op13_sql(rounds: int = 10, k: int = 8) -> str:
+    squared = "CAST(list_sum(list_transform(list_zip(p.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    out = f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY name, v) - 1 AS j, v AS c FROM (SELECT sha256('3:' || vec_id) AS name, v FROM p ORDER BY name, v LIMIT {k})
+)"""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'j': j}}) AS b FROM (SELECT p.row, p.vec_id, p.v, c.j, {squared} AS d FROM p, c{i} c) GROUP BY row
+)"""
+        if i < rounds:
+            out += f""", c{i + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (
+    SELECT j, list(CAST(floor_mean AS BIGINT) ORDER BY place) AS c FROM (
+      SELECT b.j AS j, place, CAST(sum(v[place]) AS HUGEINT) AS s, count(*) AS n, (s - ((s % n) + n) % n) // n AS floor_mean FROM a{i}, range(1, 65) r(place) GROUP BY b.j, place
+    ) GROUP BY j
+  ) m ON m.j = c.j
+)"""
+    return out + f"""
+SELECT vec_id, CAST(b.j AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.j = b.j
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -186,8 +279,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_decontamination": op9_decontamination,
         "op10_url_filter": op10_url_filter,
+        "op11_alignment": op11_alignment,
+        "op12_mixing": op12_mixing,
+        "op13_clusters": op13_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_clusters": op13_sql()}
