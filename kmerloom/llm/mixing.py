@@ -104,7 +104,7 @@ def newton(groups: DataFrame, sources: DataFrame, most: int, tolerance: float =
 
 def event(k: int) -> Column:
     """The tilt from which on the k-th copy of a document is taken."""
-    return F.log(F.col("u") + float(k - 1)) / F.col("x")
+    return F.try_divide(F.log(F.col("u") + float(k - 1)), F.col("x"))
 
 
 def thresholds(docs: DataFrame, tilts: DataFrame, most: int) -> DataFrame:
@@ -122,7 +122,7 @@ def thresholds(docs: DataFrame, tilts: DataFrame, most: int) -> DataFrame:
         one = one.where(F.col("least").isNull() | F.col("event").between(F.col("least"), F.col("greatest")))
         far = F.col("event") - F.col("lambda")
         first = F.signum(far) * F.greatest(F.lit(1.0), F.least(F.lit(BINS / 2.0), 321.0 + F.floor(8.0 * F.log2(F.abs(far)))))
-        later = F.least(F.lit(BINS - 1.0), F.floor((F.col("event") - F.col("least")) / (F.col("greatest") - F.col("least")) * BINS))
+        later = F.least(F.lit(BINS - 1.0), F.floor(F.try_divide(F.col("event") - F.col("least"), F.col("greatest") - F.col("least")) * BINS))
         bin_ = F.when(F.col("least").isNull(), F.when(far == 0, 0.0).otherwise(first)).otherwise(later)
         bins = one.groupBy("number", "target", "lambda", "below", bin_.alias("bin")).agg(F.sum("size").alias("own"), F.min("event").alias("least"), F.max("event").alias("greatest"))
         upto = F.expr("sum(own) over (partition by number order by bin)")  # some thousand rows a source
@@ -163,9 +163,9 @@ def mix(
     rows = docs.withColumns({names["words"]: n_words(docs[text])})
     plain = written(rows.select(docs[source].alias("source"), F.col(names["words"]).alias("size"), fraction(docs[doc_id]).alias("u")), "mix-sizes")
     sources = written(with_targets(source_table(plain, weights), share, most), "mix-sources")
-    mean = F.col("words") / F.col("documents")
+    mean = F.try_divide("words", "documents")
     numbered = sources.select(F.col("source").alias("of"), "number", mean.alias("mean"))
-    sized = written(plain.join(numbered, F.col("source").eqNullSafe(F.col("of"))).select("number", "size", "u", (F.col("size") / F.col("mean")).alias("x")), "mix-documents")
+    sized = written(plain.join(numbered, F.col("source").eqNullSafe(F.col("of"))).select("number", "size", "u", F.try_divide("size", "mean").alias("x")), "mix-documents")
     dropped(plain)
     groups = written(sized.where("size > 0").groupBy("number", "size", "x").agg(F.count("*").alias("n")), "mix-groups")
     cuts = thresholds(sized, newton(groups, sources, most), most)
@@ -176,8 +176,8 @@ def mix(
     at = F.col(own + "_of")
     size = F.col(names["words"])
     joined = rows.withColumn(own + "_u", fraction(F.col(doc_id))).join(final, F.col(source).eqNullSafe(F.col(own)))
-    x = size / at["mean"]
-    events = [F.log(F.col(own + "_u") + float(k)) / x for k in range(most)]
+    x = F.try_divide(size, at["mean"])
+    events = [F.try_divide(F.log(F.col(own + "_u") + float(k)), x) for k in range(most)]
     taken = [(e < at["cut"]) | (e == at["cut"]) & at["taken"] for e in events]
     copies = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
     every = F.when(at["target"] > 0, F.lit(most)).otherwise(0)
