@@ -2,14 +2,14 @@
 passages and secrets are taken out, and what stays is packed into sequences.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``, and any others that docs has. Null and empty texts are clean and stay in every
+next one's docs. All but the last return the columns of ``documents``, and any others that docs has, as they were, whatever their names. Null and empty texts are clean and stay in every
 stage, and are packed as an end mark each. Rows that repeat a doc_id are judged by their own text; of repeated rows with words near_duplicates keeps
 one. Texts of any length are taken whole; empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, near_dups, packing, secrets, toxicity
@@ -17,10 +17,17 @@ from kmerloom.llm.common import dropped, fresh, table, written
 from kmerloom.llm.queries import TOXIC_AT, WORD_TOKENIZER, tokenizer_path, toxicity_model
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its own columns of these names, which an operator is about to make, under free ones; and the columns as they were."""
+    free = {c: fresh(docs, "kept_" + c) for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(free), [F.col(f"`{free.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under the threshold; the model is trained on labels outside the held-out third."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC_AT).select(*docs.columns)
+    rows, columns = aside(docs, "toxicity", "toxic_passages")
+    return toxicity.score(rows, model).where(F.col("toxicity") < TOXIC_AT).select(*columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +43,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with the benchmark."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    rows, columns = aside(docs, "n_words", "n_hit", "hit_spans", "hit_items")
+    return decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars counted again where that was done."""
-    clean = secrets.redact(secrets.scan_secrets(docs), "secret_spans")
+    rows, columns = aside(docs, "secret_spans")
+    clean = secrets.redact(secrets.scan_secrets(rows), "secret_spans")
     size = F.when(F.size("secret_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

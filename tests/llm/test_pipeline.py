@@ -73,3 +73,13 @@ def test_rows_equal_brute_force(spark):
     for d, own in pieces.items():
         whole = b"".join(bytes(r.token_ids) for r in sorted(own, key=lambda r: r.start))
         assert zlib.crc32(whole) == zlib.crc32(struct.pack(f"<{len(ids[d])}I", *ids[d])), d
+
+
+def test_columns_named_like_those_of_the_operators_stay(spark):
+    names = ["Toxicity", "toxic_passages", "n_words", "n_hit", "hit_spans", "hit_items", "secret_spans", "key1", "key2", "worded", "kept_n_hit"]
+    rows = [(i, f"some plain words number {i} " + ("password = abcdefghijkl1234" if i == 3 else "here"), "en", "s", 9, *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert [f.simpleString() for f in out.schema] == [f.simpleString() for f in docs.schema]
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
