@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kspace import KmerSpace, col
-from ..shared import written
 
 
 def symbols(text, alphabet: str, *, on_invalid: str = "drop", lower: bool = False, alpha: int | None = None) -> Column:
@@ -58,27 +57,6 @@ def kmers(digits, space: KmerSpace) -> Column:
     return bound(col(digits), all_of)
 
 
-def ordered_kmers(rows: DataFrame, space: KmerSpace, key: str, order: list[str], digit: str) -> DataFrame:
-    """(key, mer): the k-mers of symbols that are rows, one stream per key in the order of the columns ``order`` (unique inside a key).
-
-    Rows are sorted by ranges of key and order, so a key with most rows is spread over tasks; each row adds its digit to the k words it is
-    part of, and words whose k digits are of one key count.
-    """
-    ordered = rows.select(key, *order, F.col(digit).cast("bigint").alias("digit")).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = written(ordered.select(F.spark_partition_id().alias("part"), inside.alias("inside"), F.col(key).alias("key"), "digit"), "ordered")
-    counts, before, total = placed.groupBy("part").count().orderBy("part").collect(), [], 0  # one row for each task
-    for part, n in counts:
-        before.append((part, total))
-        total += n
-    starts = placed.sparkSession.createDataFrame(before, "part int, before long")
-    place = F.col("before") + F.col("inside")
-    shares = F.explode(F.array(*[F.struct((place - j).alias("start"), (F.col("digit") * space.alpha ** (space.k - 1 - j)).alias("share")) for j in range(space.k)])).alias("x")
-    words = placed.join(F.broadcast(starts), "part").select("key", shares).select("key", "x.*")
-    mers = words.groupBy("start").agg(F.sum("share").alias("mer"), F.count("*").alias("n"), F.min("key").alias("key"), F.max("key").alias("last"))
-    return mers.where((F.col("n") == space.k) & (F.col("key") == F.col("last"))).select(F.col("key").alias(key), "mer")
-
-
 def hit_offsets(mers, predicate: Callable[[Column], Column]) -> Column:
     """Offsets (from 0) of the k-mers that a predicate selects."""
     marked = F.transform(col(mers), lambda m, i: F.when(predicate(m), i))

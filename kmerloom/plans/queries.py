@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kspace, words
 from ..functions.kspace import KmerSpace, TextKmers
-from ..operators import components, graph, moves, search, sets, sketch
+from ..operators import components, graph, moves, scan, search, sets, sketch
 from ..streaming import sketch as stream
 
 A4K4, A3K5, A4K3, A2K6, A2K4, A2K5 = KmerSpace(4, 4), KmerSpace(3, 5), KmerSpace(4, 3), KmerSpace(2, 6), KmerSpace(2, 4), KmerSpace(2, 5)
@@ -380,37 +380,33 @@ def sql_kmers(k: int = 4) -> str:
     return f"q AS ({SQL_SEQ}), k AS (SELECT doc_id, source, lang, CAST(i AS BIGINT) AS pos, CAST({power} AS BIGINT) AS mer FROM (SELECT *, unnest(range(greatest(length(seq) - {k - 1}, 0))) AS i FROM q))"
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are; small files are dealt to all cores."""
+    return scan.dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    tasks = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < tasks:  # a file of one row group is one task, whatever its size
-        docs = docs.repartition(tasks)
-    return docs.select("doc_id", "source", "lang", sketch.symbols("text", "acgt", lower=True).alias("digits"))
+    return texts(spark, sf_dir).select("doc_id", "source", "lang", sketch.symbols("text", "acgt", lower=True).alias("digits"))
 
 
 @query("WITH " + sql_kmers() + " SELECT doc_id, count(*) AS n_kmers, CAST(sum(mer) AS BIGINT) AS total, min(mer) AS least, max(mer) AS most FROM k GROUP BY doc_id")
 def kmers_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir).select("doc_id", sketch.kmers("digits", A4K4).alias("k")).where(F.size("k") > 0)
-    total = F.aggregate("k", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.select("doc_id", F.size("k").cast("bigint").alias("n_kmers"), total.alias("total"), F.array_min("k").alias("least"), F.array_max("k").alias("most"))
+    return scan.word_totals(texts(spark, sf_dir), A4K4, "doc_id").drop("n_stretches")
 
 
 @query("WITH " + sql_kmers() + f" SELECT least(mer, {sql_rc('mer', 4, 4)}) AS canonical, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, canonical LIMIT 20")
 def kmer_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir).select(F.explode(sketch.kmers("digits", A4K4)).alias("mer"))
-    counts = rows.groupBy("mer").agg(F.count("*").alias("n")).groupBy(A4K4.canonical("mer").alias("canonical")).agg(F.sum("n").alias("n"))
+    counts = scan.word_counts(texts(spark, sf_dir), A4K4, canonical=True).withColumnRenamed("mer", "canonical")
     return counts.orderBy(F.desc("n"), "canonical").limit(20)
 
 
-def _sketched_by(spark: SparkSession, sf_dir: str, predicate) -> DataFrame:
-    """Sketches by a table of all 256 words, so that the predicate is computed once for each word and not at each position."""
-    taken = {r["mer"] for r in sets.generate(spark, A4K4, predicate(F.col("mer"))).collect()}
-    held = F.array(*[F.lit(i in taken) for i in range(A4K4.size)])
-    return sketch.sketch(sequences(spark, sf_dir), A4K4, lambda m: F.get(held, m.cast("int")))
+def hits_under(spark: SparkSession, space: KmerSpace, predicate, mode: str = "straight") -> scan.Hits:
+    """Hits by a table of all words of a small space, so that the predicate is computed once for each word and not at each position."""
+    return scan.table_hits(space, scan.flags(spark, space, sets.under_mode(space, predicate, mode)))
 
 
-def _sketched(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return _sketched_by(spark, sf_dir, sets.under_mode(A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), mode))
+def _hits(spark: SparkSession, mode: str) -> scan.Hits:
+    return hits_under(spark, A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), mode)
 
 
 def sql_gaps(mode: str) -> str:
@@ -430,7 +426,7 @@ def sql_gaps(mode: str) -> str:
 
 def _hist(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return sketch.histogram(_sketched(spark, sf_dir, mode))
+        return scan.gap_counts(texts(spark, sf_dir), _hits(spark, mode))
 
     run.__name__ = f"sketch_hist_{mode}"
     return run
@@ -443,17 +439,17 @@ for _mode in sets.MODES:
 @query(sql_gaps("canonical") + " SELECT gap, count(*) AS n FROM g GROUP BY gap")
 def gap_histogram_mykkeltveit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: gaps between canonical 4-mers in the Mykkeltveit set."""
-    return sketch.histogram(_sketched(spark, sf_dir, "canonical"))
+    return scan.gap_counts(texts(spark, sf_dir), _hits(spark, "canonical"))
 
 
 @query(sql_gaps("straight") + " SELECT doc_id, gap, count(*) AS n FROM g GROUP BY doc_id, gap")
 def sketch_hist_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.histogram(_sketched(spark, sf_dir, "straight"), "doc_id")
+    return scan.gap_counts(texts(spark, sf_dir), _hits(spark, "straight"), "doc_id")
 
 
 @query(sql_gaps("straight") + ", c AS (SELECT doc_id, count(*) AS n_hits FROM h GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n_kmers FROM k GROUP BY doc_id) SELECT q.doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(n_kmers, 0) AS n_kmers, CAST(coalesce(n_hits, 0) AS DOUBLE) / n_kmers AS density FROM q LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)")
 def density_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.density(_sketched(spark, sf_dir, "straight"), "doc_id")
+    return sketch.density(scan.text_hits(texts(spark, sf_dir), _hits(spark, "straight"), "doc_id"), "doc_id")
 
 
 @query(sql_gaps("straight") + " SELECT doc_id, CAST(sum(CASE WHEN gap >= 5 THEN gap ELSE 0 END) AS BIGINT) AS weighted_sum FROM g GROUP BY doc_id")
@@ -463,12 +459,12 @@ def weighted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_gaps("straight") + " SELECT source, CAST(sum(CASE WHEN gap >= 20 THEN gap ELSE 0 END) AS BIGINT) AS unmappable FROM g GROUP BY source")
 def unmappable_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.unmappable(sketch.histogram(_sketched(spark, sf_dir, "straight"), "source"), "source", threshold=20)
+    return sketch.unmappable(scan.gap_counts(texts(spark, sf_dir), _hits(spark, "straight"), "source"), "source", threshold=20)
 
 
 @query("WITH " + sql_kmers() + f", h AS (SELECT doc_id, pos FROM k WHERE {sql_syncmer('mer', 4, 4, 2)} = 1), g AS (SELECT pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM h) SELECT gap, count(*) AS n FROM g GROUP BY gap")
 def syncmer_sketch_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.histogram(_sketched_by(spark, sf_dir, lambda m: sets.in_syncmer(A4K4, m, 2, 1)))
+    return scan.gap_counts(texts(spark, sf_dir), hits_under(spark, A4K4, lambda m: sets.in_syncmer(A4K4, m, 2, 1)))
 
 
 SQL_TURNS = "SELECT conv_id AS doc_id, '' AS source, '' AS lang, regexp_replace(lower(string_agg(coalesce(text, ''), '' ORDER BY turn)), '[^acgt]', '', 'g') AS seq FROM conversations GROUP BY conv_id"
@@ -496,7 +492,7 @@ def stream_syncmer_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_gaps("straight") + ", d AS (SELECT source, lang, doc_id, CAST(count(*) AS DOUBLE) AS hits FROM h GROUP BY ALL) SELECT source, lang, round(avg(hits), 6) AS mean, round(coalesce(stddev_samp(hits), 0), 6) AS stdev, min(hits) AS min, max(hits) AS max FROM d GROUP BY source, lang")
 def stats_by_dataset_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sketched(spark, sf_dir, "straight").where("n_hits > 0").select("source", "lang", F.col("n_hits").cast("double").alias("hits"))
+    rows = scan.text_hits(texts(spark, sf_dir), _hits(spark, "straight"), "source", "lang").where("n_hits > 0").select("source", "lang", F.col("n_hits").cast("double").alias("hits"))
     out = sketch.describe(rows, "source", "lang", value="hits")
     return out.withColumns({"mean": F.round("mean", 6), "stdev": F.round("stdev", 6)})
 
@@ -512,16 +508,16 @@ def event_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = KmerSpace(5, 3)
     kinds = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.array_position(kinds, F.col("event_type")) - 1).alias("d"))
-    return sketch.ordered_kmers(rows, space, "user_id", ["ts", "event_id"], "d").groupBy("mer").agg(F.count("*").alias("n"))
+    return scan.ordered_word_counts(rows, space, "user_id", ["ts", "event_id"], "d")
 
 
 @query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(strpos('ANR', l_returnflag) - 1 AS BIGINT) AS d FROM lineitem), k AS (SELECT d * 9 + lead(d, 1) OVER w * 3 + lead(d, 2) OVER w AS mer FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, d)), c AS (SELECT mer FROM k WHERE mer IS NOT NULL) SELECT least(mer, " + sql_rc("mer", 3, 3) + ") AS canonical, count(*) AS n FROM c GROUP BY 1")
 def returnflag_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical 3-mers over the return flags of each order: an alphabet of three letters."""
     space = KmerSpace(3, 3)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", (F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1).alias("d")).alias("e"))
-    streams = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("e")).select(F.transform("e", lambda x: x["d"]).alias("digits"))
-    return streams.select(F.explode(sketch.kmers("digits", space)).alias("mer")).groupBy(space.canonical("mer").alias("canonical")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1).alias("d"))
+    counts = scan.ordered_word_counts(rows, space, "l_orderkey", ["l_linenumber", "d"], "d")
+    return counts.groupBy(space.canonical("mer").alias("canonical")).agg(F.sum("n").alias("n"))
 
 
 # 5. moves ----------------------------------------------------------------------------------------
