@@ -57,25 +57,29 @@ SIDED = ["set_id", "side", "node"]
 def _peeled(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(levels, tables): (set_id, side, node, level) of nodes that go when those without an arc (set_id, side, a, b) into b go, round after round; level from 1.
 
-    A node counts its arcs; each round sends one decrement for each arc of its frontier and frees the nodes whose decrements add up. So
-    every arc is written once over all rounds.
+    A node counts its arcs; each round sends one decrement for each arc of its frontier, and the nodes whose decrements add up are the next one. So
+    every arc is written once over all rounds. A node's level is one more than the last round that sent it a decrement.
     """
     degree = written(arcs.groupBy("set_id", "side", F.col("b").alias("node")).agg(F.count("*").alias("degree")), "degrees")
-    front = written(nodes.join(degree, SIDED, "left_anti").select(*SIDED, F.lit(1).alias("level")), "front")
-    levels, sent, level = [front], [], 1
-    while not front.isEmpty():
+    free = written(nodes.join(degree, SIDED, "left_anti").select(*SIDED), "front")
+    front, sent, level = free, [], 1
+    total = F.sum("gone").alias("gone"), F.max("level").alias("level")
+    while True:
         level += 1
         ahead = arcs.join(front.select("set_id", "side", F.col("node").alias("a")), ["set_id", "side", "a"])
-        sent.append(written(ahead.groupBy("set_id", "side", F.col("b").alias("node")).agg(F.count("*").alias("gone")), "gone"))
-        recent = sent[-1].select(*SIDED)
-        if len(sent) > 16:  # few tables to read: decrements of nodes that are not free yet are added up
-            still = _union(sent).groupBy(*SIDED).agg(F.sum("gone").alias("gone")).join(_union(levels).select(*SIDED), SIDED, "left_anti")
-            held, sent = sent, [written(still, "gone")]
-            dropped(*held[:-1])
-        total = _union(sent).join(recent, SIDED, "left_semi").groupBy(*SIDED).agg(F.sum("gone").alias("gone"))
-        front = written(total.join(degree, SIDED).where("gone = degree").select(*SIDED, F.lit(level).alias("level")), "front")
-        levels.append(front)
-    return _union(levels), [degree, *levels, *sent]
+        told = ahead.groupBy("set_id", "side", F.col("b").alias("node")).agg(F.count("*").alias("gone")).withColumn("level", F.lit(level))
+        sent.append(written(told, "gone"))
+        if sent[-1].isEmpty():
+            break
+        if len(sent) > 16:  # few tables to read
+            held, sent = sent, [written(_union(sent).groupBy(*SIDED).agg(*total), "gone")]
+            dropped(*held)
+            recent = sent[0].where(F.col("level") == level)
+        else:
+            recent = sent[-1]
+        front = _union(sent).join(recent.select(*SIDED), SIDED, "left_semi").groupBy(*SIDED).agg(*total).join(degree, SIDED).where("gone = degree").select(*SIDED)
+    later = _union(sent).groupBy(*SIDED).agg(*total).join(degree, SIDED).where("gone = degree").select(*SIDED, "level")
+    return free.select(*SIDED, F.lit(1).alias("level")).union(later), [degree, free, *sent]
 
 
 def _arcs(edges: DataFrame, *sides: int) -> DataFrame:
@@ -115,16 +119,19 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _labelled(edges: DataFrame) -> DataFrame:
     """(set_id, node, label): the greatest node that reaches each node, itself included; only nodes whose label rose tell their successors."""
     nodes = _ends(edges, "src").union(_ends(edges, "dst")).distinct()
-    labels = written(nodes.withColumn("label", F.col("node")), "labels")
-    front = labels
+    front = written(nodes.withColumn("label", F.col("node")), "labels")
+    known = [front]
     while not front.isEmpty():
         told = edges.join(front.select("set_id", F.col("node").alias("src"), "label"), ["set_id", "src"])
         told = told.groupBy("set_id", F.col("dst").alias("node")).agg(F.max("label").alias("told"))
-        rose = told.join(labels, NODE).where("told > label").select(*NODE, F.col("told").alias("label"))
-        front = written(rose, "rose")
-        both = labels.union(front).groupBy(*NODE).agg(F.max("label").alias("label"))
-        before, labels = labels, written(both, "labels")
-        dropped(before)
+        labels = _union(known).groupBy(*NODE).agg(F.max("label").alias("label"))
+        front = written(told.join(labels, NODE).where("told > label").select(*NODE, F.col("told").alias("label")), "labels")
+        known.append(front)
+        if len(known) > 16:  # few tables to read
+            held, known = known, [written(_union(known).groupBy(*NODE).agg(F.max("label").alias("label")), "labels")]
+            dropped(*held[:-1])
+    labels = written(_union(known).groupBy(*NODE).agg(F.max("label").alias("label")), "labels")
+    dropped(*known)
     return labels
 
 
