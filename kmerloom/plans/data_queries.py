@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.kspace import KmerSpace
 from ..operators import bits, chunks, graph, observed, scan, select, sets
-from ..shared import written
-from .queries import A4K4, hits_under, query, sql_gaps, sql_kmers, sql_mykkeltveit, sql_rc, sql_universe, table, texts
+from ..shared import shared_dir, written
+from ..sources import records as files
+from ..streaming import records
+from ..streaming import sketch as stream
+from .queries import A4K4, SQL_SEQ, SQL_TURNS, hits_under, query, sql_gaps, sql_kmers, sql_mykkeltveit, sql_rc, sql_universe, table, texts
 
 A4K5, A4K12, A4K6 = KmerSpace(4, 5), KmerSpace(4, 12), KmerSpace(4, 6)
 
@@ -245,3 +249,43 @@ def statistics_by_dataset_sketch_method(spark: SparkSession, sf_dir: str) -> Dat
     return rows.agg(F.round(F.avg("n_hits"), 6).alias("mean"), spread.alias("stdev"), F.min("n_hits").alias("min"), F.max("n_hits").alias("max"))
 
 
+
+
+# 9. records that arrive out of order -----------------------------------------------------------------
+
+
+@query(sql_gaps("canonical").replace(SQL_SEQ, SQL_TURNS) + " SELECT doc_id AS conv_id, gap, count(*) AS n FROM g GROUP BY doc_id, gap")
+def shuffled_turns_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of conversations whose turns arrive in any order over several batches, each with a mark that tells how many there are."""
+    turns = table(spark, sf_dir, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = turns.select("conv_id", place.alias("piece"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("bigint").alias("n"))
+    marks = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.lit(None).cast("int").alias("piece"), F.lit(None).cast("string").alias("text"), "n")
+    where = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    arrivals = rows.union(marks).withColumn("batch", F.pmod(F.xxhash64("conv_id", "piece"), F.lit(4)))
+    arrivals.repartition("batch").write.partitionBy("batch").parquet(where)
+    chunks_ = spark.readStream.schema(arrivals.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/batch=*")
+    pieces = records.pieces_of(chunks_, "conv_id", "piece", ends="n")
+    hits = hits_under(spark, A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), "canonical")
+    with records.keyed_state(spark):
+        found = stream.drained(records.record_gaps(pieces, hits, A4K4.k, "conv_id"), "record-gaps")
+    return found.where("gap IS NOT NULL").groupBy("conv_id", "gap").agg(F.count("*").alias("n"))
+
+
+# 10. files ------------------------------------------------------------------------------------------
+
+SQL_PAGES = "SELECT page_id AS doc_id, '' AS source, '' AS lang, regexp_replace(lower(coalesce(html, '')), '[^acgt]', '', 'g') AS seq FROM pages"
+
+
+@query(sql_gaps("canonical").replace(SQL_SEQ, SQL_PAGES) + " SELECT doc_id AS page_id, gap, count(*) AS n FROM g GROUP BY doc_id, gap")
+def pages_as_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as FASTA records and read back by byte ranges of 50,000 bytes, which cut records: the gaps of each page."""
+    files.register(spark)
+    where = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    letters = F.upper(F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), "[^acgt]", ""))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), letters.alias("text"))
+    pages.write.format("kmer_fasta").mode("append").save(where)
+    pieces = files.read_fasta_chunks(spark, where, split_bytes=50_000)
+    hits = hits_under(spark, A4K4, lambda m: sets.in_mykkeltveit(A4K4, m), "canonical")
+    found = chunks.gap_counts(pieces.select("seq_name", "chunk", "text"), hits, A4K4.k, key="seq_name")
+    return found.select(F.col("seq_name").cast("bigint").alias("page_id"), "gap", "n")

@@ -69,7 +69,8 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_histograms(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, sketch, method, seq_name, gap, n) of histogram files named ``<dataset>_<sketch>_set..._<method>.histo``."""
+    """(dataset, sketch, method, seq_name, density, gap, n) of histogram files named ``<dataset>_<sketch>_set..._<method>.histo``; the density is null
+    where a record has no such line."""
     name = F.regexp_extract(F.col("_metadata.file_name"), "(.*)", 1)
     lines = spark.read.text(path, wholetext=True).select(name.alias("file"), F.explode(F.split("value", "(?m)^(?=>)")).alias("record")).where("trim(record) <> ''")
     rows = lines.select(
@@ -77,9 +78,10 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("file", "_(.*?)_set", 1).alias("sketch"),
         F.regexp_extract("file", r"_(.)\.", 1).alias("method"),
         F.regexp_extract("record", "^>([^\n]*)", 1).alias("seq_name"),
+        F.expr(r"try_cast(nullif(regexp_extract(record, '(?m)^# density (\\S+)', 1), '') as double)").alias("density"),
         F.explode(F.regexp_extract_all("record", F.lit(r"(?m)^(\d+ \d+)\s*$"))).alias("pair"),
     )
-    return rows.select("dataset", "sketch", "method", "seq_name", F.split("pair", " ")[0].cast("bigint").alias("gap"), F.split("pair", " ")[1].cast("bigint").alias("n"))
+    return rows.select("dataset", "sketch", "method", "seq_name", "density", F.split("pair", " ")[0].cast("bigint").alias("gap"), F.split("pair", " ")[1].cast("bigint").alias("n"))
 
 
 def read_scc(spark: SparkSession, path: str) -> DataFrame:
