@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.kspace import KmerSpace
-from ..operators import bits, chunks, graph, observed, scan, select, sets
+from ..operators import bits, chunks, frontier, graph, observed, scan, select, sets
 from ..shared import shared_dir, written
 from ..sources import records as files
 from ..streaming import records
@@ -45,7 +45,7 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_links(k: int) -> str:
     """Pairs of words of k letters that follow one another."""
     words = sql_kmers(k + 1).replace("SELECT doc_id, source, lang, CAST(i AS BIGINT) AS pos,", "SELECT")
-    return words + f", e AS (SELECT DISTINCT CAST(mer // 4 AS BIGINT) AS src, CAST(mer % {4**k} AS BIGINT) AS dst FROM k)"
+    return words + f", e AS MATERIALIZED (SELECT DISTINCT CAST(mer // 4 AS BIGINT) AS src, CAST(mer % {4**k} AS BIGINT) AS dst FROM k)"
 
 
 SQL_TAKEN = sql_universe(4, 5) + f", m AS (SELECT mer, {sql_rc('mer', 4, 5)} AS rc, {sql_mykkeltveit('mer', 4, 5)} AS held FROM u)"
@@ -94,6 +94,13 @@ def observed_longest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed.chains(_observed(spark, sf_dir, A4K4, ("straight",))).select("n_nodes", "longest")
 
 
+@query("WITH RECURSIVE " + _sql_links(5) + ", h AS (SELECT 27 AS node, 0 AS hops UNION SELECT e.dst, h.hops + 1 FROM h JOIN e ON e.src = h.node WHERE h.hops < 12) SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS BIGINT) AS hops FROM h GROUP BY node")
+def observed_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest steps from the word acgt (after a first a) to each 5-mer over words that follow one another in documents; the rounds outlive the driver."""
+    starts = spark.createDataFrame([(27,)], "node long")
+    return frontier.hops(observed.word_edges(texts(spark, sf_dir), A4K5), starts, f"{shared_dir(spark)}/hops-{uuid.uuid4().hex}")
+
+
 # 3. bit sets ---------------------------------------------------------------------------------------
 
 
