@@ -199,21 +199,25 @@ def ordered_word_counts(rows: DataFrame, space: KmerSpace, key: str, order: list
     schema = "task long, place long, key string, digit long, mer long, n long"
 
     def tasks(batches):
-        task, counts, place, head, tail = TaskContext.get().partitionId(), {}, 0, [], []
+        task, counts, place, head = TaskContext.get().partitionId(), {}, 0, []
+        names, digits = pa.array([], pa.string()), np.zeros(0, np.int64)
         for batch in batches:
-            names, digits = batch.column("key"), batch.column("digit").to_pylist()
-            names = names.to_pylist()
+            known = len(names)
+            names = pa.concat_arrays([names, batch.column("key")])
+            digits = np.concatenate((digits, batch.column("digit").fill_null(-1).to_numpy(zero_copy_only=False)))
             if len(head) < k - 1:
-                head += list(zip(names, digits, strict=True))[: k - 1 - len(head)]
-            run = tail + list(zip(names, digits, strict=True))
-            for mer, n in zip(*_words_of_rows(run, len(tail), k, alpha), strict=True):
+                part = slice(known, known + k - 1 - len(head))
+                head += list(zip(names[part].to_pylist(), digits[part].tolist(), strict=True))
+            for mer, n in zip(*_words_of_rows(names, digits, known, k, alpha), strict=True):
                 counts[mer] = counts.get(mer, 0) + n
-            tail, place = run[max(0, len(run) - (k - 1)) :] if k > 1 else [], place + len(digits)
+            place += len(names) - known
+            last = max(0, len(names) - (k - 1))
+            names, digits = names[last:], digits[last:]
             if len(counts) > 1 << 20:
                 yield sent(task, [], counts)
                 counts = {}
-        kept = len(tail)
-        edges = [(i, x) for i, x in enumerate(head)] + [(place - kept + i, x) for i, x in enumerate(tail) if place - kept + i >= len(head)]
+        tail = list(zip(names.to_pylist(), digits.tolist(), strict=True))
+        edges = list(enumerate(head)) + [(place - len(tail) + i, x) for i, x in enumerate(tail) if place - len(tail) + i >= len(head)]
         yield sent(task, edges, counts)
 
     def sent(task, edges, counts):
@@ -238,26 +242,26 @@ def ordered_word_counts(rows: DataFrame, space: KmerSpace, key: str, order: list
         if r["place"] == seen and seen < k - 1:  # a row of the task's head: words that began before the task and end here
             run = before + now
             if len(run) >= k and len(now) < k:
-                for mer, n in zip(*_words_of_rows(run[-k:], len(run[-k:]) - 1, k, alpha), strict=True):
+                names, digits = (list(x) for x in zip(*run[-k:], strict=True))
+                for mer, n in zip(*_words_of_rows(pa.array(names, pa.string()), np.array(digits), k - 1, k, alpha), strict=True):
                     closed[mer] = closed.get(mer, 0) + n
         seen += 1
     across = found.sparkSession.createDataFrame(list(closed.items()), "mer long, n long")
     return found.where("mer IS NOT NULL").select("mer", "n").union(across).groupBy("mer").agg(F.sum("n").alias("n"))
 
 
-def _words_of_rows(run: list, known: int, k: int, alpha: int) -> tuple[list[int], list[int]]:
-    """(words, counts) of k rows of one key in a row, of which the last is at ``known`` or after it."""
-    if len(run) < k:
+def _words_of_rows(names: pa.Array, digits: np.ndarray, known: int, k: int, alpha: int) -> tuple[list[int], list[int]]:
+    """(words, counts) of k rows of one key in a row, of which the last is at ``known`` or after it. Digits below 0 are no digits."""
+    n = len(digits)
+    if n < k:
         return [], []
-    names = np.unique(np.array([("" if x is None else "k" + x) for x, _ in run]), return_inverse=True)[1]
-    digits = np.array([-1 if d is None else d for _, d in run])
-    left = np.diff(np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True]))))
-    ok = np.convolve(digits < 0, np.ones(k, int))[k - 1 : len(run)] == 0
-    ends = np.repeat(np.cumsum(left), left)
-    at = np.arange(len(run) - k + 1)
-    ok &= (at + k <= ends[at]) & (at + k - 1 >= known)
-    mers, n = np.unique(arrays.codes(np.maximum(digits, 0), k, alpha)[at[ok]], return_counts=True)
-    return mers.tolist(), n.tolist()
+    key = names.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    breaks = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    bad = np.concatenate(([0], np.cumsum(digits < 0)))
+    at = np.arange(max(0, known - k + 1), n - k + 1)
+    ok = (breaks[at] == breaks[at + k - 1]) & (bad[at] == bad[at + k])
+    mers, times = np.unique(arrays.codes(np.maximum(digits, 0), k, alpha)[at[ok]], return_counts=True)
+    return mers.tolist(), times.tolist()
 
 
 def long_word_counts(rows: DataFrame, k: int, *, text: str = "text", alphabet: str = "acgt", lower: bool = True, canonical: bool = True) -> DataFrame:
