@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kspace import KmerSpace
-from ..shared import written
+from ..shared import dropped, written
 from .sets import members, with_reverse_complements
 
 MOST_NODES = 1 << 20
@@ -67,7 +67,8 @@ def _trimmed(space: KmerSpace, alive: DataFrame) -> DataFrame:
         n = left
         for step in (space.successors, space.predecessors):
             fed = alive.select("set_id", F.explode(step("mer")).alias("mer")).distinct()
-            alive = written(alive.join(fed, ["set_id", "mer"], "left_semi"), "alive")
+            before, alive = alive, written(alive.join(fed, ["set_id", "mer"], "left_semi"), "alive")
+            dropped(before)
         left = alive.count()
     return alive
 
@@ -86,8 +87,9 @@ def scc_by_joins(space: KmerSpace, rows: DataFrame, *, mode: str = "straight") -
         while moved:
             told = labels.select("set_id", F.explode(space.successors("mer")).alias("mer"), "label").groupBy("set_id", "mer").agg(F.max("label").alias("told"))
             after = labels.join(told, ["set_id", "mer"]).select("set_id", "mer", F.greatest("label", "told").alias("label"), (F.col("told") > F.col("label")).alias("moved"))
-            after = written(after, "labels")
+            after, before = written(after, "labels"), labels
             moved, labels = not after.where("moved").isEmpty(), after.drop("moved")
+            dropped(before)
         front = written(labels.where("label = mer"), "members")
         members = front
         while not front.isEmpty():
@@ -169,7 +171,8 @@ def is_decycling(space: KmerSpace, rows: DataFrame) -> DataFrame:
     n = alive.count()
     while True:
         fed = alive.select("set_id", F.explode(space.successors("mer")).alias("mer")).distinct()
-        alive = written(alive.join(fed, ["set_id", "mer"], "left_semi"), "alive")
+        before, alive = alive, written(alive.join(fed, ["set_id", "mer"], "left_semi"), "alive")
+        dropped(before)
         left = alive.count()
         if left == n or not left:
             break
@@ -214,6 +217,8 @@ def shortest_path(space: KmerSpace, rows: DataFrame) -> DataFrame:
         ahead = free.select("set_id", F.col("next").alias("mer")).distinct()
         front = written(ahead.join(seen, ["set_id", "mer"], "left_anti"), "front")
         seen, step = written(seen.union(front), "seen"), step + 1
+    if found is None:  # no set has a possible F-move
+        found = front.select("set_id", F.lit(step).alias("n"))
     best = found.groupBy("set_id").agg(F.min("n").alias("n"))
     return rows.select("set_id").distinct().join(best, "set_id", "left").select("set_id", F.col("n").cast("bigint").alias("shortest"))
 

@@ -147,23 +147,26 @@ def text_hits(rows: DataFrame, hits: Hits, *keys: str, text: str = "text", alpha
     return rows.select(*keys, F.col(text).alias("text")).mapInArrow(tasks, out)
 
 
-def word_counts(rows: DataFrame, space: KmerSpace, *, text: str = "text", alphabet: str = "acgt", lower: bool = True, on_invalid: str = "drop", canonical: bool = False) -> DataFrame:
-    """(mer, n) of all words of all texts; a batch sends each of its words once."""
+def word_counts(rows: DataFrame, space: KmerSpace, *keys: str, text: str = "text", alphabet: str = "acgt", lower: bool = True, on_invalid: str = "drop", canonical: bool = False) -> DataFrame:
+    """(keys, mer, n) of all words of all texts; a batch sends each of its keys' words once."""
 
     def use(digits: Digits, number: np.ndarray):
-        places, _ = arrays.word_places(digits, space.k)
+        places, counts = arrays.word_places(digits, space.k)
         mers = arrays.codes(digits.values, space.k, space.alpha)[places]
         if canonical:
             mers = np.minimum(mers, arrays.complement_codes(digits.values, space.k, space.alpha)[places])
-        if space.size <= 1 << 16:
-            n = np.bincount(mers, minlength=space.size)
-            mers = np.flatnonzero(n)
-            return np.zeros(len(mers), np.int64), (mers, n[mers])
-        mers, n = np.unique(mers, return_counts=True)
-        return np.zeros(len(mers), np.int64), (mers, n)
-
-    found = _per_batch(rows, (), text, arrays.symbol_table(alphabet, lower), on_invalid, {"mer": LONG, "n": LONG}, use)
-    return found.groupBy("mer").agg(F.sum("n").alias("n"))
+        known, mers = (np.arange(space.size), mers) if space.size <= 1 << 16 else np.unique(mers, return_inverse=True)
+        both = np.repeat(number[digits.owner], counts) * max(1, len(known)) + mers
+        if len(both) and int(both.max()) < 1 << 20:
+            n = np.bincount(both)
+            both = np.flatnonzero(n)
+            n = n[both]
+        else:
+            both, n = np.unique(both, return_counts=True)
+        return both // max(1, len(known)), (known[both % max(1, len(known))], n)
+
+    found = _per_batch(rows, keys, text, arrays.symbol_table(alphabet, lower), on_invalid, {"mer": LONG, "n": LONG}, use)
+    return found.groupBy(*keys, "mer").agg(F.sum("n").alias("n"))
 
 
 def word_totals(rows: DataFrame, space: KmerSpace, *keys: str, text: str = "text", alphabet: str = "acgt", lower: bool = True, on_invalid: str = "drop") -> DataFrame:
