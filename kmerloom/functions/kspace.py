@@ -269,3 +269,15 @@ def feistel(x, round_key: int, half: int = 16) -> Column:
 def pseudo_random_permutation(x, seed: int, half: int = 16, rounds: int = 4) -> Column:
     """A Luby-Rackoff permutation of the numbers of 2 * half bits."""
     return reduce(lambda y, r: feistel(y, seed * 16 + r, half), range(rounds), col(x))
+
+
+def feistel_order(x, seed: int, half: int, rounds: int = 4) -> Column:
+    """The permutation of ``arrays.feistel_order`` as a column: a Luby-Rackoff permutation of the numbers of 2 * half bits whose rounds are plain
+    arithmetic. An even alphabet's words of length 2 * half / log2(alpha) are permuted among themselves."""
+    mask = (1 << half) - 1
+    out = col(x)
+    for r in range(rounds):
+        left, right = F.shiftright(out, half), out.bitwiseAND(F.lit(mask).cast("bigint"))
+        mixed = div(right * 40503 + (seed * 9176 + r * 7919), 8).bitwiseAND(F.lit(mask).cast("bigint"))
+        out = F.shiftleft(right, half).bitwiseOR(left.bitwiseXOR(mixed))
+    return out

@@ -74,6 +74,31 @@ def syncmer_hits(alpha: int, k: int, s: int, t: int, order: Callable[[np.ndarray
     return of
 
 
+#: Alphabets and lengths of s-mers with fewer words than this have their order as a table.
+TABLE_ORDER = 1 << 20
+
+
+def sketch_order(alpha: int, s: int, factor: int = 7368787, shift: int = 12345) -> Callable[[np.ndarray], np.ndarray]:
+    """A pseudo-random order of s-mers: a table of ranks where they are few, else a permutation computed for each s-mer.
+
+    The table's ranks are (m * factor + shift) modulo their number; many s-mers are ranked by ``feistel_order`` over the bits that hold them (for
+    alphabets of two or four symbols a permutation of the s-mers themselves).
+    """
+    if alpha**s < TABLE_ORDER:
+        ranks = (np.arange(alpha**s, dtype=np.int64) * factor + shift) % alpha**s
+        if len(np.unique(ranks)) < len(ranks):
+            raise ValueError("factor has a divisor in common with the number of s-mers")
+        return lambda m: ranks[m]
+    half = -(-(alpha**s - 1).bit_length() // 2)
+    return lambda m: arrays.feistel_order(m, shift, half)
+
+
+def default_syncmer_hits(alpha: int, k: int, t: int) -> Hits:
+    """Syncmers of k digits by s-mers of half their length less one, in ``sketch_order``."""
+    s = k // 2 - 1
+    return syncmer_hits(alpha, k, s, t, sketch_order(alpha, s))
+
+
 def _keyed(batch: pa.RecordBatch, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """For each row the number of its key in this batch, and a row that has each key."""
     number = np.zeros(batch.num_rows, np.int64)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, kspace
 from ..functions.kspace import KmerSpace
 from ..operators import bits, chunks, frontier, graph, observed, scan, select, sets
 from ..shared import shared_dir, written
@@ -139,18 +139,9 @@ def benchmark_words_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 4. syncmers of long words -------------------------------------------------------------------------
 
 
-def sql_feistel(x: str, seed: int, half: int, rounds: int = 4) -> str:
-    """The same permutation as ``feistel_order``, as nested SQL."""
-    mask = (1 << half) - 1
-    for r in range(rounds):
-        right = f"({x} & {mask})"
-        x = f"(({right} << {half}) | xor({x} >> {half}, (({right} * 40503 + {seed * 9176 + r * 7919}) // 8) & {mask}))"
-    return x
-
-
-def _sql_syncmers(k: int, s: int, t: int, order) -> str:
+def _sql_syncmers(k: int, s: int, t: int, order: int, rank: str = "code") -> str:
     power = " + ".join(f"(strpos('acgt', substr(seq, CAST(i AS BIGINT) + {j + 1}, 1)) - 1) * {4 ** (s - 1 - j)}" for j in range(s))
-    steps, x = "", "code"
+    steps, x = "", rank
     for r in range(4 if order else 0):
         mask = (1 << s) - 1
         steps += f", r{r} AS (SELECT doc_id, pos, n, ((({x} & {mask}) << {s}) | xor({x} >> {s}, ((({x} & {mask}) * 40503 + {order * 9176 + r * 7919}) // 8) & {mask})) AS c{r} FROM {'s' if r == 0 else f'r{r - 1}'})"
@@ -175,6 +166,33 @@ def wide_syncmer_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.gap_counts(texts(spark, sf_dir), scan.syncmer_hits(4, 101, 14, 0))
 
 
+@query(_sql_syncmers(12, 5, 3, 0, "((code * 7368787 + 12345) % 1024)"))
+def default_syncmer_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of 12-mers whose least 5-mer (half the length less one), by a table of ranks, is fourth."""
+    return scan.gap_counts(texts(spark, sf_dir), scan.default_syncmer_hits(4, 12, 3))
+
+
+@query(_sql_syncmers(40, 19, 20, 12345))
+def default_syncmer_hist_of_long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of 40-mers whose least 19-mer is in the 21st place: more s-mers than a table holds, so their ranks are computed."""
+    return scan.gap_counts(texts(spark, sf_dir), scan.default_syncmer_hits(4, 40, 20))
+
+
+def _sql_rounds(x: str, seed: int, half: int) -> str:
+    """Four CTEs of the rounds of ``feistel_order`` over a table w(mer)."""
+    mask, out = (1 << half) - 1, ""
+    for r in range(4):
+        out += f", f{r} AS (SELECT mer, (({x} & {mask}) << {half}) | xor({x} >> {half}, ((({x} & {mask}) * 40503 + {seed * 9176 + r * 7919}) // 8) & {mask}) AS x{r} FROM {'w' if r == 0 else f'f{r - 1}'})"
+        x = f"x{r}"
+    return out
+
+
+@query("WITH " + sql_kmers(6).replace("SELECT doc_id, source, lang, CAST(i AS BIGINT) AS pos,", "SELECT") + ", w AS (SELECT DISTINCT mer FROM k)" + _sql_rounds("mer", 3, 6) + " SELECT mer, CAST(x3 AS BIGINT) AS rank FROM f3")
+def permuted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 6-mers of documents and their ranks under four Feistel rounds."""
+    return scan.word_counts(texts(spark, sf_dir), A4K6).select("mer", kspace.feistel_order("mer", 3, 6).alias("rank"))
+
+
 # 5. long words -------------------------------------------------------------------------------------
 
 

@@ -121,6 +121,11 @@ def component_line(comp_id="comp_id", fms="fms", ims="ims") -> Column:
     return F.concat_ws("\t", col(comp_id).cast("string"), set_line_unsorted(fms), F.size(col(ims)).cast("string"), pairs)
 
 
+def write_components(rows: DataFrame, path: str) -> None:
+    """Components (comp_id, fms, ims) added to those of a folder, a line each."""
+    rows.select(component_line().alias("line")).write.mode("append").text(path)
+
+
 def set_line_unsorted(values, separator: str = " ") -> Column:
     return F.array_join(F.transform(col(values), lambda m: m.cast("string")), separator)
 
@@ -136,14 +141,20 @@ def fmove_dot(edges: DataFrame) -> DataFrame:
 
 
 def layer_dot(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(line) of a ranked drawing: the nodes of each layer on one rank, then the edges."""
-    node = F.concat(F.lit("n"), F.col("layer").cast("string"), F.lit("_"), F.hex(F.xxhash64(F.to_json("mers"))))
-    ranks = nodes.select("layer", node.alias("node")).groupBy("layer").agg(F.array_join(F.array_sort(F.collect_list("node")), "; ").alias("nodes"))
+    """(line) of a ranked drawing: a line for each node, the nodes of each layer on one rank, then the edges.
+
+    A node's tooltip is its set. Where ``nodes`` has the columns ``shortest`` and ``longest`` (paths outside the set) they are its label.
+    """
     of = lambda layer, mers: F.concat(F.lit("n"), layer.cast("string"), F.lit("_"), F.hex(F.xxhash64(F.to_json(mers))))
+    told = {"shortest", "longest"} <= set(nodes.columns)
+    label = F.format_string(", label=\"%d:%d\"", "shortest", "longest") if told else F.lit("")
+    named = nodes.select("layer", of(F.col("layer"), F.col("mers")).alias("node"), set_line("mers").alias("tip"), label.alias("label"))
+    each = named.select(F.format_string("%s [tooltip=\"%s\"%s];", "node", "tip", "label").alias("line"))
+    ranks = named.groupBy("layer").agg(F.array_join(F.array_sort(F.collect_list("node")), "; ").alias("nodes"))
     last = links.agg(F.max("layer").alias("m"))
     closed = links.join(F.broadcast(last), F.lit(True)).withColumn("to", F.when(F.col("layer") == F.col("m"), 0).otherwise(F.col("layer") + 1))
     drawn = closed.select(F.format_string("%s -> %s [label=\"%d\"];", of(F.col("layer"), F.col("src")), of(F.col("to"), F.col("dst")), F.col("fm")).alias("line"))
-    return ranks.select(F.format_string("{ rank=same; %s }", "nodes").alias("line")).union(drawn)
+    return each.union(ranks.select(F.format_string("{ rank=same; %s }", "nodes").alias("line"))).union(drawn)
 
 
 def write_dot(lines: DataFrame, path: str) -> None:
@@ -161,10 +172,9 @@ def histogram_lines(hist: DataFrame, name: str = "seq_name") -> DataFrame:
 
 
 def density_lines(sketched: DataFrame, name: str = "seq_name") -> DataFrame:
-    """(seq_name, line): ``# selected / words = share`` of each record of a sketch."""
-    rows = sketched.groupBy(name).agg(F.sum("n_hits").alias("n"), F.sum("n_kmers").alias("all"))
-    share = F.when(F.col("all") > 0, F.col("n") / F.col("all")).otherwise(F.lit(0.0))
-    return rows.select(name, F.format_string("# %d / %d = %.6f", "n", "all", share).alias("line"))
+    """(seq_name, line): ``# density d`` of each record of a sketch, selected words in all words; records without words have none."""
+    rows = sketched.groupBy(name).agg(F.sum("n_hits").alias("n"), F.sum("n_kmers").alias("all")).where("all > 0")
+    return rows.select(name, F.concat(F.lit("# density "), (F.col("n") / F.col("all")).cast("string")).alias("line"))
 
 
 def write_histograms(hist: DataFrame, path: str, name: str = "seq_name") -> None:

@@ -103,3 +103,24 @@ def test_scc_files_and_their_statistics(spark, tmp_path):
     rows = text.scc_statistics(text.read_scc(spark, f"file://{tmp_path}/*.scc")).collect()
     assert [(r.dataset, r.sketch, r.method, r.mean_n_scc, r.min_n_nodes, r.max_n_nodes) for r in rows] == [("genome", "syncmer", "u", 2.0, 10, 14)]
     assert rows[0].stdev_n_scc == pytest.approx(2**0.5)
+
+
+def test_components_are_added_to_a_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/queue"
+    for i in range(2):
+        text.write_components(spark.createDataFrame([(i, [3, i], [(1, 2)])], "comp_id long, fms array<long>, ims array<struct<fm:long,mask:int>>"), path)
+    assert sorted((r.comp_id, r.fms) for r in text.read_components(spark, path).collect()) == [(0, [3, 0]), (1, [3, 1])]
+
+
+def test_layers_are_drawn_with_tooltips_and_paths(spark):
+    nodes = spark.createDataFrame([(0, [1, 2], 3, 5), (1, [2, 4], 2, 2)], "layer int, mers array<long>, shortest int, longest int")
+    links = spark.createDataFrame([(0, [1, 2], [2, 4], 7), (1, [2, 4], [1, 2], 6)], "layer int, src array<long>, dst array<long>, fm long")
+    lines = [r.line for r in text.layer_dot(nodes, links).collect()]
+    assert sum('tooltip="1,2", label="3:5"' in x for x in lines) == 1 and sum(x.startswith("{ rank=same") for x in lines) == 2
+    assert sorted(x.split("label=")[1] for x in lines if "->" in x) == ['"6"];', '"7"];']
+    assert 'label="3' not in "".join(r.line for r in text.layer_dot(nodes.drop("shortest"), links).collect())
+
+
+def test_density_lines(spark):
+    rows = spark.createDataFrame([("a", 1, 4), ("a", 1, 4), ("b", 0, 0)], "seq_name string, n_hits long, n_kmers long")
+    assert [tuple(r) for r in text.density_lines(rows).collect()] == [("a", "# density 0.25")]
