@@ -207,15 +207,30 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blo
         raise ValueError("Rice partitions do not fit the block")
     k = word >> 22 & 15
     at = at + 10
-    if (k == 15).any():
-        raise ValueError("escaped Rice partitions are not read")
+    width = np.full(len(own), -1)  # bits of a residual in an escaped partition
+
+    def escape(begins: np.ndarray) -> None:
+        width[begins] = -1
+        if len(plain := begins[k[begins] == 15]):
+            width[plain] = _window(data, at[plain]) >> 27
+            at[plain] += 5
+            if (width > 25).any():
+                raise ValueError("residuals of 8-bit samples do not take more than 25 bits")
+
+    escape(np.arange(len(own)))
     for j in range(block):
         coded = None if j >= 32 or (order <= j).all() else np.flatnonzero(order <= j)
         if j and (begins := np.flatnonzero((j % part == 0) & (order <= j))).size:  # the next partition's parameter
             k[begins] = _window(data, at[begins]) >> 28
-            if (k[begins] == 15).any():
-                raise ValueError("escaped Rice partitions are not read")
             at[begins] += 4
+            escape(begins)
+        if (width >= 0).any():
+            coded = np.arange(len(own)) if coded is None else coded
+            plain, coded = coded[width[coded] >= 0], coded[width[coded] < 0]
+            size = width[plain]
+            number = _window(data, at[plain]) >> (32 - size)
+            value[j, plain] = number - ((number >> np.maximum(size - 1, 0) & (size > 0)) << size)
+            at[plain] += size
         p, kk = (at, k) if coded is None else (at[coded], k[coded])
         window = _window(data, p)
         zeros = 32 - np.frexp(window.astype(np.float64))[1]
@@ -339,9 +354,17 @@ def decode(media: DataFrame, *, column: str = "media", pcm: str = "pcm", feature
     return media.select(*names).mapInArrow(tasks, T.StructType([*kept, *added]))
 
 
+def seek_points(pcm: Column, block: Column) -> Column:
+    """The sample offset of each block of a signal, in order."""
+    return F.when(F.length(pcm) > 0, F.sequence(F.lit(0), F.length(pcm) - 1, block)).otherwise(F.array().cast("array<int>"))
+
+
+def block_at(pcm: Column, block: Column, offset: Column) -> Column:
+    """The PCM bytes of the block at a sample offset."""
+    return F.substring(pcm, offset + 1, block)
+
+
 def pcm_blocks(decoded: DataFrame, *keys: str, pcm: str = "pcm") -> DataFrame:
     """One row per block: ``keys``, block number, sample offset to seek to, samples, and their PCM bytes."""
-    number: Column = F.posexplode(F.sequence(F.lit(0), F.length(pcm) - 1, F.col("block"))).alias("block_number", "sample_offset")
-    return decoded.select(*keys, pcm, "block", number).select(
-        *keys, "block_number", "sample_offset", F.col("block").alias("n_samples"), F.expr(f"substring({pcm}, sample_offset + 1, block)").alias(pcm)
-    )
+    rows = decoded.select(*keys, pcm, "block", F.posexplode(seek_points(F.col(pcm), F.col("block"))).alias("block_number", "sample_offset"))
+    return rows.select(*keys, "block_number", "sample_offset", F.col("block").alias("n_samples"), block_at(F.col(pcm), F.col("block"), F.col("sample_offset")).alias(pcm))

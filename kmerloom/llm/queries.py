@@ -73,15 +73,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = flac.decode(flac.encode(docs).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), "media"))
+    points = flac.seek_points(F.col("pcm"), F.col("block"))
+    last = flac.block_at(F.col("pcm"), F.col("block"), F.element_at(points, -1))
     return read.select(
         "doc_id",
         F.col("n_bytes").cast("bigint").alias("n_bytes"),
         F.octet_length("pcm").cast("bigint").alias("payload_bytes"),
         hex_sha256(F.col("pcm")).alias("payload_sha256"),
-        F.crc32(F.expr("substring(pcm, -32, 32)")).alias("tail_crc32"),
+        F.crc32(F.substring(last, -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         hex_sha256(F.col("media")).alias("media_sha256"),
         F.col("features").alias("feature"),
+        F.size(points).alias("n_blocks"),
     )
 
 
@@ -141,6 +144,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_words(table_: str, key: str) -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {table_}"
+
+
+OP9_SQL = f"""
+WITH d AS MATERIALIZED ({_sql_words('documents', 'row_number() OVER () AS row, doc_id')}),
+b AS ({_sql_words('benchmark', 'CAST(item_id AS VARCHAR) AS item_id')} WHERE item_id IS NOT NULL),
+i AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(w[place:place + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS place FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM i),
+v AS (SELECT row, n, place, array_to_string(w[place:place + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS place FROM d, sizes WHERE len(w) >= n)),
+h AS MATERIALIZED (SELECT v.row, v.place, v.n, i.item_id FROM v JOIN i ON i.n = v.n AND i.g = v.g),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT row, unnest(range(place, place + n)) AS p FROM h) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -286,4 +310,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_clusters": op13_sql()}
+    return {"op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_clusters": op13_sql()}

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,6 +89,10 @@ class BloomCascade:
         return F.when(key.isNull(), F.lit(False)).otherwise(verdict)
 
 
+class LevelTooLarge(ValueError):
+    """A level of a cascade that must not be sent whole."""
+
+
 def build_cascade(
     listed: DataFrame,
     universe: DataFrame,
@@ -96,31 +100,55 @@ def build_cascade(
     bits_per_key: int = 12,
     hashes: int = 4,
     max_level_bytes: int = 64 << 20,
-    max_depth: int = 64,
 ) -> BloomCascade:
     """Cascade that tells ``listed`` (column ``key``) from the rest of ``universe`` (column ``key``).
 
-    ``universe`` may hold repeats and is scanned once: only keys that level 1 passes wrongly go on.
-    A level is sent to the tasks as a scalar, so its size is checked against ``max_level_bytes``;
-    a list beyond it must be split by host and given one cascade each, and a ValueError says so.
-    Nulls are no keys. An empty list gives a cascade that contains nothing.
+    ``universe`` may hold repeats and is scanned once: only keys that level 1 passes wrongly go on; every 16 levels the bits a key are doubled, so
+    that it ends. A level is sent to the tasks as a scalar, so its size is checked against ``max_level_bytes``; ``members`` takes lists of
+    any size. Nulls are no keys. An empty list gives a cascade that contains nothing.
     """
     ours = listed.select("key").where("key IS NOT NULL").distinct()
     levels: list[Level] = []
     encode, test = ours, universe.select("key").where("key IS NOT NULL")
-    while len(levels) < max_depth:
-        n = encode.count()
+    while True:
+        n, bits = encode.count(), bits_per_key << len(levels) // 16
         if levels and n == 0:
             return BloomCascade(tuple(levels))
-        if n * bits_per_key // 8 > max_level_bytes:
-            raise ValueError(f"a level of {n} keys exceeds max_level_bytes; split the list by host")
-        level = bloom_level(encode, n, bits_per_key, hashes, seed=len(levels) + 1)
+        if n * bits // 8 > max_level_bytes:
+            raise LevelTooLarge(f"a level of {n} keys exceeds max_level_bytes; members() goes range by range")
+        level = bloom_level(encode, n, bits, hashes, seed=len(levels) + 1)
         levels.append(level)
         wrong = test.where(level.passes(F.col("key")))
         if len(levels) == 1:
             wrong = wrong.distinct().join(ours, "key", "left_anti")
         encode, test = written(wrong, "bloom-wrong"), encode
-    raise ValueError("the cascade did not end; raise bits_per_key")
+
+
+def members(listed: DataFrame, universe: DataFrame, *, bits_per_key: int = 12, hashes: int = 4, max_level_bytes: int = 64 << 20, depth: int = 0) -> DataFrame:
+    """(key): the distinct keys of ``universe`` that are ``listed``, for lists of any size.
+
+    Keys are told apart by ranges of a hash, so many that a range's first level fits ``max_level_bytes`` twice over; each range has its own cascade, which is
+    sent, used and done with before the next. Both tables are dealt to the ranges once. A range of which a later level does not fit (a universe
+    far larger than the list) is divided again. Nulls are no keys.
+    """
+    ours, every = (written(x.select("key").where("key IS NOT NULL").distinct(), "bloom-keys") for x in (listed, universe))
+    ranges = max(1 + (depth > 0), -(-2 * ours.count() * bits_per_key // (8 * max_level_bytes)))
+    part = F.pmod(F.xxhash64("key", F.lit(-1 - depth)), F.lit(ranges))
+    if ranges > 1:
+        whole, (ours, every) = (ours, every), (written(x.withColumn("range", part).repartition("range"), "bloom-keys") for x in (ours, every))
+        dropped(*whole)
+    found = []
+    for r in range(ranges):
+        own, asked = (x.where(F.col("range") == r).select("key") if ranges > 1 else x for x in (ours, every))
+        try:
+            cascade = build_cascade(own, asked, bits_per_key=bits_per_key, hashes=hashes, max_level_bytes=max_level_bytes)
+        except LevelTooLarge:
+            found.append(members(own, asked, bits_per_key=bits_per_key, hashes=hashes, max_level_bytes=max_level_bytes, depth=depth + 1))
+            continue
+        found.append(written(asked.where(cascade.contains(F.col("key"))), "bloom-members"))
+        dropped(*(level.words for level in cascade.levels))
+    dropped(ours, every)
+    return reduce(DataFrame.union, found)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:

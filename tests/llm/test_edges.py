@@ -83,8 +83,8 @@ def test_frames_of_every_predictor_round_trip(linear):
             flac.decode_frames(broken, starts, lengths, 576)
 
 
-def frame_in_partitions(samples, order, partition_order):
-    """A frame with a fixed predictor and Rice partitions, bit by bit."""
+def frame_in_partitions(samples, order, partition_order, escaped=()):
+    """A frame with a fixed predictor and Rice partitions, bit by bit; partitions in ``escaped`` hold plain numbers."""
     block, residual = len(samples), np.array(samples)
     for _ in range(order):
         residual = np.diff(residual)
@@ -92,6 +92,10 @@ def frame_in_partitions(samples, order, partition_order):
     left = residual.tolist()
     for p in range(1 << partition_order):
         own, left = left[: (block >> partition_order) - (order if p == 0 else 0)], left[(block >> partition_order) - (order if p == 0 else 0) :]
+        if p in escaped:
+            size = max((int(x).bit_length() + 1 for x in own if x), default=0)
+            bits += f"1111{size:05b}" + "".join(f"{x & ((1 << size) - 1):0{size}b}" for x in own if size)
+            continue
         k = p % 6
         bits += f"{k:04b}"
         for r in own:
@@ -111,6 +115,16 @@ def test_partitioned_residuals_are_read():
     assert (flac.decode_frames(data, np.cumsum(lengths) - lengths, lengths, 576) == samples).all()
 
 
+def test_escaped_partitions_are_read():
+    r = np.random.default_rng(6)
+    samples = np.cumsum(r.integers(-2, 3, (6, 576)), 1).clip(-128, 127)
+    samples[5, 144:288] = 3  # residuals of no bits
+    kinds = ((0, 0, {0}), (1, 2, {0, 3}), (2, 3, {1, 2, 7}), (4, 1, ()), (3, 2, {0, 1, 2, 3}), (1, 2, {1, 2}))
+    frames = [frame_in_partitions(x.tolist(), *kind) for x, kind in zip(samples, kinds, strict=True)]
+    data, lengths = np.frombuffer(b"".join(frames), np.uint8), np.array([len(f) for f in frames])
+    assert (flac.decode_frames(data, np.cumsum(lengths) - lengths, lengths, 576) == samples).all()
+
+
 def test_blocks_can_be_sought_by_sample(spark):
     df = spark.createDataFrame([(1, "".join(chr(33 + i % 90) for i in range(2000))), (2, "")], "doc_id long, text string")
     decoded = flac.decode(flac.encode(df))
@@ -293,3 +307,16 @@ def test_held_out_folds_are_never_null(spark, tmp_path):
     spark.createDataFrame([(3, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = op7_toxicity(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.held_out) for r in rows} == {(None, False), (3, zlib.crc32(b"3") % 3 == 1)}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 100, 50])
+def test_listed_keys_range_by_range(spark, most):
+    """A list whose first level is over the limit is told exactly all the same; nulls are no keys, repeats count once."""
+    from kmerloom.llm import url_filter
+
+    listed = [f"k{i}" for i in range(0, 300, 3)] + ["k0", None]
+    universe = [f"k{i}" for i in range(400)] * 2 + [None, ""]
+    keys = lambda x: spark.createDataFrame([(k,) for k in x], "key string")
+    got = [r.key for r in url_filter.members(keys(listed), keys(universe), max_level_bytes=most).collect()]
+    assert sorted(got) == sorted(f"k{i}" for i in range(0, 300, 3))
+    assert url_filter.members(keys([None]), keys(universe), max_level_bytes=most).collect() == []
