@@ -191,8 +191,10 @@ def find_contamination(
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     index = written(benchmark_windows(items, length, k), "benchmark-windows")
     hits = document_hits(docs.select(F.col(text).alias("text")), index, k, most_prints)
-    met = hits.join(index.drop("print"), ["n", "words"]).groupBy("key1", "key2")
-    met = met.agg(F.collect_set(F.struct("start", "n")).alias("windows"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    lists = index.groupBy("n", "words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))  # a window in many items is one row
+    met = hits.join(lists, ["n", "words"]).groupBy("key1", "key2")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    met = met.agg(F.collect_set(F.struct("start", "n")).alias("windows"), items.alias("items"))
     found = written(met.mapInArrow(_spanned, f"key1 long, key2 long, n_hit long, hit_spans {SPANS}, hit_items array<string>"), "contaminated")
     dropped(index)
     one, two = fresh(kept, "key1"), fresh(kept, "key2")

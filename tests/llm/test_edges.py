@@ -320,3 +320,13 @@ def test_listed_keys_range_by_range(spark, most):
     got = [r.key for r in url_filter.members(keys(listed), keys(universe), max_level_bytes=most).collect()]
     assert sorted(got) == sorted(f"k{i}" for i in range(0, 300, 3))
     assert url_filter.members(keys([None]), keys(universe), max_level_bytes=most).collect() == []
+
+
+def test_windows_of_many_items_are_hit_once(spark):
+    """Every item holds the same passage and one of its own; a document that quotes both hits all of them."""
+    shared = " ".join(f"common{i}" for i in range(12))
+    items = spark.createDataFrame([(i, f"{shared} " + " ".join(f"own{i}x{j}" for j in range(10))) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"before {shared} after") for d in range(40)] + [(99, " ".join(f"own7x{j}" for j in range(10)))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.find_contamination(docs, items).collect()}
+    assert all(rows[d].n_hit == 12 and rows[d].hit_items == sorted(map(str, range(60))) for d in range(40))
+    assert (rows[99].n_hit, rows[99].hit_items) == (10, ["7"])
