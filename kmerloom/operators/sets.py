@@ -44,10 +44,12 @@ def in_syncmer(space: KmerSpace, m, s: int, t: int, order=None) -> Column:
     return min_smer_position(space, m, s, order) == t
 
 
-def in_fraction(space: KmerSpace, m, fraction: float, seed: int) -> Column:
-    """About ``fraction`` of all mers, by a hash; 1.0 takes all."""
+def in_fraction(space: KmerSpace, m, fraction: float, seed: int, *, order=None) -> Column:
+    """About ``fraction`` of all mers, by a hash; 1.0 takes all. With ``order`` (a Column function that permutes the space) exactly that part of them, rounded."""
     if not 0 <= fraction <= 1:
         raise ValueError("fraction lies between 0 and 1")
+    if order:
+        return order(col(m)) < round(fraction * space.size)
     return F.pmod(space.hashed(m, seed), F.lit(1 << 31)) < F.lit(round(fraction * (1 << 31)))
 
 

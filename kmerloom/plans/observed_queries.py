@@ -28,7 +28,7 @@ def _sql_of(*digits: str) -> str:
 @query(
     SQL_WORDS + f""" SELECT mer, n, d[1] AS left_base, d[4] AS right_base, d[2] AS second, {_sql_of('d[2]', 'd[3]', 'd[4]', 'd[1]')} AS next, {_sql_of('d[4]', 'd[1]', 'd[2]', 'd[3]')} AS prev,
     {_sql_of('d[2]', 'd[3]', 'd[4]', '2')} AS successor, {_sql_of('2', 'd[1]', 'd[2]', 'd[3]')} AS predecessor, {_sql_of('d[2]', 'd[3]', 'd[4]')} AS fmove, {_sql_of('d[1]', 'd[2]', 'd[3]')} AS rfmove,
-    {_sql_of('1', 'd[2]', 'd[3]', 'd[4]')} AS left_companion, {_sql_of('d[1]', 'd[2]', 'd[3]', '1')} AS right_companion, d[1] = 1 OR d[2:4] = [1, 1, 1] AS near_c, len(list_distinct(d)) = 1 AS homopolymer,
+    {_sql_of('1', 'd[2]', 'd[3]', 'd[4]')} AS left_companion, {_sql_of('d[1]', 'd[2]', 'd[3]', '1')} AS right_companion, d[4] = 2 OR d[2:4] = [1, 1, 1] OR d[1:3] = [1, 1, 1] AS near_c, len(list_distinct(d)) = 1 AS homopolymer,
     len(list_distinct(d[2:4])) = 1 AS homopolymer_fmove, CAST(list_sum(d) AS BIGINT) AS weight, {sql_rc('mer', 4, 4)} AS rc, least(mer, {sql_rc('mer', 4, 4)}) AS canonical, {_sql_of('d[2]', 'd[3]')} AS middle,
     word, translate(translate(word, '0123', 'ACGT'), 'ATCG', 'TAGC') AS complement, {_sql_of('3 - d[4]', '3 - d[3]', '3 - d[2]', '3 - d[1]')} - 64 * 0 AS rc_again FROM w"""
 )
@@ -36,8 +36,8 @@ def observed_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digits, rotations, neighbours, companions, weight, complements and texts of the 4-mers of documents."""
     s, m = A4K4, F.col("mer")
     rows = scan.word_counts(texts(spark, sf_dir), s)
-    companion_of = F.lit(s.size // 3).cast("bigint")  # cccc
-    near = (s.left_base("mer") == 1) | s.are_left_companions("mer", companion_of)
+    cccc = s.homopolymer(1)
+    near = (s.right_base("mer") == 2) | s.are_left_companions("mer", cccc) | s.are_right_companions("mer", cccc)
     first = s.reverse_complement(s.successor(s.rotate_prev("mer"), 0))
     return rows.select(
         "mer", "n", s.left_base("mer").alias("left_base"), s.right_base("mer").alias("right_base"), s.digit("mer", 1).alias("second"), s.rotate_next("mer").alias("next"), s.rotate_prev("mer").alias("prev"),
@@ -92,6 +92,13 @@ def observed_set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("WITH " + sql_kmers() + " SELECT mer, count(*) AS n FROM k WHERE (mer * 77 + 19) % 256 < 85 GROUP BY mer")
+def observed_words_in_a_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4-mers of documents that a third of all words, in a permuted order, holds."""
+    rank = lambda m: A4K4.affine_permutation(m, 77, 19)
+    return scan.word_counts(texts(spark, sf_dir), A4K4).where(sets.in_fraction(A4K4, "mer", 1 / 3, 0, order=rank))
+
+
 # 2. sets of sources ---------------------------------------------------------------------------------
 
 SQL_SETS = "WITH RECURSIVE " + sql_universe(4, 3) + ", " + sql_kmers(3) + f""", c AS (SELECT source, mer, count(*) AS n FROM k GROUP BY ALL),
@@ -203,6 +210,29 @@ def source_longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.longest_path(A4K3, source_sets(spark, sf_dir))
 
 
+SQL_CONSTRAINED = """, forth AS (SELECT set_id, mer AS s, mer AS u FROM s UNION SELECT f.set_id, f.s, (f.u % 16) * 4 + b.range FROM forth f, range(4) b
+      WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.set_id = f.set_id AND s.mer = (f.u % 16) * 4 + b.range)),
+    back AS (SELECT set_id, mer AS s, mer AS v FROM s UNION SELECT f.set_id, f.s, f.v // 4 + 16 * b.range FROM back f, range(4) b
+      WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.set_id = f.set_id AND s.mer = f.v // 4 + 16 * b.range)),
+    e AS MATERIALIZED (SELECT DISTINCT a.set_id, a.u % 16 AS fm, a.u // 16 AS i, z.v % 4 AS j FROM forth a JOIN back z ON z.set_id = a.set_id AND z.s = a.s AND z.v // 4 = a.u % 16 WHERE a.u // 16 <> z.v % 4)"""
+
+
+@query(SQL_SETS + SQL_CONSTRAINED + " SELECT set_id, CAST(fm AS BIGINT) AS fm, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM e")
+def source_constrained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between companions that lie on a cycle through exactly one word of a source's set."""
+    return moves.constrained_edges(A4K3, source_sets(spark, sf_dir))
+
+
+@query(
+    SQL_SETS + SQL_CONSTRAINED + """ SELECT i.set_id, CAST(f.range AS BIGINT) AS fm, CAST(m.range AS INT) AS mask FROM i, range(16) f, range(1, 15) m
+    WHERE NOT (f.range % 5 = 0 AND (m.range = 1 << CAST(f.range % 4 AS INT) OR m.range = 15 - (1 << CAST(f.range % 4 AS INT))))
+      AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = i.set_id AND e.fm = f.range AND (m.range >> CAST(e.i AS INT)) & 1 = 1 AND (m.range >> CAST(e.j AS INT)) & 1 = 0)"""
+)
+def source_imoves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed moves of the sets of sources."""
+    return moves.imoves(A4K3, source_sets(spark, sf_dir))
+
+
 @query(
     SQL_FREQUENT.replace("WITH ", "WITH RECURSIVE ", 1) + """, i AS (SELECT DISTINCT set_id FROM s), h AS (SELECT set_id, mer % 16 AS fm FROM s GROUP BY ALL HAVING count(*) = 4),
     p AS (SELECT DISTINCT set_id, fm * 4 + range AS node, 1 AS n FROM h, range(4) UNION SELECT p.set_id, (p.node % 16) * 4 + b.range, n + 1 FROM p, range(4) b WHERE n < 64 AND NOT EXISTS (SELECT 1 FROM s WHERE s.set_id = p.set_id AND s.mer = (p.node % 16) * 4 + b.range)),
