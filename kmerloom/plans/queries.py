@@ -752,7 +752,14 @@ def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.layer_report(*_layers(spark))
 
 
-@query()
+SQL_IMOVES = sql_myk_set(2, 4).replace("WITH ", "WITH RECURSIVE ", 1) + """, forth AS (SELECT mer AS s, mer AS u FROM s UNION SELECT f.s, (f.u % 8) * 2 + b.range FROM forth f, range(2) b WHERE (f.u % 8) * 2 + b.range NOT IN (SELECT mer FROM s)),
+back AS (SELECT mer AS s, mer AS v FROM s UNION SELECT f.s, f.v // 2 + 8 * b.range FROM back f, range(2) b WHERE f.v // 2 + 8 * b.range NOT IN (SELECT mer FROM s)),
+e AS (SELECT DISTINCT a.u % 8 AS fm, a.u // 8 AS i, z.v % 2 AS j FROM forth a JOIN back z ON z.s = a.s AND z.v // 2 = a.u % 8 WHERE a.u // 8 <> z.v % 2)
+SELECT CAST(f.range AS BIGINT) AS fm, CAST(m.range AS INT) AS mask FROM range(8) f, range(1, 3) m
+WHERE f.range NOT IN (0, 7) AND NOT EXISTS (SELECT 1 FROM e WHERE e.fm = f.range AND (m.range >> CAST(e.i AS INT)) & 1 = 1 AND (m.range >> CAST(e.j AS INT)) & 1 = 0)"""
+
+
+@query(SQL_IMOVES)
 def imoves_of_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.imoves(A2K4, myk(spark, A2K4)).drop("set_id")
 
