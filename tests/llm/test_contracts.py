@@ -4,7 +4,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -153,6 +153,36 @@ def test_near_duplicates(spark, docs):
         assert r.class_id <= d and rows[r.class_id].class_id == r.class_id
 
 
+def test_near_duplicates_by_brute_force(spark, docs):
+    """The registered query's classes and links against all pairs of different word sequences, at a weighted similarity of 0.8."""
+    texts = defaultdict(list)
+    for d, t in docs.items():
+        texts[tuple(words(t))].append(d)
+    bags = {w: Counter(w[i : i + 5] for i in range(max(1, len(w) - 4))) for w in texts if w}
+    links, leader = Counter(), {w: w for w in texts}
+
+    def top(w):
+        while leader[w] != w:
+            w = leader[w]
+        return w
+
+    known = list(bags)
+    for n, a in enumerate(known):
+        for b in known[n + 1 :]:
+            if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+                links[a] += 1
+                links[b] += 1
+                leader[top(a)] = top(b)
+    least = {}
+    for w, own in texts.items():
+        least[top(w)] = min(least.get(top(w), min(own)), *own)
+    rows = {r.doc_id: r for r in result(spark, "op8_near_duplicates")}
+    expected = {d: (least[top(w)] if w else d, links[w]) for w, own in texts.items() for d in own}
+    assert all(rows[d].n_links <= n for d, (_, n) in expected.items())
+    assert sum(r.n_links for r in rows.values()) >= 0.97 * sum(n for _, n in expected.values()) > 0
+    assert sum(rows[d].class_id == c for d, (c, _) in expected.items()) >= 0.98 * len(rows)
+
+
 def test_decontamination(spark, docs):
     windows = defaultdict(set)
     for item in read("benchmark"):
