@@ -94,7 +94,7 @@ def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan_secrets(docs)
+    found = secrets.scan_indexed(docs)
     base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
 
     def count(kind: str) -> Column:
@@ -108,6 +108,31 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sql(rules: tuple[secrets.SecretRule, ...] = secrets.RULES) -> str:
+    """Matches and the texts between them alternate; running sums of their lengths are the offsets."""
+    kinds = []
+    for rank, r in enumerate(rules):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        kinds.append(f"""
+  SELECT row, {rank} AS rank, '{r.kind}' AS kind, upto - size AS start, upto FROM (
+    SELECT row, size, value, CAST(sum(gap + size) OVER (PARTITION BY row ORDER BY place) AS BIGINT) AS upto FROM (
+      SELECT row, unnest(range(1, len(m) + 1)) AS place, length(unnest(m)) AS size, length(unnest(v)) AS value, length(unnest(g[1:len(m)])) AS gap FROM (
+        SELECT row, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {r.group}) AS v, regexp_split_to_array(text, {p}) AS g
+        FROM d WHERE regexp_matches(text, {p})))
+  ) WHERE value >= {r.least}""")
+    base = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    told = "kind || ':' || start || ':' || upto, ',' ORDER BY start, rank"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL".join(kinds)}
+), c AS (
+  SELECT row, {base}, string_agg({told}) FILTER (rank < {len(secrets.BASE_RULES)}) AS base, string_agg({told}) AS spans FROM s GROUP BY row
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (row)
+"""
+
+
 TOXIC_AT = 0.7
 
 
@@ -310,4 +335,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_clusters": op13_sql()}
+    return {"op6_secret_scan": op6_sql(), "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_clusters": op13_sql()}

@@ -1,9 +1,10 @@
 """Secret scans by trigrams (DataFrame functions only).
 
 Every rule's regular expression is turned into a Boolean query over trigrams
-that any match must contain. A text's postings, the numbers of the asked trigrams that it holds, stay in its row; they are intersected
-with each rule's query there, and only candidates are scanned with the regular expression. A rule without mandatory
-trigrams scans every text. Nothing is shuffled; ``trigram_postings`` gives the same postings as an inverted table.
+that any match must contain. ``trigram_postings`` is the inverted index: (trigram, key of a text) for every asked trigram.
+``scan_indexed`` intersects the postings of each way to meet a rule's query, and verifies the texts that are left with the
+regular expression; a rule without mandatory trigrams scans every text. ``scan_secrets`` decides the same queries inside each
+row, which shuffles nothing and suits a stage that reads every text once; both give the same spans.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 try:  # the parser of the standard library, under either of its names
     from re import _constants as sre_c
     from re import _parser as sre_parse
@@ -57,8 +60,8 @@ Query = frozenset[frozenset[str]] | None
 def trigram_query(pattern: str, most: int = 64) -> Query:
     """Trigrams, lower-cased, that every match of ``pattern`` contains, as a disjunction of sets.
 
-    Literal runs are followed through groups, alternatives and character classes of up to 4
-    letters that differ in case only; anything else ends a run. None if nothing is mandatory.
+    Literal runs are followed through groups, alternatives and classes of up to 8 letters (in one case);
+    anything else ends a run. None if nothing is mandatory.
     """
     runs = _runs(sre_parse.parse(pattern), most)
     sets = {frozenset(g for run in way for part in [run] for g in _grams(part)) for way in runs}
@@ -81,8 +84,9 @@ def _runs(items, most: int) -> list[tuple[str, ...]]:
     for op, arg in items:
         if op is sre_c.LITERAL:
             ways = [(*w[:-1], w[-1] + chr(arg).lower()) for w in ways]
-        elif op is sre_c.IN and len({chr(a).lower() for o, a in arg if o is sre_c.LITERAL}) == 1 and all(o is sre_c.LITERAL for o, _ in arg):
-            ways = [(*w[:-1], w[-1] + chr(arg[0][1]).lower()) for w in ways]
+        elif op is sre_c.IN and all(o is sre_c.LITERAL for o, _ in arg) and len(letters := {chr(a).lower() for _, a in arg}) <= 8:
+            joined = [(*w[:-1], w[-1] + x) for w in ways for x in sorted(letters)]
+            ways = joined if len(joined) <= most else close(ways)
         elif op in (sre_c.SUBPATTERN, sre_c.BRANCH):
             branches = arg[1] if op is sre_c.BRANCH else [arg[-1]]
             inner = [x for b in branches for x in _runs(b, most)]
@@ -110,9 +114,41 @@ def held_trigrams(text: Column, trigrams: Sequence[str]) -> Column:
     return _let(low, lambda x: F.array_compact(F.array(*(F.when(F.contains(x, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams))).cast("array<int>")))
 
 
-def trigram_postings(docs: DataFrame, trigrams: Sequence[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram number, doc_id): the inverted table of the same postings; texts that hold none have no row."""
-    return docs.select(F.explode(held_trigrams(F.col(text), trigrams)).alias("trigram"), F.col(doc_id).alias("doc_id"))
+def asked_trigrams(rules: Sequence[SecretRule]) -> list[str]:
+    """All trigrams that the queries of ``rules`` ask for."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    return sorted({g for q in queries if q is not None for s in q for g in s})
+
+
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text; null is the empty text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def trigram_postings(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, text: str = "text") -> DataFrame:
+    """The inverted index of ``docs``: distinct (trigram, text_key) for every trigram that ``rules`` ask for.
+
+    Copies of a text share its postings, and each task merges its own before they are shuffled, so no text is frequent here. Texts
+    that hold none of the trigrams (null and empty ones too) have no row. One index serves any rules that ask for no other trigrams.
+    """
+    asked = asked_trigrams(rules)
+    names = F.array(*map(F.lit, asked)).cast("array<string>")
+    held = docs.select(text_key(F.col(text)).alias("text_key"), held_trigrams(F.col(text), asked).alias("held"))
+    return held.select(F.explode("held").alias("n"), "text_key").select(F.element_at(names, F.col("n") + 1).alias("trigram"), "text_key").distinct()
+
+
+def index_candidates(postings: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
+    """(text_key, kinds): the texts in all postings of some way to meet a rule's query, by intersecting them.
+
+    Rules without mandatory trigrams have no candidates here: they scan every text.
+    """
+    ways = [(r.kind, sorted(s)) for r in rules for s in sorted(trigram_query(r.pattern) or (), key=sorted)]
+    rows = [F.struct(F.lit(g).alias("trigram"), F.lit(i).alias("way"), F.lit(len(s)).alias("needed"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(ways) for g in s]
+    plan = F.array(*rows).cast("array<struct<trigram:string,way:int,needed:int,kind:string>>")
+    asked = postings.sparkSession.range(1).select(F.inline(plan))
+    held = postings.join(F.broadcast(asked), "trigram")  # its size is that of the rules
+    met = held.groupBy("text_key", "way", "needed", "kind").agg(F.count("*").alias("n")).where("n = needed")
+    return met.groupBy("text_key").agg(F.collect_set("kind").alias("kinds"))  # as many as there are rules at most
 
 
 def candidate_rules(text: Column, rules: Sequence[SecretRule]) -> Column:
@@ -177,6 +213,13 @@ def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), _let(parts, spans)).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
+def _found(body: Column, kinds: Column, rules: Sequence[SecretRule]) -> Column:
+    """Spans of the rules whose kind is among ``kinds``, by start, then order of rules."""
+    empty = F.array().cast(f"array<{SPAN}>")
+    each = (F.when(F.array_contains(kinds, r.kind), rule_spans(body, r, i)).otherwise(empty) for i, r in enumerate(rules))
+    return F.array_sort(F.concat(empty, *each))
+
+
 def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, text: str = "text", out: str = "secret_spans") -> DataFrame:
     """``docs`` with the column ``out``: array of (start, rank, end, kind), by start, then order of rules.
 
@@ -184,14 +227,29 @@ def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, text:
     equal spans, and no id is needed. An empty table stays empty. Other columns stay as they are; one named ``out`` is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = _let(
-        candidate_rules(body, rules),
-        lambda kinds: F.array_sort(F.concat(*(F.when(F.array_contains(kinds, r.kind), rule_spans(body, r, i)).otherwise(empty) for i, r in enumerate(rules)))),
-    )
+    found = _let(candidate_rules(body, rules), lambda kinds: _found(body, kinds, rules))
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), found.alias(out))
 
 
+def scan_indexed(
+    docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, postings: DataFrame | None = None, text: str = "text", out: str = "secret_spans"
+) -> DataFrame:
+    """The rows of ``scan_secrets`` through the inverted index: ``postings`` (built here if not given) are intersected, and candidates verified.
+
+    Texts meet their candidate kinds by a join on ``text_key``, where a key has one candidate row at most; a text with very
+    many copies makes one key of ``docs`` frequent, which adaptive execution splits, since the other side is a row.
+    Nulls, empty and long texts, repeated rows, empty tables and other columns are treated as by ``scan_secrets``.
+    """
+    key, may = fresh(docs, "text_key"), fresh(docs, "kinds")
+    postings = trigram_postings(docs, rules, text=text) if postings is None else postings
+    candidates = index_candidates(postings, rules).withColumnsRenamed({"text_key": key, "kinds": may})
+    whole = F.array(*(F.lit(r.kind) for r in rules if trigram_query(r.pattern) is None)).cast("array<string>")
+    kinds = F.concat(F.coalesce(F.col(may), F.array().cast("array<string>")), whole)
+    rows = docs.withColumn(key, text_key(F.col(text))).join(candidates, key, "left")
+    found = _let(kinds, lambda k: _found(F.coalesce(F.col(text), F.lit("")), k, rules))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), found.alias(out))
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -169,10 +169,34 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan_secrets(df.limit(0)).collect() == []
 
 
+def test_index_holds_what_brute_force_finds_and_gives_the_same_spans(spark):
+    """Every posting and candidate is checked; columns named as the index's own, repeated rows, nulls and an empty table stay as they are."""
+    df = spark.createDataFrame([(i, t, "own", ["kept"]) for i, t in enumerate(SECRETS * 2)], "doc_id int, text string, text_key string, kinds array<string>")
+    asked, keys = secrets.asked_trigrams(secrets.RULES), {hashlib.sha256((t or "").encode()).digest(): (t or "").lower() for t in SECRETS}
+    postings = secrets.trigram_postings(df)
+    assert sorted((r.trigram, bytes(r.text_key)) for r in postings.collect()) == sorted((g, k) for k, t in keys.items() for g in asked if g in t)
+    queries = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    may = {bytes(r.text_key): set(r.kinds) for r in secrets.index_candidates(postings).collect()}
+    expected = {key: {k for k, q in queries.items() if q and any(all(g in t for g in s) for s in q)} for key, t in keys.items()}
+    assert may == {key: kinds for key, kinds in expected.items() if kinds}
+    rows = secrets.scan_indexed(df).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(2 * len(SECRETS)))
+    assert all([tuple(s) for s in r.secret_spans] == brute_spans(r.text, secrets.RULES) and (r.text_key, r.kinds) == ("own", ["kept"]) for r in rows)
+    assert secrets.scan_indexed(df.limit(0)).collect() == []
+    some = secrets.BASE_RULES[:2]  # an index answers fewer rules too
+    assert all([tuple(s) for s in r.secret_spans] == brute_spans(r.text, some) for r in secrets.scan_indexed(df, some, postings=postings).collect())
+
+
+def test_small_classes_are_followed_and_large_ones_end_a_run():
+    assert secrets.trigram_query("gh[po]_x") == {frozenset({"ghp", "hp_", "p_x"}), frozenset({"gho", "ho_", "o_x"})}
+    assert secrets.trigram_query("ab[a-z]cd") is None and secrets.trigram_query("abc[Dd]?") == {frozenset({"abc"})}
+
+
 def test_many_rules_and_rules_without_trigrams(spark):
     rules = [secrets.SecretRule(f"k{i}", f"prefix{i:03d}[a-z]+") for i in range(100)] + [secrets.SecretRule("digits", "[0-9]{5}")]
     df = spark.createDataFrame([("PREFIX007abc prefix007abc prefix099z 12345",)], "text string")
     assert [tuple(s) for s in secrets.scan_secrets(df, rules).first().secret_spans] == brute_spans("PREFIX007abc prefix007abc prefix099z 12345", rules)
+    assert [tuple(s) for s in secrets.scan_indexed(df, rules).first().secret_spans] == brute_spans("PREFIX007abc prefix007abc prefix099z 12345", rules)
 
 
 def test_toxicity(docs, labels):
