@@ -134,7 +134,8 @@ def trigram_postings(docs: DataFrame, rules: Sequence[SecretRule] = RULES, *, te
     asked = asked_trigrams(rules)
     names = F.array(*map(F.lit, asked)).cast("array<string>")
     held = docs.select(text_key(F.col(text)).alias("text_key"), held_trigrams(F.col(text), asked).alias("held"))
-    return held.select(F.explode("held").alias("n"), "text_key").select(F.element_at(names, F.col("n") + 1).alias("trigram"), "text_key").distinct()
+    rows = held.select(F.explode_outer("held").alias("n"), "text_key").where("n IS NOT NULL")  # the outer form reads each text once
+    return rows.select(F.element_at(names, F.col("n") + 1).alias("trigram"), "text_key").distinct()
 
 
 def index_candidates(postings: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFrame:
