@@ -1,7 +1,7 @@
 """Lossless audio columns: FLAC streams written from and read back to 8-bit PCM.
 
 Streams are mono, 8 bits, of fixed blocks. Each block is a constant, verbatim, fixed-predictor or
-linear-predictor subframe with Rice-coded residuals, and a seek table names the sample and the byte offset of every block. Frames of
+linear-predictor subframe with Rice-coded residuals, whichever is smallest, and a seek table names the sample and the byte offset of every block. Frames of
 many rows are coded together, one NumPy step for each sample of a block.
 """
 
@@ -23,6 +23,8 @@ FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 CRC8_POLY, CRC16_POLY = 0x07, 0x8005
 BLOCK_CODES = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5}
 RATE, RATE_CODE, BITS, BITS_CODE = 8000, 4, 8, 1
+#: What the writer tries: orders of linear predictors, and bits of their coefficients.
+LINEAR_ORDERS, PRECISION = (2, 4, 8), 8
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -70,8 +72,48 @@ def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, size: int) -> None
         bits[at + b] = (value >> (size - 1 - b)) & 1
 
 
-def encode_frames(samples: np.ndarray, number: np.ndarray, block: int, *, linear: bool = False) -> list[bytes]:
-    """A frame for each row of signed samples. ``linear`` writes predictors as linear ones (for tests of reading)."""
+def _rice(residual: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unsigned residuals from ``order`` on (0 before), the Rice parameter of each row and its size in bits."""
+    block = residual.shape[1]
+    unsigned = np.where(residual >= 0, 2 * residual, -2 * residual - 1) * (np.arange(block)[None, :] >= order[:, None])
+    guess = np.maximum(np.frexp(np.maximum(unsigned.sum(1) // block, 1))[1] - 2, 0).astype(np.int64)
+    k, size = guess.copy(), np.full(len(residual), 1 << 40)
+    for step in range(4):
+        now = (unsigned >> (guess + step)[:, None]).sum(1) + (block - order) * (guess + step + 1)
+        k, size = np.where(now < size, guess + step, k), np.minimum(now, size)
+    return unsigned, k, size
+
+
+def linear_predictors(samples: np.ndarray, orders: tuple[int, ...] = LINEAR_ORDERS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Quantised coefficients (rows by lag) and their shift for each of ``orders``, by Levinson's recursion.
+
+    The autocorrelation of the windowed block is a sum of integers under 2**53, so it is exact, and the recursion takes
+    single operations row by row: a block has the same predictors beside any others.
+    """
+    n, block = samples.shape
+    most, place = max(orders), 2 * np.arange(block) + 1 - block
+    windowed = samples * (255 - place * place * 255 // (block * block)).astype(np.float64)
+    r = [np.einsum("ij,ij->i", windowed[:, lag:], windowed[:, : block - lag]) for lag in range(most + 1)]
+    a, error, out = np.zeros((most + 1, n)), np.maximum(r[0], 1.0), {}
+    for m in range(1, most + 1):
+        left = r[m].copy()
+        for i in range(1, m):
+            left -= a[i] * r[m - i]
+        mirror = left / error
+        before = a.copy()
+        a[m] = mirror
+        for i in range(1, m):
+            a[i] = before[i] - mirror * before[m - i]
+        error = np.maximum(error * (1 - mirror * mirror), 1.0)
+        if m in orders:
+            shift = np.clip(PRECISION - 1 - np.frexp(np.abs(a[1 : m + 1]).max(0))[1], 0, 15).astype(np.int64)
+            top = 1 << (PRECISION - 1)
+            out[m] = np.clip(np.rint(a[1 : m + 1] * 2.0**shift), -top, top - 1).astype(np.int32).T, shift
+    return out
+
+
+def encode_frames(samples: np.ndarray, number: np.ndarray, block: int, *, linear: bool = True) -> list[bytes]:
+    """A frame for each row of signed samples, by the predictor whose frame is the smallest; without ``linear`` only fixed ones are tried."""
     n = len(samples)
     header, head = _headers(number, block)
     best, diff = np.zeros(n, np.int64), samples.astype(np.int32)
@@ -82,18 +124,25 @@ def encode_frames(samples: np.ndarray, number: np.ndarray, block: int, *, linear
         better = now < cost
         best[better], cost[better] = order, now[better]
         residual[better, order:] = diff[better]
+    unsigned, k, size = _rice(residual, best)
+    lpc, lead = np.zeros(n, bool), 8 * best  # bits before the residuals
+    coefficients, shifts = np.zeros((n, max(LINEAR_ORDERS)), np.int64), np.zeros(n, np.int64)
+    for order, (c, shift) in linear_predictors(samples).items() if linear else ():
+        guess = np.zeros((n, block), np.int32)
+        for i in range(order):
+            guess[:, order:] += c[:, i : i + 1] * samples[:, order - 1 - i : block - 1 - i]
+        own = _rice(samples - (guess >> shift[:, None]), np.full(n, order))
+        bits = 8 * order + 9 + PRECISION * order
+        better = own[2] + bits < size + lead
+        unsigned[better], k[better], size[better] = (x[better] for x in own)
+        best[better], lead[better], shifts[better] = order, bits, shift[better]
+        lpc |= better
+        coefficients[better, :order] = c[better]
     coded = np.arange(block)[None, :] >= best[:, None]
-    unsigned = np.where(residual >= 0, 2 * residual, -2 * residual - 1) * coded
-    total = unsigned.sum(1)
-    guess = np.maximum(np.log2(np.maximum(total / block, 1)).astype(np.int64) - 1, 0)
-    k, size = guess.copy(), np.full(n, 1 << 40)
-    for step in range(4):
-        now = (unsigned >> (guess + step)[:, None]).sum(1) + (block - best) * (guess + step + 1)
-        k, size = np.where(now < size, guess + step, k), np.minimum(now, size)
     constant = (samples == samples[:, :1]).all(1)
-    raw = ~constant & (size + 8 * best + 10 >= 8 * block)
+    raw = ~constant & (size + lead + 10 >= 8 * block)
     rice = ~constant & ~raw
-    lpc = rice & (best > 0) & linear
+    lpc &= rice
     width = 8 * (12 + block + 64)
     bits = np.zeros(n * width, np.uint8)
     start = np.arange(n) * width
@@ -107,15 +156,16 @@ def encode_frames(samples: np.ndarray, number: np.ndarray, block: int, *, linear
     _put(bits, at[constant], samples[constant, 0].astype(np.int64) & 0xFF, 8)
     for j in range(8):
         bits[(at[raw][:, None] + 8 * np.arange(block) + j).ravel()] = ((samples[raw].astype(np.int64) & 0xFF) >> (7 - j) & 1).ravel()
-    for j in range(4):
+    for j in range(int(best.max()) if n else 0):
         own = rice & (best > j)
         _put(bits, (at + 8 * j)[own], samples[own, j].astype(np.int64) & 0xFF, 8)
     at = np.where(rice, at + 8 * best, at)
-    for i in np.flatnonzero(lpc):
-        _put(bits, at[i : i + 1], np.array([3 << 5 | 0]), 9)
-        for j, c in enumerate(FIXED[int(best[i])]):
-            _put(bits, at[i : i + 1] + 9 + 4 * j, np.array([c & 15]), 4)
-        at[i] += 9 + 4 * best[i]
+    _put(bits, at[lpc], (PRECISION - 1) << 5 | shifts[lpc], 9)
+    at = np.where(lpc, at + 9, at)
+    for j in range(int(best.max()) if n else 0):
+        own = lpc & (best > j)
+        _put(bits, at[own] + PRECISION * j, coefficients[own, j] & ((1 << PRECISION) - 1), PRECISION)
+    at = np.where(lpc, at + PRECISION * best, at)
     _put(bits, at[rice], k[rice], 10)
     own = np.flatnonzero(rice)
     u, kk, mask = unsigned[own], k[own][:, None], coded[own]
@@ -189,14 +239,15 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blo
         value[j, warm] = (_window(data, at[warm] + 8 * j) >> 24).astype(np.uint8).astype(np.int8)
     at = at + 8 * order
     shift, coefficients = np.zeros(len(own), np.int64), np.zeros((32, len(own)), np.int64)
-    for i in range(len(own)):
-        if linear[i]:
-            word = int(_window(data, at[i : i + 1])[0]) >> 23
-            precision, shift[i] = (word >> 5) + 1, word & 31
-            for j in range(order[i]):
-                c = int(_window(data, at[i : i + 1] + 9 + precision * j)[0]) >> (32 - precision)
-                coefficients[j, i] = c - (1 << precision) if c >> (precision - 1) else c
-            at[i] += 9 + precision * order[i]
+    if len(by := np.flatnonzero(linear)):
+        word = _window(data, at[by]) >> 23
+        precision, shift[by] = (word >> 5) + 1, word & 31
+        for j in range(int(order[by].max())):
+            has = order[by] > j
+            cols, bits = by[has], precision[has]
+            c = _window(data, at[cols] + 9 + bits * j) >> (32 - bits)
+            coefficients[j, cols] = c - (c >> (bits - 1) << bits)
+        at[by] += 9 + precision * order[by]
     for o, values in FIXED.items():
         coefficients[: len(values), (order == o) & ~linear] = np.array(values, np.int64)[:, None]
     word = _window(data, at)
@@ -248,11 +299,16 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, blo
             at, value[j] = p + kk, v
         else:
             at[coded], value[j, coded] = p + kk, v
-    for o in np.unique(order[order > 0]):
-        cols = np.flatnonzero(order == o)
-        part, c, s = value[:, cols].astype(np.int64), coefficients[:o, cols], shift[cols]
-        for j in range(o, block):
-            part[j] += (c * part[j - o : j][::-1]).sum(0) >> s
+    for few in (order > 0) & (order <= 4), order > 4:  # a predictor's missing lags are zeros, so frames of several orders go together
+        cols = np.flatnonzero(few)
+        if not len(cols):
+            continue
+        most, own_order = int(order[cols].max()), order[cols]
+        part, c, s = value[:, cols].astype(np.int64), coefficients[:most, cols], shift[cols]
+        for j in range(int(own_order.min()), block):
+            lags = min(j, most)
+            told = (c[:lags] * part[j - lags : j][::-1]).sum(0) >> s
+            part[j] += told if j >= most else np.where(own_order <= j, told, 0)
         value[:, cols] = part
     if ((at + 7) // 8 - starts[own] != body[own]).any():
         raise ValueError("frame length differs")

@@ -76,6 +76,8 @@ def test_frames_of_every_predictor_round_trip(linear):
     data, lengths = np.frombuffer(b"".join(frames), np.uint8), np.array([len(f) for f in frames])
     starts = np.cumsum(lengths) - lengths
     assert (flac.decode_frames(data, starts, lengths, 576) == samples).all()
+    kinds = [f[flac._headers(np.array([i * 3001]), 576)[1][0]] >> 1 for i, f in enumerate(frames)]
+    assert {0, 1} < set(kinds) and (max(kinds) >= 32) == linear
     for place in (starts[3] + 4, starts[5] + 20):
         broken = data.copy()
         broken[place] ^= 1
@@ -83,6 +85,36 @@ def test_frames_of_every_predictor_round_trip(linear):
             flac.decode_frames(broken, starts, lengths, 576)
 
 
+def test_linear_predictors_are_taken_where_they_are_smaller_and_do_not_depend_on_neighbours():
+    r = np.random.default_rng(8)
+    rows = [np.convolve(r.normal(0, 9, 576 + 63), np.cos(np.arange(64) * w) * 0.95 ** np.arange(64), "valid").round().clip(-128, 127) for w in (0.4, 0.9, 1.7, 2.6)]
+    samples = np.array([*rows, np.zeros(576), np.full(576, -128), r.integers(-128, 128, 576)]).astype(np.int32)
+    number = np.arange(len(samples))
+    both, fixed = (flac.encode_frames(samples, number, 576, linear=x) for x in (True, False))
+    assert all(len(a) <= len(b) for a, b in zip(both, fixed, strict=True)) and sum(map(len, both[:4])) < 0.9 * sum(map(len, fixed[:4]))
+    assert both == [flac.encode_frames(samples[i : i + 1], number[i : i + 1], 576)[0] for i in range(len(samples))]
+
+
+def test_linear_predictors_of_other_writers_are_read():
+    """Orders up to 32, precisions up to 15 bits and any shift, bit by bit."""
+    r, block, frames = np.random.default_rng(9), 576, []
+    samples = np.cumsum(r.integers(-2, 3, (5, block)), 1).clip(-128, 127)
+    for x, (order, precision, shift) in zip(samples.tolist(), ((1, 4, 1), (3, 15, 12), (12, 12, 10), (32, 9, 8), (4, 5, 0)), strict=True):
+        c = r.integers(-(1 << min(precision - 1, shift)) + 1, 1 << min(precision - 1, shift), order).tolist() if shift else [1, 0, -1, 1]
+        left = [x[j] - (sum(c[i] * x[j - 1 - i] for i in range(order)) >> shift) for j in range(order, block)]
+        bits = f"{31 + order:07b}0" + "".join(f"{v & 255:08b}" for v in x[:order]) + f"{precision - 1:04b}{shift:05b}"
+        bits += "".join(f"{v & ((1 << precision) - 1):0{precision}b}" for v in c) + "00" + "0000" + f"{7:04b}"
+        for v in left:
+            u = 2 * v if v >= 0 else -2 * v - 1
+            bits += "0" * (u >> 7) + "1" + f"{u & 127:07b}"
+        header, head = flac._headers(np.array([5]), block)
+        body = header[0, : head[0]].tobytes() + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        crc = flac.crc_of(np.frombuffer(body, np.uint8), np.array([0]), np.array([len(body)]), flac.CRC16, 16)
+        frames.append(body + int(crc[0]).to_bytes(2, "big"))
+    data, lengths = np.frombuffer(b"".join(frames), np.uint8), np.array([len(f) for f in frames])
+    assert (flac.decode_frames(data, np.cumsum(lengths) - lengths, lengths, block) == samples).all()
+
+
 def frame_in_partitions(samples, order, partition_order, escaped=()):
     """A frame with a fixed predictor and Rice partitions, bit by bit; partitions in ``escaped`` hold plain numbers."""
     block, residual = len(samples), np.array(samples)
