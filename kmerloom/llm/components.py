@@ -13,7 +13,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Labels go to neighbours and are then followed to their own labels (pointer jumping), so chains
     shrink at least by half a round. Each round is a table in the shared folder, and only counts reach the driver.
-    Nulls and loops are ignored; an empty table has no nodes.
+    Nulls and loops are ignored; an empty table has no nodes. A node with very many links, or a component with very many nodes, is a
+    frequent key of the larger side of a join only: the other side has one row for it, so adaptive execution can split it, and
+    aggregations by node merge in each task first.
     """
     one_way = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = written(one_way.union(one_way.select("v", "u")).distinct(), "edges")

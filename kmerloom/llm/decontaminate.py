@@ -71,7 +71,10 @@ HIT = "key1 long, key2 long, start int, n int, words string"
 
 
 def _hits(sent, k: int):
-    """Windows whose fingerprint is among those sent (by window length), or among the row's own column ``prints``."""
+    """Windows whose fingerprint is among those sent (by window length), or among the row's own column ``prints``.
+
+    A window that very many documents share is a row for each; its items are one list of the other side of the join that follows.
+    """
 
     def tasks(batches):
         for batch in text_chunks(batches, "text", 2 << 20):
