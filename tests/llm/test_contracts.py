@@ -210,6 +210,16 @@ def test_url_filter(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("name", ["op6_secret_scan", "op9_decontamination"])
+def test_operators_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    df = job.queries()[name](spark, DATA)
+    expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({job.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_near_passages_are_similar(spark, docs):
     for r in result(spark, "op5_near_passages"):
         a, b = words(docs[r.doc_id])[r.start_word : r.end_word], words(docs[r.other_doc_id])[r.other_start : r.other_end]

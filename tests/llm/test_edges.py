@@ -4,12 +4,13 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from kmerloom.llm import decontaminate, flac, near_dups, packing, secrets, toxicity, url_filter
-from kmerloom.llm.queries import WORD_TOKENIZER, tokenizer_path
+from kmerloom.llm.queries import WORD_TOKENIZER, op6_sql, tokenizer_path
 
 LONG = "lorem ipsum dolor " * 60_000
 BASE = ["one two three four five six seven eight nine ten eleven twelve", "", None, "!!!", LONG]
@@ -219,6 +220,17 @@ def test_index_holds_what_brute_force_finds_and_gives_the_same_spans(spark):
     assert all([tuple(s) for s in r.secret_spans] == brute_spans(r.text, some) for r in secrets.scan_indexed(df, some, postings=postings).collect())
 
 
+def test_sql_of_secrets_finds_what_brute_force_finds():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(SECRETS * 2)])
+    rows = con.execute(f"SELECT doc_id, n_hex, spans FROM ({op6_sql()})").fetchall()
+    assert sorted(d for d, *_ in rows) == list(range(2 * len(SECRETS)))
+    for d, n_hex, told in rows:
+        spans = brute_spans((SECRETS * 2)[d], secrets.RULES)
+        assert told == ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in spans) and n_hex == sum(kind == "hex" for *_, kind in spans)
+
+
 def test_small_classes_are_followed_and_large_ones_end_a_run():
     assert secrets.trigram_query("gh[po]_x") == {frozenset({"ghp", "hp_", "p_x"}), frozenset({"gho", "ho_", "o_x"})}
     assert secrets.trigram_query("ab[a-z]cd") is None and secrets.trigram_query("abc[Dd]?") == {frozenset({"abc"})}
