@@ -11,42 +11,73 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kspace import KmerSpace
-from .moves import fmove, fmoves_of
+from ..shared import dropped, written
+from .components import across
+from .moves import as_rows, fmove, fmove_order, fmoves_of, imoves
 from .sets import generate, in_mykkeltveit
 from .sketch import bound
 
 MOST_NODES = 1 << 16
 
 
-def seeds(spark: SparkSession, n: int, first: int = 0) -> DataFrame:
+def seeds(spark: SparkSession, n: int | DataFrame, first: int = 0) -> DataFrame:
+    """(seed): ``n`` successive numbers from ``first`` on, or the column seed of a table, such as ``fresh_seeds`` or ``sources.text.read_seeds``."""
+    if isinstance(n, DataFrame):
+        return n.select(F.col("seed").cast("bigint").alias("seed")).distinct()
     return spark.range(first, first + n, 1, n).withColumnRenamed("id", "seed")
 
 
+def fresh_seeds(spark: SparkSession, n: int) -> DataFrame:
+    """(seed): ``n`` new random seeds, drawn once into a table so that every reader sees the same ones."""
+    return written(spark.range(n).select(F.xxhash64("id", F.expr("uuid()")).alias("seed")), "seeds")
+
+
 def _neighbours(space: KmerSpace, m: int) -> Iterator[int]:
     return (m % space.fmoves * space.alpha + b for b in range(space.alpha))
 
 
-def random_decycling_sets(spark: SparkSession, space: KmerSpace, n: int, first_seed: int = 0, *, steps: int | None = None) -> DataFrame:
+def random_decycling_sets(spark: SparkSession, space: KmerSpace, n: int | DataFrame, first_seed: int = 0, *, steps: int | None = None, crossings: int = 0) -> DataFrame:
     """(seed, mers): a minimum decycling set for each seed, by random F-moves from the Mykkeltveit set.
 
     A move keeps a set minimum and decycling, so nothing is drawn in vain and the number of ``steps`` (by default four rounds of all
     F-moves, and up to one more by the seed) bounds the time. Each step takes one of the possible moves by a hash of the seed and the step's number.
+    F-moves stay inside a component; each of the ``crossings`` goes over to another one by a random mixed move, and walks on there.
     """
     begin = generate(spark, space, in_mykkeltveit(space, F.col("mer"))).agg(F.array_sort(F.collect_list("mer")).alias("mers"))
     count = 4 * space.fmoves if steps is None else steps
-    if not count:
-        return seeds(spark, n, first_seed).join(begin, F.lit(True)).select("seed", "mers")
 
-    def step(mers: Column, i: Column) -> Column:
-        def moved(possible: Column) -> Column:
-            chosen = F.element_at(possible, (F.pmod(F.xxhash64("seed", i), F.size(possible)) + 1).cast("int"))
-            return F.when(F.size(possible) > 0, fmove(space, mers, chosen)).otherwise(mers)
+    def walk(found: DataFrame, done: int) -> DataFrame:
+        def step(mers: Column, i: Column) -> Column:
+            def moved(possible: Column) -> Column:
+                chosen = F.element_at(possible, (F.pmod(F.xxhash64("seed", i), F.size(possible)) + 1).cast("int"))
+                return F.when(F.size(possible) > 0, fmove(space, mers, chosen)).otherwise(mers)
+
+            return bound(fmoves_of(space, mers), moved)
+
+        if not count:
+            return found.select("seed", "mers")
+        last = F.lit(count) + F.pmod(F.xxhash64("seed"), F.lit(space.fmoves)).cast("int")  # walks of one length can all end in one layer
+        return found.select("seed", F.aggregate(F.sequence(F.lit(1), last), F.col("mers"), lambda mers, i: step(mers, i + done)).alias("mers"))
 
-        return bound(fmoves_of(space, mers), moved)
+    found = walk(seeds(spark, n, first_seed).join(begin, F.lit(True)), 0)
+    for turn in range(crossings):
+        found = walk(crossed(space, found, turn), (turn + 1) * (count + space.fmoves))
+    return found
 
-    last = F.lit(count) + F.pmod(F.xxhash64("seed"), F.lit(space.fmoves)).cast("int")  # walks of one length can all end in one layer
-    walked = F.aggregate(F.sequence(F.lit(1), last), F.col("mers"), step)
-    return seeds(spark, n, first_seed).join(begin, F.lit(True)).select("seed", walked.alias("mers"))
+
+def crossed(space: KmerSpace, found: DataFrame, turn: int = 0) -> DataFrame:
+    """(seed, mers): the set on the other side of one mixed move of each minimum decycling set (seed, mers), for all seeds at once.
+
+    The move is chosen by a hash of the seed, the turn and the move; a set that has none stays as it is.
+    """
+    here = written(found.select(F.col("seed").alias("set_id"), "mers"), "walkers")
+    turns = F.struct(F.xxhash64("set_id", F.lit(turn), "fm", "mask").alias("turn"), "fm", "mask")
+    chosen = imoves(space, as_rows(here)).groupBy("set_id").agg(F.min(turns).alias("m"))
+    chosen = written(chosen.select("set_id", "m.fm", "m.mask"), "crossings")
+    there = across(space, chosen, fmove_order(space, here.join(chosen, "set_id", "left_semi"))).select(F.col("src").alias("set_id"), F.col("mers").alias("there"))
+    out = written(here.join(there, "set_id", "left").select(F.col("set_id").alias("seed"), F.coalesce("there", "mers").alias("mers")), "crossed")
+    dropped(here, chosen)
+    return out
 
 
 def _closes_cycle(space: KmerSpace, words: Column, taken: Column) -> Column:
@@ -66,7 +97,7 @@ def _closes_cycle(space: KmerSpace, words: Column, taken: Column) -> Column:
     return F.exists(words, reaches_itself)
 
 
-def reduce_under_complement(spark: SparkSession, space: KmerSpace, mers: DataFrame, n: int, *, keep_canonical: bool = False, first_seed: int = 0) -> DataFrame:
+def reduce_under_complement(spark: SparkSession, space: KmerSpace, mers: DataFrame, n: int | DataFrame, *, keep_canonical: bool = False, first_seed: int = 0) -> DataFrame:
     """(seed, removed, mers): the words (column mer) that each seed keeps when pairs of a word and its reverse complement are dropped, in an order of
     the seed's, as long as what stays with its complements is decycling.
 
@@ -100,7 +131,7 @@ def _longest(space: KmerSpace, taken: set[int]) -> int:
     return length
 
 
-def anneal_path(spark: SparkSession, space: KmerSpace, mers: list[int], n: int, *, iterations: int = 200, cooling: float = 0.99, shortest: bool = True, first_seed: int = 0) -> DataFrame:
+def anneal_path(spark: SparkSession, space: KmerSpace, mers: list[int], n: int | DataFrame, *, iterations: int = 200, cooling: float = 0.99, shortest: bool = True, first_seed: int = 0) -> DataFrame:
     """(seed, path, mers): the best remaining path that simulated annealing over random F-moves finds from a decycling set.
 
     A worse set is accepted with probability exp(-loss / temperature), the usual rule.

@@ -30,6 +30,17 @@ def read_set_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.xxhash64(F.to_json("mers")).alias("set_id"), "mers").dropDuplicates(["mers"])
 
 
+def write_seeds(seeds: DataFrame, path: str) -> None:
+    """The column seed as text, a number a line, which ``read_seeds`` gives to any search again."""
+    seeds.select(F.col("seed").cast("string").alias("value")).write.text(path)
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(seed): the whole numbers of text files, signs included."""
+    found = F.regexp_extract_all("value", F.lit(r"(-?\d+)"))
+    return spark.read.text(path).select(F.explode(F.transform(found, lambda x: x.cast("bigint"))).alias("seed"))
+
+
 def read_fmove_lists(spark: SparkSession, path: str) -> DataFrame:
     """(list_id, pos, fm): one ordered list of moves per line; each line is a list of its own, numbered by its place in the files' splits."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("list_id"), numbers("value").alias("fms"))

@@ -4,6 +4,7 @@ import pytest
 
 from kmerloom.functions.kspace import KmerSpace
 from kmerloom.operators import components, graph, moves, search, sets
+from kmerloom.sources import text
 
 
 def rows_of(spark, found):
@@ -21,6 +22,28 @@ def test_random_sets_are_minimum_and_decycling(spark, space):
         assert sets.one_per_register(space, one).first().one_per_register
 
 
+def test_crossings_leave_the_component_and_keep_sets_minimum_and_decycling(spark):
+    space = KmerSpace(2, 4)
+    found = {n: search.random_decycling_sets(spark, space, 4, steps=3, crossings=n) for n in (0, 1)}
+    held = {n: [r.asDict() for r in f.collect()] for n, f in found.items()}
+    rows = spark.createDataFrame([(n * 100 + r["seed"], m) for n, each in held.items() for r in each for m in r["mers"]], "set_id long, mer long")
+    assert all(r.decycling for r in graph.is_decycling(space, rows).collect())
+    assert all(len(r["mers"]) == 6 for each in held.values() for r in each)
+    names = {r.set_id: str(r.signature) for r in moves.signatures(space, rows).collect()}
+    assert len({v for k, v in names.items() if k < 100}) == 1 and len(set(names.values())) > 1
+
+
+def test_fresh_seeds_differ_and_repeat_a_search_from_their_file(spark, tmp_path):
+    one, two = search.fresh_seeds(spark, 3), search.fresh_seeds(spark, 3)
+    drawn = [r.seed for r in one.collect()]
+    assert len({*drawn, *(r.seed for r in two.collect())}) == 6 and drawn == [r.seed for r in one.collect()]
+    text.write_seeds(one, str(tmp_path / "seeds"))
+    space, again = KmerSpace(2, 5), text.read_seeds(spark, str(tmp_path / "seeds"))
+    assert sorted(r.seed for r in again.collect()) == sorted(drawn)
+    first, second = (sorted((r.seed, tuple(r.mers)) for r in search.random_decycling_sets(spark, space, s).collect()) for s in (one, again))
+    assert first == second and [s for s, _ in first] == sorted(drawn)
+
+
 @pytest.mark.parametrize("keep", [False, True])
 def test_reduction_keeps_the_union_decycling(spark, keep):
     space = KmerSpace(2, 6)
