@@ -330,6 +330,51 @@ def long_word_text(k: int, high, low, letters: str = "ACGT") -> Column:
     return F.translate(F.concat(*digits), "0123456789"[: len(letters)], letters)
 
 
+def long_word_ends(rows: DataFrame, k: int, *keys: str, text: str = "text", alphabet: str = "acgt", lower: bool = True) -> DataFrame:
+    """(keys, n_words, n_canonical, least_canonical, most_canonical, most_next, least_pcr, most_pcr) for each row with a word of k symbols (32 to 62): words, those
+    not above their reverse complement, and the ends of canonical words, of words turned by one and of registers. ``alphabet`` is in ascending order."""
+    alpha, front = len(alphabet), k - 31
+    if not 31 < k <= 62 or alpha**31 >= 1 << 63 or list(alphabet) != sorted(alphabet):
+        raise ValueError("words of 32 to 62 digits over four symbols or fewer, in ascending order")
+    ends = ("least_canonical", "most_canonical", "most_next", "least_pcr", "most_pcr")
+    out = T.StructType([rows.schema[c] for c in keys] + [T.StructField(n, LONG) for n in ("n_words", "n_canonical", *(f"{e}_{h}" for e in ends for h in ("high", "low")))])
+    table, power = arrays.symbol_table(alphabet, lower), alpha ** np.arange(31, dtype=np.int64)[::-1]
+
+    def tasks(batches):
+        for batch in arrays.batches_of(batches, "text", 1 << 20):
+            digits = arrays.digits_of(batch.column("text"), table)
+            places, n = arrays.word_places(digits, k)
+            some = np.flatnonzero(n)
+            begin = (np.cumsum(n) - n)[some]
+            text_of = np.repeat(np.arange(len(some)), n[some])
+
+            def end(high, low, pick):
+                """The least or greatest (high, low) of each text with a word."""
+                top = pick.reduceat(high, begin) if len(some) else high
+                other = np.iinfo(np.int64).max if pick is np.minimum else -1
+                return top, pick.reduceat(np.where(high == top[text_of], low, other), begin) if len(some) else low
+
+            high, low, rest = (arrays.codes(digits.values, m, alpha) for m in (front, 31, 30))
+            next_high, next_low = high[np.minimum(places + 1, len(high) - 1)], rest[places + front + 1] * alpha + digits.values[places]
+            high, low = high[places], low[places + front]
+            rc_high, rc_low = arrays.complement_codes(digits.values, front, alpha)[places + 31], arrays.complement_codes(digits.values, 31, alpha)[places]
+            less = (rc_high < high) | (rc_high == high) & (rc_low < low)
+            high, low = np.where(less, rc_high, high), np.where(less, rc_low, low)
+            turn = arrays.least_rotations(digits.values, places, k)
+            pcr_high, pcr_low = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+            for a in range(0, len(places), 1 << 14):
+                part = slice(a, a + (1 << 14))
+                word = digits.values[places[part, None] + (turn[part, None] + np.arange(k)) % k].astype(np.int64)
+                pcr_high[part], pcr_low[part] = word[:, :front] @ power[31 - front :], word[:, front:] @ power
+            found = (end(high, low, np.minimum), end(high, low, np.maximum), end(next_high, next_low, np.maximum), end(pcr_high, pcr_low, np.minimum), end(pcr_high, pcr_low, np.maximum))
+            cells = [n[some], np.bincount(text_of, ~less, len(some)).astype(np.int64), *(x for pair in found for x in pair)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in keys), *map(pa.array, cells)], names=out.names)
+
+    found = rows.select(*keys, F.col(text).alias("text")).mapInArrow(tasks, out)
+    letters = alphabet.upper() if lower else alphabet
+    return found.select(*keys, "n_words", "n_canonical", *(long_word_text(k, f"{e}_high", f"{e}_low", letters).alias(e) for e in ends))
+
+
 def registers(rows: DataFrame, k: int, *keys: str, text: str = "text", alphabet: str = "acgt", lower: bool = True) -> DataFrame:
     """(keys, n_words, n_least, least, most) for each row with a word of k symbols (32 to 62): how many words, how many of them are the least of their
     register, and the least and the greatest register (named by its least word) of the row. ``alphabet`` is in ascending order."""

@@ -183,26 +183,8 @@ SELECT doc_id, count(*) AS n_words, count(*) FILTER (word = canonical) AS n_cano
        max(next) AS most_next, min(pcr) AS least_pcr, max(pcr) AS most_pcr FROM x GROUP BY doc_id
 """)
 def long_words_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of 35 letters from every place of every document, aggregated inside the row."""
-    w = LONG
-    letters = F.translate(F.regexp_replace(F.lower("text"), "[^acgt]", ""), "acgt", "ACGT")
-
-    def every_word(x):
-        places = F.sequence(F.lit(1), F.greatest(F.length(x) - (w.k - 1), F.lit(1)))
-        return F.when(F.length(x) >= w.k, F.transform(places, lambda i: F.substring(x, i, F.lit(w.k)))).otherwise(F.array().cast("array<string>"))
-
-    rows = table(spark, sf_dir, "documents").select("doc_id", sketch.bound(letters, every_word).alias("words")).where(F.size("words") > 0)
-    canonical, pcr = F.transform("words", w.canonical), F.transform("words", w.pcr)
-    return rows.select(
-        "doc_id",
-        F.size("words").cast("bigint").alias("n_words"),
-        F.size(F.filter("words", lambda x: x == w.canonical(x))).cast("bigint").alias("n_canonical"),
-        F.array_min(canonical).alias("least_canonical"),
-        F.array_max(canonical).alias("most_canonical"),
-        F.array_max(F.transform("words", w.rotate_next)).alias("most_next"),
-        F.array_min(pcr).alias("least_pcr"),
-        F.array_max(pcr).alias("most_pcr"),
-    )
+    """Words of 35 letters from every place of every document, as pairs of numbers; no word is ever a string."""
+    return scan.long_word_ends(texts(spark, sf_dir), 35, "doc_id")
 
 
 @query("WITH " + sql_universe(2, 6) + " SELECT count(*) AS n, count(DISTINCT (mer * 13 + 5) % 64) AS distinct_values FROM u")
