@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, kspace
 from ..functions.kspace import KmerSpace
 from ..operators import bits, chunks, frontier, graph, observed, scan, select, sets
-from ..shared import shared_dir, written
+from ..shared import shared_dir, small_batches, written
 from ..sources import records as files
 from ..streaming import records
 from ..streaming import sketch as stream
@@ -66,7 +66,8 @@ def _sql_components() -> str:
 def _observed(spark: SparkSession, sf_dir: str, space: KmerSpace, modes: tuple[str, ...]) -> DataFrame:
     """(set_id, src, dst): the words that follow one another in documents, without the Mykkeltveit set under each mode."""
     chosen = sets.generate(spark, space, sets.in_mykkeltveit(space, "mer")).select(F.lit(0).alias("set_id"), "mer")
-    links = written(observed.word_edges(texts(spark, sf_dir), space), "links")
+    with small_batches(spark):
+        links = written(observed.word_edges(texts(spark, sf_dir), space), "links")
     parts = []
     for mode in modes:
         taken = graph.effective(space, chosen, mode).select(F.lit(mode).alias("set_id"), "mer")

@@ -163,3 +163,18 @@ def test_words_over_rows(spark):
             finally:
                 spark.conf.set("spark.sql.shuffle.partitions", "8")
             assert {row.mer: row.n for row in got} == dict(expected)
+
+
+def test_small_batches_bound_what_python_gets(spark):
+    from kmerloom.shared import small_batches, written
+
+    def tasks(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with small_batches(spark):
+        sizes = written(spark.range(3000).coalesce(1).mapInArrow(tasks, "n long"), "sizes")
+    assert max(r.n for r in sizes.collect()) <= 256 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
