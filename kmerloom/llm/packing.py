@@ -11,6 +11,7 @@ laid end to end and cut at the capacity, the rest at powers of two.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,6 +24,9 @@ from pyspark.sql import types as T
 from .common import space_words, sums_by, text_chunks, texts_of
 from .wordhash import byte_buffer
 
+#: About how much text is encoded at a time: its words, codes and ids take many times its size meanwhile.
+CHUNK_BYTES = 1 << 20
+
 
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose pieces never cross white space.
@@ -32,7 +36,7 @@ class WordTokenizer:
     it holds ``most`` of them, which costs time only.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -188,6 +192,26 @@ def _finish(pieces: pa.Table, capacity: int, first: int) -> pa.Table:
     return pa.Table.from_pylist(rows, schema)
 
 
+def packed(batches, encoder: WordTokenizer, first: int, capacity: int, end_id: int, smallest: int) -> Iterator[pa.Table]:
+    """The pieces of the rows of one task, whose sequences are numbered from ``first``."""
+    left = None
+    for batch in text_chunks(batches, "text", CHUNK_BYTES):
+        ids, doc_tokens = encoder.ids(texts_of(batch.column("text")), end_id)
+        doc, start, length = cut(doc_tokens, capacity, smallest)
+        ends = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
+        pieces = pa.table({
+            "doc_id": batch.column("doc_id").take(pa.array(doc)),
+            "start": start,
+            "length": length,
+            "token_ids": pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]),
+            "doc_tokens": doc_tokens[doc],
+        })
+        out, left, first = _fill(pieces if left is None else pa.concat_tables([left, pieces]).combine_chunks(), capacity, first)
+        yield out
+    if left is not None and left.num_rows:
+        yield _finish(left, capacity, first)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -212,23 +236,8 @@ def pack(
         raise ValueError("capacity and smallest are powers of two, smallest the lesser")
 
     def tasks(batches):
-        encoder, first, left = worker_tokenizer(tokenizer), TaskContext.get().partitionId() << 40, None
-        names = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in text_chunks(batches, "text"):
-            ids, doc_tokens = encoder.ids(texts_of(batch.column("text")), end_id)
-            doc, start, length = cut(doc_tokens, capacity, smallest)
-            ends = np.concatenate(([0], np.cumsum(length) * 4)).astype(np.int32)
-            pieces = pa.table({
-                "doc_id": batch.column("doc_id").take(pa.array(doc)),
-                "start": start,
-                "length": length,
-                "token_ids": pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]),
-                "doc_tokens": doc_tokens[doc],
-            })
-            out, left, first = _fill(pieces if left is None else pa.concat_tables([left, pieces]).combine_chunks(), capacity, first)
-            yield from out.select(names).to_batches(20_000)
-        if left is not None and left.num_rows:
-            yield from _finish(left, capacity, first).select(names).to_batches()
+        for table in packed(batches, worker_tokenizer(tokenizer), TaskContext.get().partitionId() << 40, capacity, end_id, smallest):
+            yield from table.select(schema.names).to_batches(20_000)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)] + [
         T.StructField(n, T.BinaryType() if n == "token_ids" else T.LongType())

@@ -6,6 +6,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import corpus_pipeline
@@ -48,6 +50,24 @@ def test_packing_keeps_special_tokens_apart(spark, text):
     assert np.frombuffer(b"".join(r.token_ids for r in rows), "<u4").tolist() == ids
 
 
+def test_packing_encodes_a_little_at_a_time():
+    """What one call of the tokenizer holds does not grow with the rows of a batch."""
+    texts = [f"w{i} " * 2000 for i in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    encoder = packing.WordTokenizer(tokenizer_path(WORD_TOKENIZER))
+    sizes, encode = [], encoder.ids
+
+    def ids(part, end_id):
+        sizes.append(part.nbytes)
+        return encode(part, end_id)
+
+    encoder.ids = ids
+    pieces = pa.concat_tables(packing.packed([batch], encoder, 0, 2048, 1, 64))
+    assert max(sizes) < 1.2 * (1 << 20)
+    assert pc.sum(pieces["length"]).as_py() == len(encode(pa.array(texts, pa.large_string()), 1)[0])
+    assert set(pieces["doc_id"].to_pylist()) == set(range(len(texts)))
+
+
 def test_packing_cuts_at_reciprocals():
     doc, start, length = packing.cut(np.array([1, 63, 64, 600, 2048, 5000]), 2048, 64)
     for d, n in enumerate([1, 63, 64, 600, 2048, 5000]):
