@@ -11,8 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +21,8 @@ from ..functions.arrays import Digits
 from ..operators.chunks import Carry
 from ..operators.scan import Hits
 
+#: Pieces in turn are worked on together up to this size, and this many that came too early are kept beside the map.
+RUN_BYTES, MOST_WAITING = 1 << 20, 64
 LONG, BYTES = T.LongType(), T.BinaryType()
 CARRY = T.StructType([T.StructField(n, BYTES if n == "tail" else LONG) for n in ("piece", "tail", "digits", "last", "ends")])
 PIECE, EARLY = T.StructType([T.StructField("piece", LONG)]), T.StructType([T.StructField("digits", BYTES)])
@@ -35,74 +36,95 @@ class RecordGaps(StatefulProcessor):
     """
 
     def __init__(self, hits: Hits, k: int, key: str, idle_ms: int | None = None):
-        self.hits, self.k, self.key, self.idle_ms = hits, k, key, idle_ms
+        self.hits, self.k, self.out, self.idle_ms = hits, k, Row(key, "gap", "closed"), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.carry = handle.getValueState("carry", CARRY)
         self.early = handle.getMapState("early", PIECE, EARLY)
 
-    def _state(self) -> tuple[int, Carry, int]:
-        if not self.carry.exists():
+    def _state(self, known: bool) -> tuple[int, Carry, int]:
+        if not known:
             return 0, Carry(), -1
         piece, tail, digits, last, ends = self.carry.get()
         return piece, Carry(bytes(tail), digits, last), ends
 
-    def _close(self, key: tuple, pieces: int) -> pd.DataFrame:
+    def _close(self, key: tuple, pieces: int, waiting: bool) -> Row:
         self.carry.clear()
-        self.early.clear()
-        return pd.DataFrame({self.key: [key[0]], "gap": pd.array([None], dtype="Int64"), "closed": pd.array([pieces], dtype="Int64")})
+        if waiting:
+            self.early.clear()
+        return self.out(key[0], None, pieces)
 
     def _advanced(self, carry: Carry, raw: bytes) -> tuple[Carry, list[int]]:
-        """The carry after one piece, and the gaps that end in it: the piece with the digits kept before it is one short run."""
+        """The carry after one piece or more in turn, and the gaps that end there: they with the digits kept before are one short run."""
         run = np.frombuffer(carry.tail + raw, np.uint8)
         found = (self.hits(Digits(run, np.array([len(run)]), np.zeros(1, np.int64), 1))[0] + carry.digits - len(carry.tail)).tolist()
         gaps = [b - a for a, b in zip([carry.last, *found], found, strict=False)]
         tail = run[max(0, len(run) - (self.k - 1)) :].tobytes() if self.k > 1 else b""
         return Carry(tail, carry.digits + len(raw), found[-1] if found else carry.last), gaps
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        piece, carry, ends = self._state()
-        for frame in rows:
-            frame = frame.sort_values("piece", na_position="last")
-            gaps: list[int] = []
-            for at, raw, end in zip(frame["piece"], frame["digits"], frame["ends"], strict=True):
-                if not pd.isna(end):
-                    ends = int(end)
-                if pd.isna(at) or raw is None or int(at) < piece:
-                    continue
-                if int(at) > piece:
-                    if not self.early.containsKey((int(at),)):
-                        self.early.updateValue((int(at),), (bytes(raw),))
-                    continue
-                carry, more = self._advanced(carry, bytes(raw))
-                gaps += more
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.carry.exists()
+        piece, carry, ends = self._state(known)
+        run, size, waits = [], 0, known  # pieces in turn that are worked on together; whether some may wait in the map
+        new: dict[int, bytes] = {}  # pieces of this batch that came too early
+        for _, at, raw, end in rows:
+            if end is not None:
+                ends = int(end)
+            if at is None or raw is None or at < piece:
+                continue
+            if at > piece:
+                new.setdefault(at, raw)
+                if len(new) > MOST_WAITING:
+                    waits = self._put(new) or waits
+                continue
+            while raw is not None:
+                run.append(raw)
+                size += len(raw)
                 piece += 1
-                while self.early.containsKey((piece,)):
-                    (raw,) = self.early.getValue((piece,))
-                    self.early.removeKey((piece,))
-                    carry, more = self._advanced(carry, bytes(raw))
-                    gaps += more
-                    piece += 1
-            if gaps:
-                yield pd.DataFrame({self.key: [key[0]] * len(gaps), "gap": pd.array(gaps, dtype="Int64"), "closed": pd.array([None] * len(gaps), dtype="Int64")})
+                if size > RUN_BYTES:
+                    carry, gaps = self._advanced(carry, b"".join(run))
+                    yield from (self.out(key[0], gap, None) for gap in gaps)
+                    run, size = [], 0
+                raw = self._next(piece, new, waits)
+        if run:
+            carry, gaps = self._advanced(carry, b"".join(run))
+            yield from (self.out(key[0], gap, None) for gap in gaps)
         for timer in list(self.handle.listTimers()) if self.idle_ms else ():
             self.handle.deleteTimer(timer)
         if 0 <= ends <= piece:
-            yield self._close(key, piece)
+            yield self._close(key, piece, waits)
             return
+        self._put(new)
         self.carry.update((piece, carry.tail, carry.digits, carry.last, ends))
         if self.idle_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        piece, carry, _ = self._state()
+    def _put(self, new: dict[int, bytes]) -> bool:
+        """Moves pieces of this batch into the map, but for those that came before; whether there were any."""
+        for at, raw in new.items():
+            if not self.early.containsKey((at,)):
+                self.early.updateValue((at,), (raw,))
+        any_ = bool(new)
+        new.clear()
+        return any_
+
+    def _next(self, piece: int, new: dict[int, bytes], waits: bool) -> bytes | None:
+        """The piece in turn, where it came too early, taken from where it waits; of one that came twice, what came first."""
+        mine = new.pop(piece, None)
+        found = self.early.getValue((piece,)) if waits else None
+        if found is None:
+            return mine
+        self.early.removeKey((piece,))
+        return bytes(found[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        piece, carry, _ = self._state(self.carry.exists())
         for (at,), (raw,) in sorted((k, v) for k, v in self.early.iterator()):
             carry, gaps = self._advanced(carry, bytes(raw))
             piece += 1
-            if gaps:
-                yield pd.DataFrame({self.key: [key[0]] * len(gaps), "gap": pd.array(gaps, dtype="Int64"), "closed": pd.array([None] * len(gaps), dtype="Int64")})
-        yield self._close(key, piece)
+            yield from (self.out(key[0], gap, None) for gap in gaps)
+        yield self._close(key, piece, True)
 
     def close(self) -> None:
         pass
@@ -142,4 +164,4 @@ def record_gaps(pieces: DataFrame, hits: Hits, k: int, key: str, *, idle_ms: int
     out = T.StructType([pieces.schema[key], T.StructField("gap", T.LongType()), T.StructField("closed", T.LongType())])
     processor = RecordGaps(hits, k, key, idle_ms)
     mode = "ProcessingTime" if idle_ms else "None"
-    return pieces.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=mode)
+    return pieces.select(key, "piece", "digits", "ends").groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=mode)

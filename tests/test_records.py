@@ -1,8 +1,10 @@
 """Records in chunks, in files cut by byte ranges, and in streams out of order, against whole records."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,36 @@ def test_pieces_in_any_order_over_batches(spark, tmp_path):
     assert {(r.seq_id, r.closed) for r in out.where("gap IS NULL").collect()} >= {(1, 9), (2, 3), (3, 0)}
 
 
+def test_a_record_that_is_whole_in_its_batch_leaves_no_state():
+    """Each call to the state store is a round trip: none go to the map of early pieces where none wait, and the run of pieces is worked on once."""
+    calls, runs = [], []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *args: calls.append(name) or (False if name == "exists" else None)
+
+    class Handle:
+        def getValueState(self, *args):
+            return Store()
+
+        def getMapState(self, *args):
+            return None
+
+    def hits(digits):
+        runs.append(digits)
+        return HITS(digits)
+
+    whole = letters(60, 3)
+    table = arrays.symbol_table("acgt", True)
+    pieces = [(1, i, bytes(arrays.digits_of(pa.array([whole[i * 7 : i * 7 + 7]]), table).values), None) for i in range(-(-len(whole) // 7))]
+    random.Random(2).shuffle(pieces)
+    made = records.RecordGaps(hits, 4, "seq_id")
+    made.init(Handle())
+    out = list(made.handleInputRows((1,), iter([*pieces[:4], (1, None, None, len(pieces)), *pieces[4:], *pieces[:2]]), None))
+    assert sorted(calls) == ["clear", "exists"] and len(runs) == 1
+    assert dict(Counter(r.gap for r in out if r.gap is not None)) == brute(whole) and [r.closed for r in out if r.gap is None] == [len(pieces)]
+
+
 def test_stretches_and_errors():
     import pyarrow as pa
 
