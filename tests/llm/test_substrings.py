@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from kmerloom.llm import substrings
@@ -84,3 +86,38 @@ def test_edges(spark):
     assert substrings.remove_repeats(empty).collect() == []
     with pytest.raises(ValueError):
         substrings.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_a_block_sends_one_batch_to_all_buckets():
+    """Blocks times buckets grows with the square of the input, so nothing may be done for each pair that is not cheap: before, each was a batch of its own."""
+    r, bits = np.random.default_rng(1), 43
+    names = [substrings.distinct(r.integers(0, 1 << bits, 30_000).astype(np.uint64)) for _ in range(3)]
+    names[1] = substrings.distinct(np.concatenate((names[1], names[0][::7], names[2][::5])))
+    sent = [substrings.sent_names(b, x, 2048) for b, x in enumerate(names)]
+    assert [x.num_rows for x in sent] == [len(set((x >> np.uint64(32)).tolist())) for x in names]
+    assert max(x.num_rows for x in sent) == 2048
+    found = {b: [] for b in range(3)}
+    rows = pa.Table.from_batches(sent)
+    for b in range(2048):
+        for row in substrings.names_again(rows.filter(pc.equal(rows["bucket"], b)), 2).to_pylist():
+            assert row["hot"] is None
+            found[row["block_id"]].append(row)
+    every, times = np.unique(np.concatenate(names), return_counts=True)
+    for b, x in enumerate(names):
+        assert np.array_equal(substrings.listed(found[b]), np.intersect1d(x, every[times > 1]))
+
+
+@pytest.mark.parametrize("cover", ["difference", "synchronizing"])
+def test_contexts_sent_in_one_batch_come_back_whole(cover):
+    text = "".join(random.Random(2).choices("abcdefgh", k=3000)) * 2
+    raw, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 3000, 6000])
+    none = np.zeros(0, np.uint64)
+    contexts = substrings.Contexts(raw, offsets, np.array([4, 9]), none, 50, cover, 35)
+    sent = substrings._sends(raw, 7, contexts, none, 35, 8)
+    assert isinstance(sent, pa.RecordBatch)
+    gone = np.zeros(6000, bool)
+    for i in range(sent.num_rows):
+        _, first, last = substrings._resolve(pa.Table.from_batches([sent.slice(i, 1)]), 50)
+        for a, z in zip(first, last, strict=True):
+            gone[a : z + 1] = True
+    assert gone[3000:5951].all() and not gone[:3000].any() and not gone[5951:].any()
